@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkfold.functions.text import WS, as_col, blank_if_null, count_occurrences, normalize_ws, strip
+from inkfold.functions.text import WS, as_col, blank_if_null, count_occurrences, let, normalize_ws, strip
 
 BOILERPLATE_TAGS = ("script", "style", "nav", "footer", "header", "aside")
 MAIN_CLASS_TERMS = ("article", "content", "post", "entry")
@@ -148,8 +148,12 @@ def extract_images(fragment: Column | str, first: int | None = None) -> Column:
 
 
 def first_of_each_source(images: Column) -> Column:
-    sources = F.transform(images, lambda i: i["src"])
-    return F.filter(images, lambda i, pos: F.array_position(sources, i["src"]) == pos + 1)
+    def firsts(all_images: Column) -> Column:
+        return F.filter(
+            all_images, lambda i, pos: F.array_position(all_images["src"], i["src"]) == pos + 1
+        )
+
+    return let(images, firsts)
 
 
 def drop_tiny_images(images: Column) -> Column:

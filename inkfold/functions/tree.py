@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from inkfold.functions.html import MAIN_CLASS_TERMS
 
@@ -94,13 +95,16 @@ def budget_blocks(text: str, limit: int) -> str:
     return "".join(block + "\n\n" for block in out)
 
 
-@F.pandas_udf("string")
-def main_fragment_udf(pages: pd.Series) -> pd.Series:
-    return pages.map(main_fragment, na_action="ignore")
+def main_fragment_udf(page: Column) -> Column:
+    @F.pandas_udf(StringType())
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(main_fragment, na_action="ignore")
+
+    return run(page)
 
 
 def budget_blocks_udf(text: Column, limit: int) -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: budget_blocks(t, limit), na_action="ignore")
 

@@ -10,14 +10,11 @@ in. Only a keyword that can overlap itself ("saas" in "saasaas") is recounted in
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.functions.text import (
-    as_col, blank_if_null, count_occurrences, count_whole_word, weighted_text,
-)
+from inkfold.functions.text import WORD, as_col, blank_if_null, weighted_text
 from inkfold.rules import DEFAULT_RULES, SECTION_RULES, RuleSet
 
 SEP = "\n"
@@ -63,79 +60,92 @@ def overlaps_itself(keyword: str) -> bool:
     return any(keyword.startswith(keyword[i:]) for i in range(1, len(keyword)))
 
 
-def keyword_hits(text: Column, keywords: list[str]) -> Column:
-    """One line per position where a keyword starts, holding the longest one."""
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL that computes ``value`` once and uses it in ``body`` as ``name``.
+
+    A column of an earlier projection is not enough: a filter or join key derived from the result is
+    pushed below that projection and would put the whole text scan inside the inner loops.
+    """
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _hits(text: str, keywords: list[str]) -> str:
+    """SQL: one line per position where a keyword starts, holding the longest one."""
     listed = sorted({k for k in keywords if SEP not in k})
     if not listed:
-        return F.lit(SEP)
-    found = F.regexp_extract_all(text, F.lit(keyword_pattern(listed)), F.lit(1))
-    return F.concat(F.lit(SEP), F.array_join(found, SEP))
+        return _sql_text(SEP)
+    found = f"regexp_extract_all({text}, {_sql_text(keyword_pattern(listed))}, 1)"
+    return f"concat({_sql_text(SEP)}, array_join({found}, {_sql_text(SEP)}))"
 
 
-def _sql_text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _occurrences(text: str, keyword: str) -> str:
+    """SQL: non-overlapping occurrences of a literal."""
+    k = _sql_text(keyword)
+    return f"(octet_length({text}) - octet_length(replace({text}, {k}, ''))) div octet_length({k})"
 
 
-def _count_keywords(keywords: tuple[str, ...], text: str, hits: str) -> Column:
-    """Total occurrences of some keywords, read from the hit list column.
+def _score(keywords: tuple[str, ...], text: str, hits: str, whole_word: bool) -> str:
+    """SQL: total occurrences of some keywords, read from the hit list.
 
     The keywords are one array literal, so that the plan stays small for hundreds of them.
     """
+    if whole_word:
+        patterns = [rf"(?<!{WORD})\Q{k}\E(?!{WORD})" for k in keywords]
+        return "cast(" + " + ".join(f"regexp_count({text}, {_sql_text(p)})" for p in patterns) + " as bigint)"
     direct = [k for k in keywords if SEP in k or overlaps_itself(k)]
     listed = [k for k in keywords if k not in direct]
-    total = F.lit(0).cast("bigint")
+    terms = ["0L"]
     if listed:
         marks = ", ".join(_sql_text(SEP + k) for k in listed)
-        total = F.expr(
+        terms.append(
             f"if(octet_length({hits}) > 1, aggregate(array({marks}), 0L, (n, m) -> "
             f"n + (octet_length({hits}) - octet_length(replace({hits}, m, ''))) div octet_length(m)), 0L)"
         )
     for k in direct:
-        seen = F.lit(SEP in k) | F.contains(F.col(hits), F.lit(SEP + k))
-        total = total + F.when(seen, count_occurrences(text, k)).otherwise(0)
-    return total
+        count = _occurrences(text, k)
+        terms.append(count if SEP in k else f"if(contains({hits}, {_sql_text(SEP + k)}), {count}, 0L)")
+    return " + ".join(terms)
 
 
-def _group_scores(
-    groups: tuple[tuple[str, tuple[str, ...]], ...], text: str, hits: str, whole_word: bool
-) -> list[Column]:
-    if whole_word:
-        return [reduce(lambda a, b: a + b, [count_whole_word(text, k) for k in words]) for _, words in groups]
-    return [_count_keywords(words, text, hits) for _, words in groups]
+def _scores(
+    groups: tuple[tuple[str, tuple[str, ...]], ...], text: str, whole_word: bool, extra: list[str] | None = None
+) -> str:
+    """SQL: array of one score per group; ``extra`` adds a term to each."""
+    keywords = [k for _, words in groups for k in words]
+    terms = [_score(words, "l", "h", whole_word) for _, words in groups]
+    if extra:
+        terms = [f"{t} + {e}" for t, e in zip(terms, extra)]
+    hits = "''" if whole_word else _hits("l", keywords)
+    return _let(text, "l", _let(hits, "h", f"array({', '.join(terms)})"))
 
 
-def source_boost(source: Column | str, terms: tuple[str, ...], weight: int) -> Column:
-    hit = F.lower(blank_if_null(source)).rlike("|".join(re.escape(t) for t in terms))
-    return F.when(hit, F.lit(weight)).otherwise(F.lit(0)).cast("bigint")
+def _first_best(scores: str, body: str) -> str:
+    """SQL: ``body`` with the scores as ``s`` and the best as ``b`` (v = score, o = minus its index).
 
+    On a tie the first declared wins.
+    """
+    best = "array_max(transform(s, (v, i) -> named_struct('v', v, 'o', -i)))"
+    return _let(scores, "s", _let(best, "b", body))
 
-def first_best(names: list[str], scores: Column) -> Column:
-    """Struct (score, name) of the highest score; on a tie the first declared name."""
-    entries = F.transform(
-        scores, lambda s, i: F.struct(s.alias("score"), (-i).alias("ord"))
-    )
-    top = F.array_max(entries)
-    name = F.get(F.array(*[F.lit(n) for n in names]), -top["ord"])
-    return F.struct(top["score"].alias("score"), name.alias("name"))
 
+def _names(groups) -> str:
+    return "array(" + ", ".join(_sql_text(name) for name, _ in groups) + ")"
 
-def category_scores(
-    df: DataFrame, text: Column | str = "full_text", title: Column | str = "title",
-    source: Column | str | None = "source", rules: RuleSet = DEFAULT_RULES, whole_word: bool = False,
-) -> DataFrame:
-    """Add ``_scores``: one bigint per category in declared order."""
-    names = [c for c, _ in rules.categories]
-    keywords = [k for _, words in rules.categories for k in words]
-    out = df.withColumn("_low", weighted_text(title, text))
-    if not whole_word:
-        out = out.withColumn("_hits", keyword_hits(F.col("_low"), keywords))
-    scores = _group_scores(rules.categories, "_low", "_hits", whole_word)
-    if source is not None:
-        for cat, terms, weight in rules.boosts:
-            if cat in names:
-                i = names.index(cat)
-                scores[i] = scores[i] + source_boost(source, terms, weight)
-    return out.withColumn("_scores", F.array(*scores)).drop("_low", "_hits")
+
+def _boosts(rules: RuleSet, source: str) -> list[str]:
+    """SQL: what the source adds to each category, once per boost rule."""
+    out = []
+    for cat, _ in rules.categories:
+        terms = [
+            f"if({source} rlike {_sql_text('|'.join(re.escape(t) for t in words))}, {weight}L, 0L)"
+            for c, words, weight in rules.boosts if c == cat
+        ]
+        out.append(" + ".join(terms) or "0L")
+    return out
 
 
 def classify(
@@ -143,20 +153,30 @@ def classify(
     source: Column | str | None = "source", rules: RuleSet = DEFAULT_RULES, whole_word: bool = False,
 ) -> DataFrame:
     """Add category, category_score (share of the total) and category_scores (map)."""
-    names = [c for c, _ in rules.categories]
-    empty = (blank_if_null(text) == "") & (blank_if_null(title) == "")
-    scored = category_scores(df, text, title, source, rules, whole_word)
-    scored = scored.withColumn("_best", first_best(names, F.col("_scores"))).withColumn(
-        "_total", F.aggregate("_scores", F.lit(0).cast("bigint"), lambda a, s: a + s)
+    out = df.withColumns(
+        {
+            "_low": weighted_text(title, text),
+            "_source": F.lower(blank_if_null(source)) if source is not None else F.lit(""),
+            "_empty": (blank_if_null(text) == "") & (blank_if_null(title) == ""),
+        }
+    )
+    names = _names(rules.categories)
+    boosts = _boosts(rules, "_source") if source is not None else None
+    result = _first_best(
+        _scores(rules.categories, "_low", whole_word, boosts),
+        "named_struct("
+        f"'category', if(_empty or b.v = 0, 'Other', {names}[-b.o]), "
+        "'score', if(_empty or b.v = 0, 0D, b.v / aggregate(s, 0L, (a, x) -> a + x)), "
+        f"'scores', map_from_arrays({names}, s))",
     )
-    none = empty | (F.col("_best.score") == 0)
-    return scored.withColumns(
+    out = out.withColumn("_class", F.expr(result))
+    return out.withColumns(
         {
-            "category": F.when(none, F.lit("Other")).otherwise(F.col("_best.name")),
-            "category_score": F.when(none, F.lit(0.0)).otherwise(F.col("_best.score") / F.col("_total")),
-            "category_scores": F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.col("_scores")),
+            "category": F.col("_class.category"),
+            "category_score": F.col("_class.score"),
+            "category_scores": F.col("_class.scores"),
         }
-    ).drop("_scores", "_best", "_total")
+    ).drop("_low", "_source", "_empty", "_class")
 
 
 def with_subcategory(
@@ -167,21 +187,14 @@ def with_subcategory(
 
     The text is scanned once, with the keywords of the row's own category only.
     """
-    cat = F.col(category)
-    out = df.withColumn("_low", F.lower(as_col(text)))
-    hits = F.lit(None).cast("string")
-    for c, subs in rules.subcategories:
-        keywords = [k for _, words in subs for k in words]
-        hits = F.when(cat == c, keyword_hits(F.col("_low"), keywords)).otherwise(hits)
-    out = out.withColumn("_hits", hits)
-    best = F.lit(None).cast("struct<score:bigint,name:string>")
-    for c, subs in rules.subcategories:
-        scores = F.array(*_group_scores(subs, "_low", "_hits", whole_word))
-        best = F.when(cat == c, first_best([s for s, _ in subs], scores)).otherwise(best)
-    out = out.withColumn("_best", best)
-    return out.withColumn(
-        name, F.when(F.col("_best.score") > 0, F.col("_best.name"))
-    ).drop("_low", "_hits", "_best")
+    cases = " ".join(
+        f"when {_sql_text(c)} then "
+        + _first_best(_scores(subs, "_low", whole_word), f"if(b.v > 0, {_names(subs)}[-b.o], null)")
+        for c, subs in rules.subcategories
+    )
+    out = df.withColumns({"_low": F.lower(blank_if_null(text)), "_category": F.col(category)})
+    best = F.expr(f"case _category {cases} end") if cases else F.lit(None).cast("string")
+    return out.withColumn(name, best).drop("_low", "_category")
 
 
 def classify_articles(
@@ -207,23 +220,21 @@ def section_match(df: DataFrame, text: Column | str = "full_text", sections: dic
 
     Needs ``features``; thresholds use its length, quote_count and reading_time.
     """
-    keywords = [k for s in sections.values() for k in s["keywords"]]
+    groups = tuple((name, tuple(rule["keywords"])) for name, rule in sections.items())
     out = df.withColumn("_low", F.lower(blank_if_null(text)))
-    out = out.withColumn("_hits", keyword_hits(F.col("_low"), keywords))
-    scores, passes = [], []
-    for name, rule in sections.items():
-        score = _count_keywords(tuple(rule["keywords"]), "_low", "_hits")
-        scores += [F.lit(name), score]
-        ok = F.lit(True)
-        if "min_length" in rule:
-            ok = ok & (F.col("features.length") >= rule["min_length"])
-        if "min_quotes" in rule:
-            ok = ok & (F.col("features.quote_count") >= rule["min_quotes"])
-        if "min_reading_time" in rule:
-            ok = ok & (F.col("features.reading_time") >= rule["min_reading_time"])
-        if "max_reading_time" in rule:
-            ok = ok & (F.col("features.reading_time") <= rule["max_reading_time"])
-        passes.append(F.struct(F.lit(name).alias("name"), ok.alias("ok")))
-    out = out.withColumn("section_scores", F.create_map(*scores))
-    hit = F.filter(F.array(*passes), lambda s: s["ok"] & (F.col("section_scores")[s["name"]] > 0))
-    return out.withColumn("sections", F.transform(hit, lambda s: s["name"])).drop("_low", "_hits")
+    out = out.withColumn("_sections", F.expr(_scores(groups, "_low", whole_word=False)))
+    hits = []
+    for i, (name, rule) in enumerate(sections.items()):
+        ok = F.get("_sections", F.lit(i)) > 0
+        for key, field, upper in (
+            ("min_length", "length", False), ("min_quotes", "quote_count", False),
+            ("min_reading_time", "reading_time", False), ("max_reading_time", "reading_time", True),
+        ):
+            if key in rule:
+                value = F.col(f"features.{field}")
+                ok = ok & (value <= rule[key] if upper else value >= rule[key])
+        hits.append(F.when(ok, F.lit(name)))
+    names = F.array(*[F.lit(n) for n in sections])
+    return out.withColumns(
+        {"section_scores": F.map_from_arrays(names, F.col("_sections")), "sections": F.array_compact(F.array(*hits))}
+    ).drop("_low", "_sections")

@@ -2,40 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.functions.text import extract_words
+from inkfold.functions.text import extract_words, let
 
 
-def with_word_counts(df: DataFrame, text: str, name: str = "word_counts") -> DataFrame:
-    """Add an array of (word, n, first_pos) by word.
+def word_counts(text: Column | str) -> Column:
+    """Array of (word, n, first_pos) of one text, by word.
 
     Sorting (word, position) pairs inside the row and measuring the runs needs no shuffle, whereas
-    exploding would send every word of every text over the network. Each stage is a column of its own,
-    so that it is computed once.
+    exploding would send every word of every text over the network.
     """
     pairs = F.array_sort(
         F.transform(extract_words(text), lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
     )
-    out = df.withColumn("_pairs", pairs)
-    starts = F.expr(
-        "filter(transform(_pairs, (p, i) -> if(i = 0 or p.word <> _pairs[greatest(i - 1, 0)].word, i, -1)), i -> i >= 0)"
-    )
-    out = out.withColumn("_starts", starts)
-    counts = F.expr(
-        "transform(_starts, (s, k) -> named_struct('word', _pairs[s].word, "
-        "'n', cast(coalesce(get(_starts, k + 1), size(_pairs)) - s as bigint), "
-        "'first_pos', cast(_pairs[s].pos as bigint)))"
-    )
-    return out.withColumn(name, counts).drop("_pairs", "_starts")
+
+    def starts(p: Column) -> Column:
+        marked = F.transform(
+            p,
+            lambda x, i: F.when(
+                (i == 0) | (x["word"] != F.get(p, F.greatest(i - 1, F.lit(0)))["word"]), i
+            ),
+        )
+        return F.filter(marked, lambda i: i.isNotNull())
+
+    def runs(p: Column, s: Column) -> Column:
+        return F.transform(
+            s,
+            lambda i, k: F.struct(
+                F.get(p, i)["word"].alias("word"),
+                (F.coalesce(F.get(s, k + 1), F.size(p)) - i).cast("bigint").alias("n"),
+                F.get(p, i)["pos"].cast("bigint").alias("first_pos"),
+            ),
+        )
+
+    return let(pairs, lambda p: let(starts(p), lambda s: runs(p, s)))
+
+
+def with_word_counts(df: DataFrame, text: str, name: str = "word_counts") -> DataFrame:
+    return df.withColumn(name, word_counts(text))
 
 
 def word_frequency(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key, word, n)."""
+    # The outer form: the inner one would add a size filter that counts the words a second time.
     return with_word_counts(df.select(key, text), text).select(
-        key, F.inline("word_counts")
-    ).drop("first_pos")
+        key, F.inline_outer("word_counts")
+    ).filter(F.col("word").isNotNull()).drop("first_pos")
 
 
 def top_keywords(df: DataFrame, text: str, k: int = 5, name: str = "keywords") -> DataFrame:
