@@ -33,7 +33,7 @@ def html_lines(lines: DataFrame) -> DataFrame:
     def frame(part: int, text: str) -> DataFrame:
         blank: dict[str, Column] = {n: F.lit(0).cast("bigint") for n in names}
         blank.update(issue=F.col("issue"), kind=F.col("kind"), section=F.lit(""), subsection=F.lit(""),
-                     part=F.lit(part).cast("bigint"))
+                     part=F.lit(part).cast("bigint"), feed_ord=F.lit(-1).cast("bigint"), entry_ord=F.lit(-1).cast("bigint"))
         return ids.select(*[blank[n].alias(n) for n in names], F.lit(text).alias("line"))
 
     body = lines.select(*names, to_html("line").alias("line"))
