@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkfold.functions.patterns import trie_regex
 from inkfold.functions.text import (
-    as_col, blank_if_null, count_occurrences, domain_after_scheme, host, lead_summary,
-    reading_time, sentence_count, word_count,
+    as_col, blank_if_null, count_occurrences, domain_after_scheme, host, lead_of, let, reading_time,
+    sentences, word_count,
 )
 from inkfold.rules import PAYWALL_DOMAINS, PAYWALL_TERMS, TECHNICAL_TERMS
 
 CODE_SIGNS = r"```|\{|\}|function|class|def|return|import"
 
 
-def literal_alternation(terms: list[str]) -> str:
-    return "|".join(re.escape(t) for t in terms)
-
-
 def has_code(text: Column | str) -> Column:
     return F.coalesce(as_col(text).rlike(CODE_SIGNS), F.lit(False))
 
@@ -40,7 +35,7 @@ def technical_terms(text: Column | str) -> Column:
 
 def on_paywall_domain(url: Column | str, mode: str = "host") -> Column:
     """Known paywalled site: host equal to or under it, or ``mode="substring"`` anywhere in the authority."""
-    sites = literal_alternation(PAYWALL_DOMAINS)
+    sites = trie_regex(PAYWALL_DOMAINS)
     if mode == "substring":
         hit = domain_after_scheme(url).rlike(sites)
     else:
@@ -51,7 +46,7 @@ def on_paywall_domain(url: Column | str, mode: str = "host") -> Column:
 def paywall_flag(text: Column | str, url: Column | str, mode: str = "host") -> Column:
     """A paywall phrase in the text, or a known site with fewer than 1000 characters."""
     low = F.lower(blank_if_null(text))
-    return low.rlike(literal_alternation(PAYWALL_TERMS)) | (
+    return low.rlike(trie_regex(PAYWALL_TERMS)) | (
         on_paywall_domain(url, mode) & (F.char_length(low) < 1000)
     )
 
@@ -63,6 +58,11 @@ def article_features(
     """The features struct of one article; ``html`` is the raw page the links are counted in."""
     t = blank_if_null(text)
     n_words = word_count(t)
+    # Sentences are cut once for both of their uses.
+    prose = let(
+        sentences(t),
+        lambda s: F.struct(F.size(s).cast("bigint").alias("n"), lead_of(s, t).alias("summary")),
+    )
     quotes = quote_count(t)
     if images is None:
         images = F.array().cast("array<struct<src:string,alt:string,width:string,height:string>>")
@@ -72,12 +72,12 @@ def article_features(
         has_code(t).alias("has_code"),
         (quotes * 3).alias("has_quotes"),
         quotes.alias("quote_count"),
-        sentence_count(t).alias("sentence_count"),
+        prose["n"].alias("sentence_count"),
         count_occurrences(blank_if_null(html), "href=").alias("link_count"),
         reading_time(n_words).alias("reading_time"),
         technical_terms(t).alias("technical_terms"),
         images.alias("images"),
-        lead_summary(t).alias("summary"),
+        prose["summary"].alias("summary"),
         paywall_flag(t, url, mode).alias("paywall_detected"),
         F.lit(None).cast("string").alias("main_image"),
     )

@@ -67,6 +67,11 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(as_col(text), F.lit(NON_WS + "+")), F.lit(0)).cast("bigint")
 
 
+def has_words(text: Column | str, n: int) -> Column:
+    """At least ``n`` words; reads no further than the ``n``-th."""
+    return blank_if_null(text).rlike(rf"\A{WS}*+(?:{NON_WS}++{WS}++){{{n - 1}}}{NON_WS}")
+
+
 def reading_time(word_total: Column | str) -> Column:
     """Whole minutes at 200 words a minute, at least one."""
     w = as_col(word_total)
@@ -106,14 +111,18 @@ def sentence_count(text: Column | str) -> Column:
     return F.coalesce(F.size(sentences(text)), F.lit(0)).cast("bigint")
 
 
+def lead_of(parts: Column, text: Column) -> Column:
+    """Summary of a text from its sentences."""
+    lead = F.when(F.size(parts) <= 3, F.array_join(parts, " ")).otherwise(
+        truncate_chars(F.array_join(F.slice(parts, 1, 3), " "), 500)
+    )
+    return blank_if_null(F.when(F.size(parts) > 0, lead).otherwise(truncate_chars(text, 500)))
+
+
 def lead_summary(text: Column | str) -> Column:
     """At most three sentences as they are; from a longer text its first three, cut at 500 characters."""
     t = as_col(text)
-    s = sentences(t)
-    lead = F.when(F.size(s) <= 3, F.array_join(s, " ")).otherwise(
-        truncate_chars(F.array_join(F.slice(s, 1, 3), " "), 500)
-    )
-    return blank_if_null(F.coalesce(F.nullif(lead, F.lit("")), truncate_chars(t, 500)))
+    return let(sentences(t), lambda s: lead_of(s, t))
 
 
 def extract_words(text: Column | str) -> Column:

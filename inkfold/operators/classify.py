@@ -14,46 +14,16 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkfold.functions.patterns import trie_regex
 from inkfold.functions.text import WORD, as_col, blank_if_null, weighted_text
 from inkfold.rules import DEFAULT_RULES, SECTION_RULES, RuleSet
 
 SEP = "\n"
 
 
-def _trie(words: list[str]) -> dict:
-    root: dict = {}
-    for w in words:
-        node = root
-        for ch in w:
-            node = node.setdefault(ch, {})
-        node[""] = {}
-    return root
-
-
-def _alternatives(node: dict, keys: list[str]) -> str:
-    if len(keys) <= 3:
-        return "|".join(re.escape(k) + _trie_regex(node[k]) for k in keys)
-    half = len(keys) // 2
-    parts = []
-    for side in (keys[:half], keys[half:]):
-        first = "".join(re.escape(k) for k in side)
-        parts.append(f"(?=[{first}])(?:{_alternatives(node, side)})")
-    return "|".join(parts)
-
-
-def _trie_regex(node: dict) -> str:
-    keys = sorted(k for k in node if k)
-    if not keys:
-        return ""
-    body = _alternatives(node, keys)
-    if "" in node:
-        return f"(?:{body})?"
-    return body if len(keys) == 1 else f"(?:{body})"
-
-
 def keyword_pattern(keywords: list[str]) -> str:
     """Look-ahead that captures the longest keyword starting at a position."""
-    return f"(?=({_trie_regex(_trie(keywords))}))"
+    return f"(?=({trie_regex(keywords)}))"
 
 
 def overlaps_itself(keyword: str) -> bool:

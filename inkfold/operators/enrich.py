@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkfold.functions.blocks import block_basic
 from inkfold.functions.text import (
-    WS, as_col, blank_if_null, domain, first_non_empty, format_published, reading_time, strip,
+    WS, as_col, blank_if_null, domain, first_non_empty, format_published, has_words, reading_time, strip,
     word_count,
 )
 from inkfold.operators.classify import classify, with_subcategory
@@ -22,7 +22,7 @@ META_COLUMNS = ("title", "source", "url", "author", "published", "image_url")
 
 
 def thin_content(content: Column | str = "content") -> Column:
-    return word_count(content) < THIN_WORDS
+    return ~has_words(content, THIN_WORDS)
 
 
 def choose_content(
@@ -107,24 +107,20 @@ def with_pages(articles: DataFrame, pages: DataFrame, tree: bool = True) -> Data
     The page is used only where the feed gave no summary; otherwise the summary is the fallback. Only
     thin rows are shuffled, and only pages they match are extracted.
     """
-    thin = articles.filter(thin_content())
-    rest = articles.filter(~thin_content()).withColumns(
-        {"features": F.lit(None).cast(FEATURES_DDL), "fetched": F.lit(False)}
-    )
-    wants_page = blank_if_null("summary") == ""
-    fallback = thin.filter(~wants_page).withColumns(
-        {"features": F.lit(None).cast(FEATURES_DDL), "fetched": F.lit(False),
-         "content": choose_after_fetch("summary")}
+    wants_page = thin_content() & (blank_if_null("summary") == "")
+    rest = articles.filter(~wants_page).withColumns(
+        {"content": F.when(thin_content(), choose_after_fetch("summary")).otherwise(F.col("content")),
+         "features": F.lit(None).cast(FEATURES_DDL), "fetched": F.lit(False)}
     )
     stored = pages.select(F.col("url").alias("_url_key"), "html")
-    joined = thin.filter(wants_page).withColumn("_url_key", url_key()).join(stored, "_url_key", "left")
+    joined = articles.filter(wants_page).withColumn("_url_key", url_key()).join(stored, "_url_key", "left")
     found = F.col("html").isNotNull()
     fetched = process_pages(joined.withColumn("fetched", found), tree=tree).withColumns(
         {"features": F.when(F.col("fetched"), F.col("features")),
          "content": F.when(F.col("fetched"), choose_after_fetch("text")).otherwise(F.col("content"))}
     )
     cols = [*articles.columns, "features", "fetched"]
-    return rest.select(cols).unionByName(fallback.select(cols)).unionByName(fetched.select(cols))
+    return rest.select(cols).unionByName(fetched.select(cols))
 
 
 # --- stored model responses --------------------------------------------------------------------

@@ -19,11 +19,9 @@ from inkfold.sources.tables import documents_as_articles, table
 ISSUES = {"en": "2024-02-05", "other": "2024-02-12"}
 
 
-def issue_articles(spark, sf):
-    """Two issues of classified documents, written once to the work folder."""
-    d = documents_as_articles(table(spark, sf, "documents").select("doc_id", "text", "source"))
-    lang = table(spark, sf, "documents").select(F.col("doc_id").alias("entry_ord"), "lang")
-    a = d.join(lang, "entry_ord")
+def processed_documents(spark, sf):
+    """Two issues of classified documents."""
+    a = documents_as_articles(table(spark, sf, "documents"), "lang")
     en = F.col("lang") == "en"
     day = F.lpad((F.col("entry_ord") % 28 + 1).cast("string"), 2, "0")
     a = a.withColumns(
@@ -33,7 +31,12 @@ def issue_articles(spark, sf):
             "image_url": F.when(F.col("lang") == "fr", F.concat("url", F.lit(".png"))),
         }
     )
-    return written(process_articles(a, F.when(en, ISSUES["en"]).otherwise(ISSUES["other"])), "issue-articles")
+    return process_articles(a, F.when(en, ISSUES["en"]).otherwise(ISSUES["other"]))
+
+
+def issue_articles(spark, sf):
+    """The same, written once to the work folder for queries that read it several times."""
+    return written(processed_documents(spark, sf), "issue-articles")
 
 
 _ISS = f"""iss AS (SELECT CAST(1 AS BIGINT) AS feed_ord, doc_id AS entry_ord, split_part(text, chr(10), 1) AS title,
@@ -76,14 +79,14 @@ NL = "chr(10)"
 
 @query("category_counts", f"WITH {FIN} SELECT issue, category, n AS articles FROM {CATS}")
 def category_counts_query(spark, sf):
-    return category_counts(issue_articles(spark, sf), "issue")
+    return category_counts(processed_documents(spark, sf), "issue")
 
 
 @query("subcategory_groups", f"""
     WITH {FIN} SELECT issue, category, CASE WHEN sub = '' THEN 'Other' ELSE sub END AS subcategory, sub = '' AS is_other,
       count(*) AS articles, min(feed_ord) AS first_feed, min(entry_ord) AS first_entry FROM fin GROUP BY issue, category, sub""")
 def subcategory_groups_query(spark, sf):
-    return subcategory_groups(issue_articles(spark, sf), "issue")
+    return subcategory_groups(processed_documents(spark, sf), "issue")
 
 
 @query("paywalled_count", f"""
@@ -91,14 +94,14 @@ def subcategory_groups_query(spark, sf):
     SELECT issue, paywalled, CASE WHEN paywalled > 0 THEN '*Note: ' || paywalled || ' article' || CASE WHEN paywalled > 1 THEN 's' ELSE '' END ||
       ' may be behind a paywall.*' END AS note FROM c""")
 def paywalled_count_query(spark, sf):
-    return paywalled_count(issue_articles(spark, sf), "issue")
+    return paywalled_count(processed_documents(spark, sf), "issue")
 
 
 @query("category_lists", f"""
     WITH {FIN}, b AS (SELECT category, feed_ord, entry_ord, entry_ord // 100 AS part, {q.basic_block('full_text', "coalesce(author, '')", "coalesce(shown, '')")} AS block FROM fin)
     SELECT category, feed_ord, part, md5(string_agg(block, chr(10) ORDER BY entry_ord)) AS digest FROM b GROUP BY ALL""")
 def category_lists_query(spark, sf):
-    lists = digest.category_lists(issue_articles(spark, sf), F.col("block"), rows_per_part=100)
+    lists = digest.category_lists(processed_documents(spark, sf), F.col("block"), rows_per_part=100)
     return lists.select("category", "feed_ord", "part", F.md5(F.array_join("blocks", "\n")).alias("digest"))
 
 
@@ -187,7 +190,7 @@ _MORE = "'[Read more](' || url || ')'"
 @query("metadata_lines", f"""
     WITH {FIN} SELECT entry_ord, {_META_LINE} AS one_line, {_TABS} AS tabs, {_META_LINES} AS lines FROM fin""")
 def metadata_lines_query(spark, sf):
-    return issue_articles(spark, sf).select(
+    return processed_documents(spark, sf).select(
         "entry_ord", metadata_line().alias("one_line"), metadata_tabs().alias("tabs"), metadata_lines().alias("lines"))
 
 
@@ -263,7 +266,7 @@ def contents_query(spark, sf):
         {_MORE} || {NL} || {NL} || '---' || {NL} || {NL}) AS original, md5({_BLOCK}) AS basic FROM ext""")
 def article_blocks(spark, sf):
     """Basic, full and original blocks; here the extract has 500 words in both."""
-    a = issue_articles(spark, sf).withColumn("processed_content", F.lit(None).cast("string"))
+    a = processed_documents(spark, sf).withColumn("processed_content", F.lit(None).cast("string"))
     e = extract_paragraphs(a, "full_text", 500, "extract")
     return e.select(
         "entry_ord", F.md5(block_full(F.col("extract"), F.col("extract"))).alias("full_block"),
@@ -271,7 +274,7 @@ def article_blocks(spark, sf):
     )
 
 
-_HTML_ITEM = "'- <a href=\"' || url || '\">' || title || '</a>'"
+_HTML_ITEM = ("'- <a href=\"' || url || '\">' || regexp_replace(title, '\\*\\*([^*<]+)\\*\\*', '<strong>\\1</strong>', 'g') || '</a>'")
 
 
 @query("html_digest", f"""

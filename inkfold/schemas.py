@@ -1,9 +1,7 @@
-"""Explicit schemas. Nothing in the library relies on inference."""
-
-from pyspark.sql.types import StructType
+"""Explicit schemas as DDL text. Nothing in the library relies on inference."""
 
 # One Atom entry as the XML reader sees it: attributes carry "_", element text is "_VALUE".
-ENTRY = StructType.fromDDL(
+ENTRY = (
     """
     title struct<_VALUE string, _type string>,
     link array<struct<_VALUE string, _rel string, _href string>>,
@@ -28,7 +26,7 @@ FEATURES_DDL = (
 )
 
 # One article. Row order is data: (feed_ord, entry_ord) is unique.
-ARTICLE = StructType.fromDDL(
+ARTICLE = (
     "article_id string, feed_ord bigint, entry_ord bigint, title string, url string, domain string, "
     "image_url string, author string, source string, summary string, read_more_url string, "
     "published string, published_ts timestamp, full_text string, content string, "
@@ -38,11 +36,12 @@ ARTICLE = StructType.fromDDL(
 )
 
 # A model response stored as text.
-RESPONSE = StructType.fromDDL(
+RESPONSE = (
     "category string, subcategory string, formatted_markdown string, confidence string"
 )
 
-CACHE = StructType.fromDDL("url string, content string, features string, cached_at timestamp")
+CACHE_COLUMNS = ("url", "content", "features", "cached_at")
+CACHE = "url string, content string, features string, cached_at timestamp"
 
 # One digest line. Sorting by every column but the last gives the document order.
 DIGEST_ORDER = ("issue", "kind", "part", "section_ord", "section", "sub_ord", "subsection",

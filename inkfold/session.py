@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -27,15 +28,19 @@ def build_session(app: str = "inkfold", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_base(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix="inkfold-")
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is used and recorded.
+    Only where that setting is absent, as in local tests, a temporary folder is used instead.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not base:
-        base = tempfile.mkdtemp(prefix="inkfold-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.schemas import CACHE
+from inkfold.schemas import CACHE, CACHE_COLUMNS
 
 
 def cache_rows(processed: DataFrame, as_of: str | Column, content: str = "content", features: str = "features") -> DataFrame:
@@ -21,8 +21,8 @@ def cache_upsert(cache: DataFrame, rows: DataFrame) -> DataFrame:
 
     ``max_by`` on a partial aggregate keeps one row per URL and task before the shuffle.
     """
-    both = cache.select(*CACHE.names, F.lit(0).alias("_gen")).unionByName(
-        rows.select(*CACHE.names, F.lit(1).alias("_gen"))
+    both = cache.select(*CACHE_COLUMNS, F.lit(0).alias("_gen")).unionByName(
+        rows.select(*CACHE_COLUMNS, F.lit(1).alias("_gen"))
     )
     rank = F.struct("_gen", "cached_at", "content", "features")
     return both.groupBy("url").agg(F.max(rank).alias("_top")).select(

@@ -18,8 +18,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("domain", domain("url"))
 
 
-def documents_as_articles(documents: DataFrame) -> DataFrame:
-    """Article view of a document table: title is the first line, one feed, ordered by id."""
+def documents_as_articles(documents: DataFrame, *keep: str) -> DataFrame:
+    """Article view of a document table: title is the first line, one feed, ordered by id.
+
+    ``keep`` names further columns to carry along.
+    """
     docs = spread(documents)
     url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.col("doc_id").cast("string"))
     return docs.select(
@@ -35,12 +38,13 @@ def documents_as_articles(documents: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("published"),
         F.col("text").alias("full_text"),
         F.col("text").alias("content"),
+        *keep,
     )
 
 
 def pages_as_articles(pages: DataFrame, feed_ord: int = 2) -> DataFrame:
     """Article view of a page table: no text yet, only an address."""
-    return pages.select(
+    return spread(pages).select(
         F.lit(feed_ord).cast("bigint").alias("feed_ord"),
         F.col("page_id").cast("bigint").alias("entry_ord"),
         F.lit("").alias("title"),
