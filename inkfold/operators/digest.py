@@ -84,10 +84,10 @@ def _subgroups(articles: DataFrame) -> DataFrame:
 def newsletter(articles: DataFrame, title: str = TITLE, body: Column | None = None) -> DataFrame:
     """Counts per category, then the blocks of every category A to Z.
 
-    ``body`` is the block; by default the basic block of the local rule path.
+    ``body`` is the block; by default ``processed_content``, or the basic block where that is empty.
     """
     kind = "newsletter"
-    block = body if body is not None else block_basic(local_body())
+    block = body if body is not None else F.coalesce(first_non_empty("processed_content"), block_basic(local_body()))
     counts = category_counts(articles, "issue")
     head = F.concat(F.lit(f"# {title}\n\n"), _generated(), F.lit("\n\n## In This Issue\n"))
     return _union(

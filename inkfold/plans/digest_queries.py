@@ -101,7 +101,7 @@ def paywalled_count_query(spark, sf):
     WITH {FIN}, b AS (SELECT category, feed_ord, entry_ord, entry_ord // 100 AS part, {q.basic_block('full_text', "coalesce(author, '')", "coalesce(shown, '')")} AS block FROM fin)
     SELECT category, feed_ord, part, md5(string_agg(block, chr(10) ORDER BY entry_ord)) AS digest FROM b GROUP BY ALL""")
 def category_lists_query(spark, sf):
-    lists = digest.category_lists(processed_documents(spark, sf), F.col("block"), rows_per_part=100)
+    lists = digest.category_lists(processed_documents(spark, sf), F.col("processed_content"), rows_per_part=100)
     return lists.select("category", "feed_ord", "part", F.md5(F.array_join("blocks", "\n")).alias("digest"))
 
 
@@ -141,7 +141,7 @@ def _newsletter_sql() -> str:
 
 @query("newsletter", f"WITH {FIN} {_newsletter_sql()}")
 def newsletter_query(spark, sf):
-    return digest.newsletter(issue_articles(spark, sf), body=F.col("block"))
+    return digest.newsletter(issue_articles(spark, sf))
 
 
 def _reading_list_sql() -> str:

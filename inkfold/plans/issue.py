@@ -56,7 +56,7 @@ def process_articles(
                 F.concat_ws(":", F.col("feed_ord").cast("string"), F.col("entry_ord").cast("string"))),
         }
     )
-    return out.withColumn("block", block_basic(F.col("_body"))).drop("_body")
+    return out.withColumn("processed_content", block_basic(F.col("_body"))).drop("_body")
 
 
 def build_issue(

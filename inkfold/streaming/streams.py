@@ -9,7 +9,7 @@ from inkfold.operators.dedup import dedupe_by_url, url_key
 from inkfold.operators.health import fold_summaries, log_summaries
 from inkfold.operators.summary import weekly_counts
 from inkfold.schemas import ENTRY
-from inkfold.sources.feeds import CORRUPT, XML_OPTIONS, entry_fields
+from inkfold.sources.feeds import CORRUPT, XML_OPTIONS, entry_fields, feed_file
 
 NO_STATE = "domain string, events bigint, failures bigint, backoff double"
 
@@ -22,8 +22,9 @@ def stream_articles(spark: SparkSession, folder: str, files_per_trigger: int | N
     )
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    raw = reader.load(folder).select("*", F.col("_metadata.file_path").alias("feed_file"))
-    return raw.filter(F.col(CORRUPT).isNull()).select(
+    raw = reader.load(folder).select("*", feed_file().alias("feed_file"))
+    good = F.col(CORRUPT).isNull() & ~F.coalesce(F.col("published") == "\x00", F.lit(False))
+    return raw.filter(good).select(
         "feed_file", *[v.alias(k) for k, v in entry_fields().items()]
     )
 
