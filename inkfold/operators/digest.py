@@ -183,8 +183,8 @@ def number_contents(articles: DataFrame) -> DataFrame:
     a = articles.withColumn("subcategory", blank_if_null("subcategory"))
     groups = _contents_groups(a)
     keys = ["issue", "category", "subcategory"]
-    placed = position(a, keys, "_place", ("feed_ord", "entry_ord"))
-    numbered = placed.join(groups.select(*keys, "cat_no", "name_rank", "n_subs"), keys)
+    ranks = groups.select(*keys, "cat_no", "name_rank", "n_subs")
+    numbered = position(a, keys, "_place", ("feed_ord", "entry_ord"), attach=ranks)
     number = F.concat_ws(
         ".", F.col("cat_no"), F.when(F.col("n_subs") > 0, F.col("name_rank")), F.col("_place")
     )

@@ -123,6 +123,29 @@ def with_pages(articles: DataFrame, pages: DataFrame, tree: bool = True) -> Data
     return rest.select(cols).unionByName(fetched.select(cols))
 
 
+def enrich_content(
+    articles: DataFrame, pages: DataFrame, cache: DataFrame, as_of: Column | str, days: int = 7,
+    refresh: bool = False, tree: bool = True,
+) -> DataFrame:
+    """Content and features of thin articles: from the cache where it is fresh, else from the page.
+
+    ``content_from`` is ``feed``, ``cache`` or ``page``; rows found in the cache skip extraction.
+    """
+    plain = articles.filter(~thin_content()).withColumns(
+        {"features": F.lit(None).cast(FEATURES_DDL), "content_from": F.lit("feed")}
+    )
+    looked_up = with_cache(articles.filter(thin_content()), cache, as_of, days, refresh)
+    cols = [*articles.columns, "features", "content_from"]
+    hits = looked_up.filter("from_cache").withColumns(
+        {"content": choose_after_fetch("cached_content"), "features": F.col("cached_features"),
+         "content_from": F.lit("cache")}
+    )
+    misses = with_pages(looked_up.filter("not from_cache").select(articles.columns), pages, tree).withColumn(
+        "content_from", F.when(F.col("fetched"), "page").otherwise("feed")
+    )
+    return plain.select(cols).unionByName(hits.select(cols)).unionByName(misses.select(cols))
+
+
 # --- stored model responses --------------------------------------------------------------------
 
 SYSTEM_PROMPT = (
@@ -192,15 +215,18 @@ def resolve_enrichment(
     ``resolved_by`` is ``json``, ``text`` or ``rules``. Domain and reading time are always set.
     """
     out = with_responses(articles, responses).withColumn("_body", choose_content())
-    out = classify(out, "_body", rules=rules).withColumnsRenamed(
+    answered = F.coalesce("_answered", F.lit(False))
+    # The rules read a text only where the response leaves something open.
+    open_category = F.when(~answered | F.col("r_category").isNull(), F.col("_body"))
+    open_subcategory = F.when(~answered | F.col("r_subcategory").isNull(), F.col("_body"))
+    out = classify(out, open_category, rules=rules).withColumnsRenamed(
         {"category": "_rule_category", "category_score": "_rule_score"}
     )
-    answered = F.coalesce("_answered", F.lit(False))
     is_json = answered & F.col("is_json")
     out = out.withColumn(
         "category", F.when(answered, F.coalesce("r_category", "_rule_category")).otherwise(F.col("_rule_category"))
     )
-    out = with_subcategory(out, "_body", rules=rules, name="_rule_subcategory")
+    out = with_subcategory(out, open_subcategory, rules=rules, name="_rule_subcategory")
     score = F.when(is_json, F.col("r_confidence")).when(~answered, F.col("_rule_score"))
     out = out.withColumns(
         {

@@ -16,12 +16,13 @@ BLOCK_FEEDS = 10_000
 
 def running_total(
     df: DataFrame, keys: list[str], value: Column, name: str, order: tuple[str, str],
-    block_rows: int = BLOCK_ROWS, block_feeds: int = BLOCK_FEEDS,
+    block_rows: int = BLOCK_ROWS, block_feeds: int = BLOCK_FEEDS, attach: DataFrame | None = None,
 ) -> DataFrame:
     """Add the sum of ``value`` over the group's rows up to this one.
 
     ``order`` is (major, minor), two whole-number columns, unique together inside a group; ``keys`` must
-    not be null.
+    not be null. ``attach`` holds one row per group; its columns come along with the block totals, so
+    that the article rows are not shuffled once more for them.
     """
     major, minor = order
     block = ["_major_block", major, "_minor_block"]
@@ -54,13 +55,17 @@ def running_total(
     offsets = fine.join(coarse, [*keys, "_major_block"]).select(
         *keys, *block, (F.col("_fine_before") + F.col("_coarse_before")).alias("_before")
     )
+    added = [name]
+    if attach is not None:
+        offsets = offsets.join(attach, keys)
+        added += [c for c in attach.columns if c not in keys]
     inside = Window.partitionBy(*keys, *block).orderBy(minor).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_inside", F.sum("_value").over(inside))
     return d.join(offsets, [*keys, *block]).withColumn(
         name, F.col("_before") + F.col("_inside")
-    ).select(*df.columns, name)
+    ).select(*df.columns, *added)
 
 
-def position(df: DataFrame, keys: list[str], name: str, order: tuple[str, str], **blocks: int) -> DataFrame:
+def position(df: DataFrame, keys: list[str], name: str, order: tuple[str, str], **options) -> DataFrame:
     """Add the 1-based position of a row inside its group."""
-    return running_total(df, keys, F.lit(1), name, order, **blocks)
+    return running_total(df, keys, F.lit(1), name, order, **options)

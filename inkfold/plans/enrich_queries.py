@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkfold.functions.features import article_features
 from inkfold.operators.enrich import (
-    choose_after_fetch, choose_content, fill_blank, fresh_cache, local_body, parse_response, prompt_rows,
+    choose_after_fetch, choose_content, enrich_content, fill_blank, fresh_cache, local_body, parse_response, prompt_rows,
     resolve_enrichment, thin_content, with_cache, with_pages,
 )
 from inkfold.plans import sql_parts as q
@@ -149,6 +149,23 @@ def with_pages_query(spark, sf):
     return with_pages(feed, p).select("feed_ord", "entry_ord", "fetched", F.md5("content").alias("content"))
 
 
+@query("enrich_content", f"""
+    WITH {q.PAGE_TEXT}, stored AS (SELECT url, 'kept ' || length(html) AS content FROM pages
+      WHERE TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR * page_id > TIMESTAMP '{AS_OF}' - INTERVAL 2 DAY)
+    SELECT p.page_id, CASE WHEN s.url IS NOT NULL THEN 'cache' ELSE 'page' END AS content_from,
+           coalesce(s.content, p.text) AS content, length(coalesce(s.content, p.text)) AS length
+    FROM page_text p LEFT JOIN stored s USING (url)""")
+def enrich_content_query(spark, sf):
+    """Pages stored within two days come from the cache, the others are extracted."""
+    p = table(spark, sf, "pages")
+    kept = F.concat(F.lit("kept "), F.char_length("html").cast("string"))
+    cache = p.select(
+        "url", kept.alias("content"), F.to_json(F.struct(F.char_length(kept).alias("length"))).alias("features"),
+        (F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(hours=F.col("page_id").cast("int"))).alias("cached_at"))
+    out = enrich_content(pages_as_articles(p), p, cache, AS_OF, days=2)
+    return out.select(F.col("entry_ord").alias("page_id"), "content_from", "content", "features.length")
+
+
 _RESPONSES = """resp AS (SELECT d.doc_id, 'https://' || d.source || '.example.com/' || d.doc_id AS url, l.quality, l.toxic, d.lang, d.source,
       CASE WHEN l.quality = 1 AND l.toxic = 0 THEN
              CASE WHEN d.lang = 'en' THEN '{"category":"Essays","subcategory":"' || d.source || '","formatted_markdown":"md ' || d.doc_id || '","confidence":' || (d.doc_id % 100) / 100 || '}'
