@@ -46,7 +46,11 @@ def main_content(html: Column | str) -> Column:
     h = as_col(html)
     article = F.regexp_extract(h, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
     body = F.regexp_extract(h, r"(?is)<body\b[^>]*>(.*)</body\s*>", 1)
-    return F.coalesce(F.nullif(article, F.lit("")), F.nullif(body, F.lit("")), h)
+
+    def filled(part: Column) -> Column:
+        return let(part, lambda p: F.nullif(p, F.lit("")))
+
+    return F.coalesce(filled(article), filled(body), h)
 
 
 def needs_tree(html: Column | str) -> Column:
@@ -65,8 +69,6 @@ def blank_if_false(c: Column) -> Column:
 
 def unescape(text: Column | str) -> Column:
     """Decode named entities and numeric references."""
-    t = as_col(text)
-    numeric = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
 
     def char(ref: Column) -> Column:
         digits = F.regexp_extract(ref, r"&#[xX]?([0-9a-fA-F]+);", 1)
@@ -75,13 +77,20 @@ def unescape(text: Column | str) -> Column:
         safe = F.when(valid, code).otherwise(F.lit(0xFFFD))
         return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
 
-    t = F.when(
-        F.contains(t, F.lit("&#")), F.aggregate(numeric, t, lambda acc, ref: F.replace(acc, ref, char(ref)))
-    ).otherwise(t)
-    named = t
-    for entity, value in ENTITIES.items():
-        named = F.replace(named, F.lit(entity), F.lit(value))
-    return F.when(F.contains(t, F.lit("&")), named).otherwise(t)
+    def numeric(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0))
+        return F.aggregate(F.array_distinct(found), t, lambda acc, ref: F.replace(acc, ref, char(ref)))
+
+    def named(t: Column) -> Column:
+        for entity, value in ENTITIES.items():
+            t = F.replace(t, F.lit(entity), F.lit(value))
+        return t
+
+    def decode(t: Column) -> Column:
+        with_chars = F.when(F.contains(t, F.lit("&#")), numeric(t)).otherwise(t)
+        return F.when(F.contains(t, F.lit("&")), named(with_chars)).otherwise(t)
+
+    return let(as_col(text), decode)
 
 
 def node_text(fragment: Column | str, sep: str = "") -> Column:

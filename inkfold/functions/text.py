@@ -86,10 +86,9 @@ def truncate_chars(text: Column | str, n: int = 500) -> Column:
 def truncate_words(text: Column | str, n: int) -> Column:
     """Text of more than ``n`` words becomes its first ``n`` words and an ellipsis."""
     t = as_col(text)
-    w = words(t)
-    return F.when(
+    return let(words(t), lambda w: F.when(
         F.size(w) > n, F.concat(F.array_join(F.slice(w, 1, n), " "), F.lit("..."))
-    ).otherwise(t)
+    ).otherwise(t))
 
 
 def strip(text: Column | str) -> Column:
@@ -186,14 +185,13 @@ def _lines(text: Column) -> Column:
 
 def has_single_char_lines(text: Column | str) -> Column:
     t = as_col(text)
-    filled = F.filter(_lines(t), lambda x: x != "")
-    single = F.filter(filled, lambda x: F.char_length(x) <= 1)
-    return (
-        F.contains(t, F.lit("\n"))
-        & (F.char_length(strip(t)) > 20)
-        & (F.size(filled) > 5)
-        & (F.size(single) / F.size(filled) > 0.6)
-    )
+
+    def mostly_single(filled: Column) -> Column:
+        single = F.filter(filled, lambda x: F.char_length(x) <= 1)
+        return (F.size(filled) > 5) & (F.size(single) / F.size(filled) > 0.6)
+
+    filled_lines = F.filter(_lines(t), lambda x: x != "")
+    return F.contains(t, F.lit("\n")) & (F.char_length(strip(t)) > 20) & let(filled_lines, mostly_single)
 
 
 def has_spaced_chars(text: Column | str) -> Column:

@@ -44,6 +44,11 @@ def _union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _with_category(articles: DataFrame) -> DataFrame:
+    """An article without category counts as ``Unclassified``; ``issue`` is always set."""
+    return articles.withColumn("category", F.coalesce("category", F.lit("Unclassified")))
+
+
 def _issues(articles: DataFrame) -> DataFrame:
     return articles.select("issue").distinct()
 
@@ -87,6 +92,7 @@ def newsletter(articles: DataFrame, title: str = TITLE, body: Column | None = No
     ``body`` is the block; by default ``processed_content``, or the basic block where that is empty.
     """
     kind = "newsletter"
+    articles = _with_category(articles)
     block = body if body is not None else F.coalesce(first_non_empty("processed_content"), block_basic(local_body()))
     counts = category_counts(articles, "issue")
     head = F.concat(F.lit(f"# {title}\n\n"), _generated(), F.lit("\n\n## In This Issue\n"))
@@ -102,7 +108,7 @@ def newsletter(articles: DataFrame, title: str = TITLE, body: Column | None = No
 def sectioned_newsletter(articles: DataFrame, title: str = TITLE, limit: int = 1500) -> DataFrame:
     """Newsletter with a section per subcategory in first-seen order and ``Other`` last."""
     kind = "newsletter_sections"
-    a = articles.withColumn("subcategory", blank_if_null("subcategory"))
+    a = _with_category(articles).withColumn("subcategory", blank_if_null("subcategory"))
     groups = _subgroups(a)
     counts = groups.groupBy("issue", "category").agg(F.sum("articles").alias("articles"))
     head = F.concat(F.lit(f"# {title}\n"), _generated(), F.lit("\n\n## In This Issue"))
@@ -125,6 +131,7 @@ def sectioned_newsletter(articles: DataFrame, title: str = TITLE, limit: int = 1
 def reading_list(articles: DataFrame, title: str = TITLE) -> DataFrame:
     """Links by category."""
     kind = "reading_list"
+    articles = _with_category(articles)
     cats = articles.select("issue", "category").distinct()
     head = F.concat(F.lit(f"# {title} - Reading List\n\n"), _generated(), F.lit("\n"))
     return _union(
@@ -138,6 +145,7 @@ def reading_list(articles: DataFrame, title: str = TITLE) -> DataFrame:
 def marked_reading_list(articles: DataFrame, title: str = TITLE) -> DataFrame:
     """Reading list with paywall note and locks; headings only when there is more than one category."""
     kind = "reading_list_marked"
+    articles = _with_category(articles)
     cats = articles.select("issue", "category").distinct()
     several = cats.groupBy("issue").agg((F.count("*") > 1).alias("several"))
     cats = cats.join(several, "issue").filter("several")
@@ -180,7 +188,7 @@ def number_contents(articles: DataFrame) -> DataFrame:
     Categories and subcategories are ranked on their small aggregate; the last number is a block-wise
     position, so a category may hold any share of the rows.
     """
-    a = articles.withColumn("subcategory", blank_if_null("subcategory"))
+    a = _with_category(articles).withColumn("subcategory", blank_if_null("subcategory"))
     groups = _contents_groups(a)
     keys = ["issue", "category", "subcategory"]
     ranks = groups.select(*keys, "cat_no", "name_rank", "n_subs")
@@ -201,7 +209,7 @@ def _contents_groups(a: DataFrame) -> DataFrame:
 def contents(articles: DataFrame, title: str = TITLE) -> DataFrame:
     """Table of contents with slugs, then numbered lists."""
     kind = "contents"
-    a = articles.withColumn("subcategory", blank_if_null("subcategory"))
+    a = _with_category(articles).withColumn("subcategory", blank_if_null("subcategory"))
     groups = _contents_groups(a)
     cats = groups.select("issue", "category", "cat_no").distinct()
     cat_no = F.col("cat_no").cast("string")

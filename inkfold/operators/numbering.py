@@ -20,16 +20,16 @@ def running_total(
 ) -> DataFrame:
     """Add the sum of ``value`` over the group's rows up to this one.
 
-    ``order`` is (major, minor), two whole-number columns, unique together inside a group; ``keys`` must
-    not be null. ``attach`` holds one row per group; its columns come along with the block totals, so
+    ``order`` is (major, minor), two whole-number columns, unique together inside a group and reasonably
+    dense, as feed and entry positions are; neither they nor ``keys`` may be null. ``attach`` holds one row per group; its columns come along with the block totals, so
     that the article rows are not shuffled once more for them.
     """
     major, minor = order
     block = ["_major_block", major, "_minor_block"]
     d = df.withColumns(
         {
-            "_major_block": F.floor(F.col(major) / block_feeds),
-            "_minor_block": F.floor(F.col(minor) / block_rows),
+            "_major_block": F.expr(f"`{major}` div {int(block_feeds)}"),
+            "_minor_block": F.expr(f"`{minor}` div {int(block_rows)}"),
             "_value": value.cast("bigint"),
         }
     )

@@ -13,7 +13,8 @@ from inkfold.plans import sql_parts as q
 from inkfold.plans.catalog import query
 from inkfold.plans.issue import process_articles, written
 from inkfold.plans.text_queries import _KIND, _LINES, _SPACED
-from inkfold.sources.sinks import conversion_status, html_lines
+from inkfold.session import work_dir
+from inkfold.sources.sinks import conversion_status, html_lines, write_digest_md
 from inkfold.sources.tables import documents_as_articles, table
 
 ISSUES = {"en": "2024-02-05", "other": "2024-02-12"}
@@ -290,3 +291,15 @@ def html_digest(spark, sf):
     SELECT issue, kind, count(*) AS rows, true AS converted FROM lines GROUP BY issue, kind""")
 def conversion_status_query(spark, sf):
     return conversion_status(digest.reading_list(issue_articles(spark, sf)))
+
+
+@query("digest_files", f"""
+    WITH {FIN}, lines AS ({_reading_list_sql()})
+    SELECT issue, kind, line AS text_line, count(*) AS n
+    FROM (SELECT issue, kind, unnest(string_split(line, chr(10))) AS line FROM lines) GROUP BY ALL""")
+def digest_files(spark, sf):
+    """A reading list written as text and read back."""
+    path = work_dir(spark, "digest-files")
+    write_digest_md(digest.reading_list(issue_articles(spark, sf)), path)
+    stored = spark.read.schema("value string, issue string, kind string").option("lineSep", "\n").text(path)
+    return stored.groupBy("issue", "kind", F.col("value").alias("text_line")).agg(F.count("*").alias("n"))

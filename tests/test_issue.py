@@ -72,6 +72,15 @@ def test_contents_and_lists(spark):
         "## AI", "### LLMs", "### AI Ethics", "## Other", "## Programming", "### Languages"]
 
 
+def test_articles_without_category_are_kept(spark):
+    done = process_articles(articles(spark).filter("title <> 'Copy'"), "2025-02-07")
+    done = done.withColumn("category", F.when(F.col("category") != "AI", F.col("category"))).cache()
+    assert digest.number_contents(done).count() == 4
+    for make in (digest.newsletter, digest.contents, digest.reading_list):
+        assert sum("On gpt" in x for x in lines(make(done))) == 1
+    assert "3. [Unclassified](#unclassified)" in lines(digest.contents(done))
+
+
 def test_cache_snapshots(spark, tmp_path):
     def rows(pairs, at):
         df = spark.createDataFrame(pairs, "url string, content string").withColumn("features", F.lit(None).cast(FEATURES_DDL))
