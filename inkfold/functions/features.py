@@ -12,6 +12,7 @@ from inkfold.functions.text import (
 )
 from inkfold.rules import PAYWALL_DOMAINS, PAYWALL_TERMS, TECHNICAL_TERMS
 
+# Signs of code in a text.
 CODE_SIGNS = r"```|\{|\}|function|class|def|return|import"
 
 

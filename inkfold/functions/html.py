@@ -9,10 +9,24 @@ from pyspark.sql import functions as F
 
 from inkfold.functions.text import WS, as_col, blank_if_null, count_occurrences, let, normalize_ws, strip
 
+# Elements that are never content, and class words that mark the main part.
 BOILERPLATE_TAGS = ("script", "style", "nav", "footer", "header", "aside")
 MAIN_CLASS_TERMS = ("article", "content", "post", "entry")
 BLOCK_MARK = "\x01"
 
+# What is removed from a text that may hold page remains, in this order.
+SCRUB_PATTERNS = (
+    r"(?is)<\s*!DOCTYPE.*?>",
+    r"(?is)<html.*?>.*?</html>",
+    r"(?id)<\s*meta.*?>",
+    r"(?id)<\s*link.*?>",
+    r"(?is)<\s*script.*?>.*?</\s*script\s*>",
+    r"(?is)<\s*style.*?>.*?</\s*style\s*>",
+)
+
+# An open tag followed by a close tag.
+HTML_PATTERN = r"(?s)<[a-zA-Z][^>]*>(.*?)</[a-zA-Z][^>]*>"
+
 # Named entities and their characters; "&amp;" has to come last.
 ENTITIES = {
     "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ",
@@ -26,7 +40,7 @@ ENTITIES = {
 
 def is_html(text: Column | str) -> Column:
     """True when the text has an open tag followed by a close tag."""
-    return as_col(text).rlike(r"(?s)<[a-zA-Z][^>]*>(.*?)</[a-zA-Z][^>]*>")
+    return as_col(text).rlike(HTML_PATTERN)
 
 
 def strip_boilerplate(html: Column | str) -> Column:
@@ -111,12 +125,9 @@ def block_texts(main: Column | str) -> Column:
 def scrub_html(text: Column | str) -> Column:
     """Remove doctype, a wrapped document, meta, link, script and style remains."""
     t = as_col(text)
-    t = F.regexp_replace(t, r"(?is)<\s*!DOCTYPE.*?>", "")
-    t = F.regexp_replace(t, r"(?is)<html.*?>.*?</html>", "")
-    t = F.regexp_replace(t, r"(?id)<\s*meta.*?>", "")
-    t = F.regexp_replace(t, r"(?id)<\s*link.*?>", "")
-    t = F.regexp_replace(t, r"(?is)<\s*script.*?>.*?</\s*script\s*>", "")
-    return F.regexp_replace(t, r"(?is)<\s*style.*?>.*?</\s*style\s*>", "")
+    for pattern in SCRUB_PATTERNS:
+        t = F.regexp_replace(t, pattern, "")
+    return t
 
 
 def main_text(main: Column | str, blocks: Column | str) -> Column:

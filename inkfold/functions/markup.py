@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkfold.functions.text import WORD, WS, as_col, strip
 
+# The metadata div of a digest and what joins its pairs in HTML.
 META_DIV = r'(?s)<div class="metadata">\n(.*?)\n</div>'
 META_JOIN = "&nbsp;&nbsp;•&nbsp;&nbsp;"
 

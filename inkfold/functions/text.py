@@ -14,9 +14,15 @@ WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 NON_WS = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 
-# The sentence-split rule: a space after . ? ! unless it follows "x.y." or "Xx."
+# The sentence-split rule, a space after . ? ! unless it follows "x.y." or "Xx."
 SENTENCE_BREAK = rf"(?<!{WORD}\.{WORD}[^\n])(?<![A-Z][a-z]\.)(?<=[.?!]){WS}"
 
+# Signs of text split into characters, and of markup broken the same way.
+SPACED_CHARS = rf"(?<!{WORD}){WORD} {WORD} {WORD} {WORD}(?!{WORD})"
+SPLIT_LINES = rf"\n{WS}*{WORD}{WS}*\n{WS}*{WORD}{WS}*\n{WS}*{WORD}"
+MALFORMED_HTML = r"<[a-zA-Z][^>]{0,1}>[^<]{0,1}<"
+
+# The one date form that is parsed.
 PUBLISHED_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
@@ -195,15 +201,15 @@ def has_single_char_lines(text: Column | str) -> Column:
 
 
 def has_spaced_chars(text: Column | str) -> Column:
-    return as_col(text).rlike(rf"(?<!{WORD}){WORD} {WORD} {WORD} {WORD}(?!{WORD})")
+    return as_col(text).rlike(SPACED_CHARS)
 
 
 def has_split_lines(text: Column | str) -> Column:
-    return as_col(text).rlike(rf"\n{WS}*{WORD}{WS}*\n{WS}*{WORD}{WS}*\n{WS}*{WORD}")
+    return as_col(text).rlike(SPLIT_LINES)
 
 
 def is_malformed_html(text: Column | str) -> Column:
-    return as_col(text).rlike(r"<[a-zA-Z][^>]{0,1}>[^<]{0,1}<")
+    return as_col(text).rlike(MALFORMED_HTML)
 
 
 def join_lines(text: Column | str) -> Column:

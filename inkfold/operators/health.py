@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Back-off bounds in seconds, failures before it grows, and its steps.
 BASE = 1.0
 CAP = 60.0
 THRESHOLD = 3
@@ -53,9 +54,8 @@ class _Run:
             self.maps = [then_success(m) for m in self.maps]
             return
         self.tail += 1
-        before = 0 if self.had_success else None
         self.maps = [
-            then_backoff(m) if (start if before is None else 0) + self.tail >= THRESHOLD else m
+            then_backoff(m) if (0 if self.had_success else start) + self.tail >= THRESHOLD else m
             for start, m in enumerate(self.maps)
         ]
 
