@@ -65,6 +65,11 @@ def run_dedupe(
         firsts = dedupe_by_url(batch.withColumn("_event", F.col(ts)), url)
         if batch_id > 0 and _exists(spark, out):
             sent = spark.read.option("basePath", out).parquet(out).filter(F.col("batch") < batch_id)
+            # Older URLs block nothing in this batch, so their row groups need not be read.
+            first_ts, undated = batch.agg(F.min(ts), F.count_if(F.col(ts).isNull())).first()
+            if first_ts is not None and undated == 0:
+                oldest = F.lit(first_ts) - F.expr(f"INTERVAL {life}")
+                sent = sent.filter(F.col(ts).isNull() | (F.col(ts) > oldest))
             sent = sent.groupBy(F.col(url).alias("_url_key")).agg(F.max(ts).alias("_sent"))
             key = firsts.withColumn("_url_key", url_key(url))
             # A sent URL blocks a later article for the cache life; one without a time always does.
