@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -36,10 +37,13 @@ def _local_base(application_id: str) -> str:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in local tests, a temporary folder is used instead.
+    Only a session in one process (``local[n]``), which has no other machine to share with, may leave that setting
+    out and gets a temporary folder; any other session is refused.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local_base(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
