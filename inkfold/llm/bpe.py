@@ -22,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkfold.llm.textbytes import blocks
+
 #: Fixed value: the rule of this vocabulary that splits words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Words that a task remembers between batches; the table starts anew beyond it.
-REMEMBERED = 200_000
-#: Characters of a block of texts whose words are made distinct together.
-BLOCK_CHARS = 1 << 21
+#: Words that a task remembers between blocks; the table starts anew beyond it.
+REMEMBERED = 100_000
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -96,49 +96,54 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(texts):
-        end, held = at, 0
-        while end < len(texts) and (end == at or held + len(texts[end]) <= BLOCK_CHARS):
-            held += len(texts[end])
-            end += 1
-        yield at, end
-        at = end
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str, text: str, ids: str) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows with their ids."""
+    c = codec(path)
+    for part, _, _ in blocks(batches, text):
+        lists = c.encode([t or "" for t in part.column(text).to_pylist()])
+        offsets = np.concatenate([[0], np.cumsum([len(i) for i in lists])]).astype(np.int32)
+        flat = np.concatenate([*lists, np.zeros(0, "<u4")]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+            names=[*part.schema.names, ids])
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], path: str, text: str) -> Iterator[pa.RecordBatch]:
+def decode_batches(batches: Iterator[pa.RecordBatch], path: str, ids: str, text: str) -> Iterator[pa.RecordBatch]:
     c = codec(path)
     for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
-        for lo, hi in chunks(texts):
-            ids = c.encode(texts[lo:hi])
-            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-            part = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "_ids"])
+        texts = [c.decode(np.asarray(x.values)) if x.is_valid else "" for x in batch.column(ids)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
+                                         names=[*batch.schema.names, text])
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` plus ``ids``, array<int>. ``vocabulary`` is the path of a byte-level vocabulary on every machine."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _ids array<int>"
-    return docs.mapInArrow(lambda it: encode_batches(it, vocabulary, text), schema).withColumnRenamed("_ids", ids)
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def decode_batches(batches: Iterator[pa.RecordBatch], path: str, ids: str) -> Iterator[pa.RecordBatch]:
-    c = codec(path)
-    for batch in batches:
-        lists = batch.column(ids)
-        texts = [c.decode(np.asarray(x.values)) if x.is_valid else "" for x in lists]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
-                                         names=[*batch.schema.names, "_decoded"])
+def _free(df: DataFrame, *names: str) -> None:
+    if taken := {n.lower() for n in names} & {c.lower() for c in df.columns}:
+        raise ValueError(f"columns {sorted(taken)} are there already; name other ones")
+
+
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``docs`` plus ``ids``, array<int>. ``vocabulary`` is the path of a byte-level vocabulary on every machine."""
+    _free(docs, ids)
+    return docs.mapInArrow(lambda it: encode_batches(it, vocabulary, text, ids), f"{_fields(docs)}, `{ids}` array<int>")
 
 
 def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``rows`` plus ``text``, the decoded ids."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _decoded string"
-    return rows.mapInArrow(lambda it: decode_batches(it, vocabulary, ids), schema).withColumnRenamed("_decoded", text)
+    _free(rows, text)
+    return rows.mapInArrow(lambda it: decode_batches(it, vocabulary, ids, text), f"{_fields(rows)}, `{text}` string")
+
+
+def encode_and_decode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
+                      decoded: str = "decoded") -> DataFrame:
+    """``docs`` plus ids and the text these decode to, in one pass of the same tasks."""
+    _free(docs, ids, decoded)
+    return docs.mapInArrow(
+        lambda it: decode_batches(encode_batches(it, vocabulary, text, ids), vocabulary, ids, decoded),
+        f"{_fields(docs)}, `{ids}` array<int>, `{decoded}` string")
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -156,5 +161,7 @@ def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def bpe_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
-    rows = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), vocabulary).drop("text")
-    return decode(rows, vocabulary).mapInArrow(digest_batches, DIGEST)
+    """Digests of the ids of every document and of what they decode to."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(lambda it: digest_batches(decode_batches(
+        encode_batches(it, vocabulary, "text", "ids"), vocabulary, "ids", "decoded")), DIGEST)
