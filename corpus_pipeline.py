@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfold.llm.bpe import decode, encode
+from inkfold.llm.bpe import encode_and_decode
 from inkfold.llm.common import stored, table
 from inkfold.llm.decontaminate import drop_contaminated
 from inkfold.llm.near_dedup import drop_near_duplicates
@@ -38,7 +38,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids and the text these decode to."""
-    return decode(encode(docs, default_vocabulary()), default_vocabulary())
+    return encode_and_decode(docs, default_vocabulary())
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii),
