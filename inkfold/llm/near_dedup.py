@@ -8,7 +8,7 @@ next step. Long texts take one or two steps however many places there are.
 Texts with equal sets are one class. Bands of the signature put classes into buckets. In a bucket every class is
 compared with one of them, on the full sets; links make components; a bucket that then holds one component is
 settled. Buckets with several are compared with other members for a few rounds, and only classes that are still
-apart and share at least two buckets are compared in full. So a group of n near copies costs some n comparisons.
+apart and share several buckets are compared in full. So a group of n near copies costs some n comparisons.
 
 Null and empty texts have the empty set and link with nothing. A text of fewer words than a shingle is one shingle.
 Repeated rows fall into one class. Null ids take part as classes but never represent a group if another id is there.
@@ -34,6 +34,9 @@ BANDS = 32  # of four places: a pair at 0.8 misses all bands with probability 5e
 SIMILAR = 80
 #: Rounds in which buckets are compared with a pivot, before what still differs is compared in full.
 PIVOT_ROUNDS = 4
+#: Buckets that a pair shares at least to be compared after that: a pair at 0.8 shares 13 of 32 on average, one or
+#: none with probability 1e-6.
+MEETINGS = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
@@ -162,6 +165,15 @@ def set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
             ).cast(pa.binary())], names=["class", "elements"])
 
 
+def element_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as rows of (class, element)."""
+    for batch in batches:
+        for owner, raw in zip(batch.column("class").to_pylist(), batch.column("elements"), strict=True):
+            values = np.frombuffer(raw.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), owner)), pa.array(values)],
+                                             names=["class", "element"])
+
+
 def overlap_batches(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose sets agree enough."""
     for batch in batches:
@@ -204,16 +216,19 @@ def _links(slim: DataFrame, named: DataFrame, members: DataFrame, width: int, si
     """Verified links between classes that share a bucket, enough to join all that are joined by any.
 
     Sets are made once, for the classes in crowded buckets. A few rounds compare the members of a bucket with one
-    member of another component, a different one each round; what still differs then is compared in full.
+    member of another component; what still differs then, and can be similar at all, is compared in full.
     """
     wanted = members.select("class").distinct().join(named.select("class", *KEYS), "class")
     texts = slim.select(*KEYS, "text").join(wanted, KEYS).dropDuplicates(["class"]).select("class", "text")
     sets = stored(texts.mapInArrow(lambda it: set_batches(it, width), "class long, elements binary"), "sets")
     links = compared = None
+    members = members.withColumn("shared", F.col("n"))
     pairs = _pivot_pairs(members.withColumn("root", F.col("class")), 0)
     for step in range(1, PIVOT_ROUNDS + 2):
-        fits = 100 * F.least("n", "m") >= similar * F.greatest("n", "m")
-        pairs = pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        # a set has no more in common with any other than its shingles that some other set holds
+        both = F.least("n", "m", "shared", "shared_m")
+        pairs = pairs.where(100 * both >= similar * (F.col("n") + F.col("m") - both))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -228,8 +243,10 @@ def _links(slim: DataFrame, named: DataFrame, members: DataFrame, width: int, si
         rooted = _open_buckets(members, links)
         if rooted.isEmpty():
             break
+        if step == 1:
+            rooted = _with_shared(rooted, sets)
         members = rooted.drop("root")
-        pairs = _pivot_pairs(rooted, step) if step < PIVOT_ROUNDS else _remaining_pairs(rooted)
+        pairs = _pivot_pairs(rooted, step) if step < PIVOT_ROUNDS else _remaining_pairs(rooted, similar)
     return links
 
 
@@ -238,25 +255,46 @@ def _open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
     roots = components(links).withColumnRenamed("node", "class")
     rooted = members.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     several = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
-    return stored(rooted.join(several.select("bucket"), "bucket").select("bucket", "class", "n", "root"), "open")
+    return stored(rooted.join(several.select("bucket"), "bucket").select("bucket", "class", "n", "shared", "root"),
+                  "open")
 
 
-def _pivot_pairs(rooted: DataFrame, step: int) -> DataFrame:
-    """Every member of a bucket with one member, the pivot, if that belongs to another component. The first pivot
-    is the least class, so that a group meets the same pivot in all its buckets; later ones differ by bucket."""
-    rank = F.col("class") if step == 0 else F.xxhash64(F.lit(step), "bucket", "class")
-    pivot = rooted.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "class", "n", "root")).alias("p"))
-    return rooted.join(pivot, "bucket").where(F.col("root") != F.col("p.root")).select(
-        F.col("p.class").alias("a"), F.col("p.n").alias("m"), F.col("class").alias("b"), "n")
+def _with_shared(rooted: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rooted`` with ``shared``: the shingles of a class that another class of an open bucket holds as well."""
+    open_sets = sets.join(rooted.select("class").distinct(), "class", "left_semi")
+    elements = open_sets.mapInArrow(element_batches, "class long, element long")
+    alone = elements.groupBy("element").agg(F.count("*").alias("c"), F.min("class").alias("class")).where("c = 1")
+    own = alone.groupBy("class").agg(F.count("*").alias("own"))
+    return stored(rooted.join(own, "class", "left").withColumn(
+        "shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"), "open")
 
 
-def _remaining_pairs(rooted: DataFrame) -> DataFrame:
-    """Classes of different components that share at least two buckets (a pair at 0.8 shares one or none of 32
-    with probability 1e-6)."""
-    x = rooted.select("bucket", F.col("class").alias("a"), F.col("n").alias("m"), F.col("root").alias("r"))
-    y = rooted.select("bucket", F.col("class").alias("b"), "n", F.col("root").alias("s"))
-    return (x.join(y, "bucket").where("r < s").groupBy("a", "m", "b", "n").agg(F.count("*").alias("shared"))
-            .where("shared > 1"))
+def _pivot_pairs(rooted: DataFrame, step: int) -> DataFrame:
+    """Every member of a bucket with one member, the pivot, if that belongs to another component.
+
+    At first the pivot is the least class, so that a group meets the same pivot in all its buckets; then the one
+    with the fewest shingles of its own, the likely origin of the others; then another one in every bucket.
+    """
+    rank = (F.col("class") if step == 0 else F.col("n") - F.col("shared") if step == 1
+            else F.xxhash64(F.lit(step), "bucket", "class"))
+    pivot = rooted.groupBy("bucket").agg(F.min(F.struct(
+        rank.alias("rank"), "class", "n", "shared", "root")).alias("p"))
+    return rooted.join(pivot, "bucket").where(F.col("root") != F.col("p.root")).select(
+        F.col("p.class").alias("a"), F.col("p.n").alias("m"), F.col("p.shared").alias("shared_m"),
+        F.col("class").alias("b"), "n", "shared")
+
+
+def _remaining_pairs(rooted: DataFrame, similar: int) -> DataFrame:
+    """Classes of different components that share MEETINGS buckets. Classes with too many shingles of their own can
+    link with nothing and are left out."""
+    able = rooted.where(100 * F.col("shared") >= similar * F.col("n"))
+    x = able.select("bucket", F.col("class").alias("a"), F.col("n").alias("m"), F.col("shared").alias("shared_m"),
+                    F.col("root").alias("r"))
+    y = able.select("bucket", F.col("class").alias("b"), "n", "shared", F.col("root").alias("s"))
+    both = F.least("n", "m", "shared", "shared_m")
+    return (x.join(y, "bucket").where((F.col("r") < F.col("s")) & (
+        100 * both >= similar * (F.col("n") + F.col("m") - both)))
+        .groupBy("a", "m", "shared_m", "b", "n", "shared").agg(F.count("*").alias("met")).where(F.col("met") >= MEETINGS))
 
 
 def near_digest(rows: DataFrame) -> DataFrame:
