@@ -13,6 +13,7 @@ from inkfold.functions.text import WS, as_col, blank_if_null, count_occurrences,
 BOILERPLATE_TAGS = ("script", "style", "nav", "footer", "header", "aside")
 MAIN_CLASS_TERMS = ("article", "content", "post", "entry")
 BLOCK_MARK = "\x01"
+TAG_MARK = "\x02"
 
 # What is removed from a text that may hold page remains, in this order.
 SCRUB_PATTERNS = (
@@ -108,8 +109,13 @@ def unescape(text: Column | str) -> Column:
 
 
 def node_text(fragment: Column | str, sep: str = "") -> Column:
-    """Text of a fragment: every text node stripped, then joined by ``sep``."""
-    bare = F.regexp_replace(as_col(fragment), rf"(?:{WS}*<[^>]*>)+{WS}*", sep)
+    """Text of a fragment: every text node stripped, then joined by ``sep``.
+
+    Tags become marks first, so that a run of them is a loop over one character class; a repeated group would be
+    matched by recursion, which some hundreds of tags in a row exhaust.
+    """
+    marked = F.regexp_replace(F.replace(as_col(fragment), F.lit(TAG_MARK), F.lit(" ")), "<[^>]*>", TAG_MARK)
+    bare = F.regexp_replace(marked, rf"(?<!{WS}){WS}*+{TAG_MARK}[{TAG_MARK}{WS[1:-1]}]*+", sep)
     return unescape(strip(bare))
 
 

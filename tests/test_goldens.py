@@ -232,3 +232,11 @@ def test_markup(spark):
 def test_parse_response(spark, response, expect):
     r = parse_response(spark.createDataFrame([(response,)], "response string")).first()
     assert (r["is_json"], r["r_category"], r["r_subcategory"], r["r_markdown"], r["r_confidence"]) == expect
+
+
+def test_node_text_of_very_many_adjacent_tags(spark):
+    from inkfold.functions.html import node_text
+
+    rows = [("<tr></tr>\n" * 50_000 + "end",), (" <b> a </b>  <i>\n</i> c ",), ("x" + " " * 20_000 + "y",)]
+    out = [r[0] for r in spark.createDataFrame(rows, "t string").select(node_text("t", "|")).collect()]
+    assert out == ["|end", "|a|c", rows[2][0]]
