@@ -8,7 +8,9 @@ next step. Long texts take one or two steps however many places there are.
 Texts with equal sets are one class. Bands of the signature put classes into buckets. In a bucket every class is
 compared with one of them, on the full sets; links make components; a bucket that then holds one component is
 settled. Buckets with several are compared with other members for a few rounds, and only classes that are still
-apart and share several buckets are compared in full. So a group of n near copies costs some n comparisons.
+apart, share several buckets and pass an exact bound on their difference are compared in full. So a group of n near
+copies costs some n comparisons of sets. The bound is on parities: every element flips one bit of its set's, so two
+sets differ in at least as many elements as their parities in bits.
 
 Null and empty texts have the empty set and link with nothing. A text of fewer words than a shingle is one shingle.
 Repeated rows fall into one class. Null ids take part as classes but never represent a group if another id is there.
@@ -37,6 +39,8 @@ PIVOT_ROUNDS = 4
 #: Buckets that a pair shares at least to be compared after that: a pair at 0.8 shares 13 of 32 on average, one or
 #: none with probability 1e-6.
 MEETINGS = 2
+#: Words of 64 bits in a set's parity.
+PARITY = 16
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
@@ -150,19 +154,30 @@ def signature_batches(batches: Iterator[pa.RecordBatch], width: int, bands: int)
 
 
 SIGNED = "doc_id long, _k1 long, _k2 int, n long, same binary, bands array<long>"
+SET = "class long, elements binary, parity array<long>"
 
 
 def set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for batch, data, offsets in blocks(batches, "text"):
         row, element = shingle_sets(data, offsets, width, powers)
-        ends = np.cumsum(np.bincount(row, minlength=len(offsets) - 1))
-        bounds = np.append(0, ends) * 8
+        n = len(offsets) - 1
+        bounds = np.append(0, np.cumsum(np.bincount(row, minlength=n))) * 8
+        parity = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * PARITY),
+                                          pa.array(parities(row, element, n).view(np.int64)))
         yield pa.RecordBatch.from_arrays(
             [batch.column("class"), pa.Array.from_buffers(
-                pa.large_binary(), len(offsets) - 1,
+                pa.large_binary(), n,
                 [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(element.tobytes())]
-            ).cast(pa.binary())], names=["class", "elements"])
+            ).cast(pa.binary()), parity], names=["class", "elements", "parity"])
+
+
+def parities(row: np.ndarray, element: np.ndarray, rows: int) -> np.ndarray:
+    """PARITY words of every set, one after another: each element flips the bit its hash names."""
+    out = np.zeros(rows * PARITY, U64)
+    bit = element % U64(64 * PARITY)
+    np.bitwise_xor.at(out, row * PARITY + (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
+    return out
 
 
 def element_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +235,7 @@ def _links(slim: DataFrame, named: DataFrame, members: DataFrame, width: int, si
     """
     wanted = members.select("class").distinct().join(named.select("class", *KEYS), "class")
     texts = slim.select(*KEYS, "text").join(wanted, KEYS).dropDuplicates(["class"]).select("class", "text")
-    sets = stored(texts.mapInArrow(lambda it: set_batches(it, width), "class long, elements binary"), "sets")
+    sets = stored(texts.mapInArrow(lambda it: set_batches(it, width), SET), "sets")
     links = compared = None
     members = members.withColumn("shared", F.col("n"))
     pairs = _pivot_pairs(members.withColumn("root", F.col("class")), 0)
@@ -246,7 +261,7 @@ def _links(slim: DataFrame, named: DataFrame, members: DataFrame, width: int, si
         if step == 1:
             rooted = _with_shared(rooted, sets)
         members = rooted.drop("root")
-        pairs = _pivot_pairs(rooted, step) if step < PIVOT_ROUNDS else _remaining_pairs(rooted, similar)
+        pairs = _pivot_pairs(rooted, step) if step < PIVOT_ROUNDS else _remaining_pairs(rooted, sets, similar)
     return links
 
 
@@ -261,7 +276,7 @@ def _open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def _with_shared(rooted: DataFrame, sets: DataFrame) -> DataFrame:
     """``rooted`` with ``shared``: the shingles of a class that another class of an open bucket holds as well."""
-    open_sets = sets.join(rooted.select("class").distinct(), "class", "left_semi")
+    open_sets = sets.select("class", "elements").join(rooted.select("class").distinct(), "class", "left_semi")
     elements = open_sets.mapInArrow(element_batches, "class long, element long")
     alone = elements.groupBy("element").agg(F.count("*").alias("c"), F.min("class").alias("class")).where("c = 1")
     own = alone.groupBy("class").agg(F.count("*").alias("own"))
@@ -284,17 +299,24 @@ def _pivot_pairs(rooted: DataFrame, step: int) -> DataFrame:
         F.col("class").alias("b"), "n", "shared")
 
 
-def _remaining_pairs(rooted: DataFrame, similar: int) -> DataFrame:
-    """Classes of different components that share MEETINGS buckets. Classes with too many shingles of their own can
-    link with nothing and are left out."""
-    able = rooted.where(100 * F.col("shared") >= similar * F.col("n"))
+def _remaining_pairs(rooted: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Classes of different components that share MEETINGS buckets and whose difference may be small enough.
+
+    Classes with too many shingles of their own can link with nothing and are left out. All bounds are in the
+    condition of the join, so that it emits no pair that they rule out.
+    """
+    able = rooted.where(100 * F.col("shared") >= similar * F.col("n")).join(sets.select("class", "parity"), "class")
     x = able.select("bucket", F.col("class").alias("a"), F.col("n").alias("m"), F.col("shared").alias("shared_m"),
-                    F.col("root").alias("r"))
-    y = able.select("bucket", F.col("class").alias("b"), "n", "shared", F.col("root").alias("s"))
+                    F.col("root").alias("r"), F.col("parity").alias("p"))
+    y = able.select("bucket", F.col("class").alias("b"), "n", "shared", F.col("root").alias("s"),
+                    F.col("parity").alias("q"))
     both = F.least("n", "m", "shared", "shared_m")
-    return (x.join(y, "bucket").where((F.col("r") < F.col("s")) & (
-        100 * both >= similar * (F.col("n") + F.col("m") - both)))
-        .groupBy("a", "m", "shared_m", "b", "n", "shared").agg(F.count("*").alias("met")).where(F.col("met") >= MEETINGS))
+    differ = sum((F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(PARITY)), F.lit(0))
+    return (x.join(y, "bucket").where((F.col("r") < F.col("s"))
+                                      & (100 * both >= similar * (F.col("n") + F.col("m") - both))
+                                      & ((100 + similar) * differ <= (100 - similar) * (F.col("n") + F.col("m"))))
+            .groupBy("a", "m", "shared_m", "b", "n", "shared").agg(F.count("*").alias("met"))
+            .where(F.col("met") >= MEETINGS))
 
 
 def near_digest(rows: DataFrame) -> DataFrame:
