@@ -13,7 +13,7 @@ import sys
 import time
 
 from inkfold.plans import catalog
-from inkfold.session import build_session
+from inkfold.session import INPUT_PARTITIONS, build_session
 
 HEADLINE = [
     "subcategory_groups", "classify", "dedupe_by_url", "extract_text", "page_features", "article_features",
@@ -28,7 +28,8 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = sys.argv[1:] or HEADLINE
     spark = build_session("bench", master=f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false"})
+        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
+        INPUT_PARTITIONS: str(2 * int(cpus))})
     spark.sparkContext.setLogLevel("ERROR")
     catalog.load()
     seconds: dict[str, float] = {}

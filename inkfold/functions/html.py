@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,15 +29,9 @@ SCRUB_PATTERNS = (
 # An open tag followed by a close tag.
 HTML_PATTERN = r"(?s)<[a-zA-Z][^>]*>(.*?)</[a-zA-Z][^>]*>"
 
-# Named entities and their characters; "&amp;" has to come last.
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ",
-    "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·",
-    "&bull;": "•", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—",
-    "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”",
-    "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&pound;": "£",
-    "&amp;": "&",
-}
+# Every name of the standard, by the standard library's table.
+ENTITIES = {f"&{name}": value for name, value in html5.items() if name.endswith(";")}
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
 
 
 def is_html(text: Column | str) -> Column:
@@ -71,11 +66,13 @@ def main_content(html: Column | str) -> Column:
 def needs_tree(html: Column | str) -> Column:
     h = as_col(html)
     opens = F.regexp_count(h, F.lit(r"(?i)<article\b"))
+    closes = F.regexp_count(h, F.lit(r"(?i)</article\s*>"))
+    terms = "|".join(MAIN_CLASS_TERMS)
     by_class = h.rlike(
-        rf"(?is)<[a-z][^>]*\bclass\s*=\s*(?:\"[^\">]*(?:{'|'.join(MAIN_CLASS_TERMS)})"
-        rf"|'[^'>]*(?:{'|'.join(MAIN_CLASS_TERMS)}))"
+        rf"(?is)<[a-z][^>]*\bclass\s*=\s*(?:\"[^\">]*(?:{terms})|'[^'>]*(?:{terms})|[^\s\"'>]*(?:{terms}))"
     )
-    return blank_if_false((opens > 1) | ((opens == 0) & by_class))
+    unclosed = (opens == 1) & (closes != 1)
+    return blank_if_false((opens > 1) | unclosed | ((opens == 0) & by_class))
 
 
 def blank_if_false(c: Column) -> Column:
@@ -83,7 +80,8 @@ def blank_if_false(c: Column) -> Column:
 
 
 def unescape(text: Column | str) -> Column:
-    """Decode named entities and numeric references."""
+    """Decode named and numeric references, each once; unknown names stay as they are."""
+    names = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in ENTITIES.items())), F.lit("\x01"), F.lit("\x02"))
 
     def char(ref: Column) -> Column:
         digits = F.regexp_extract(ref, r"&#[xX]?([0-9a-fA-F]+);", 1)
@@ -92,18 +90,20 @@ def unescape(text: Column | str) -> Column:
         safe = F.when(valid, code).otherwise(F.lit(0xFFFD))
         return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
 
-    def numeric(t: Column) -> Column:
-        found = F.regexp_extract_all(t, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0))
-        return F.aggregate(F.array_distinct(found), t, lambda acc, ref: F.replace(acc, ref, char(ref)))
+    def value(ref: Column) -> Column:
+        return F.when(F.startswith(ref, F.lit("&#")), char(ref)).otherwise(
+            F.coalesce(F.try_element_at(names, ref), ref))
 
-    def named(t: Column) -> Column:
-        for entity, value in ENTITIES.items():
-            t = F.replace(t, F.lit(entity), F.lit(value))
-        return t
+    def joined(parts: Column) -> Column:
+        values = let(F.array_distinct(parts["refs"]), lambda d: F.map_from_arrays(d, F.transform(d, value)))
+        return let(values, lambda m: F.array_join(F.zip_with(
+            parts["gaps"], parts["refs"],
+            lambda gap, ref: F.concat(gap, F.coalesce(F.try_element_at(m, ref), F.lit("")))), ""))
 
     def decode(t: Column) -> Column:
-        with_chars = F.when(F.contains(t, F.lit("&#")), numeric(t)).otherwise(t)
-        return F.when(F.contains(t, F.lit("&")), named(with_chars)).otherwise(t)
+        parts = F.struct(F.split(t, REFERENCE, -1).alias("gaps"),
+                         F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)).alias("refs"))
+        return F.when(t.rlike(REFERENCE), let(parts, joined)).otherwise(t)
 
     return let(as_col(text), decode)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,13 +22,32 @@ CUT_TAGS = {"p", "div", "blockquote"}
 def element_end(tags: list, i: int, text: str) -> tuple[int, int]:
     """Inner end and outer end of the element opened by ``tags[i]``, matching nested tags of its name."""
     name, depth = tags[i].group(2).lower(), 0
-    for t in tags[i:]:
+    for k in range(i, len(tags)):
+        t = tags[k]
         if (t.group(2) or "").lower() != name or t.group(0).endswith("/>"):
             continue
         depth += -1 if t.group(1) else 1
         if depth == 0:
             return t.start(), t.end()
-    return len(text), len(text)
+    end = enclosing_end(tags, i, text)
+    return end, end
+
+
+def enclosing_end(tags: list, i: int, text: str) -> int:
+    """Where an element that is never closed ends: where an element around it is closed, else at the text's end."""
+    around: Counter = Counter()
+    for k in range(i):
+        around[(tags[k].group(2) or "").lower()] += -1 if tags[k].group(1) else 1
+    inside: Counter = Counter()
+    for k in range(i + 1, len(tags)):
+        name = (tags[k].group(2) or "").lower()
+        if not tags[k].group(1):
+            inside[name] += 1
+        elif inside[name] > 0:
+            inside[name] -= 1
+        elif name and around[name] > 0:
+            return tags[k].start()
+    return len(text)
 
 
 def main_fragment(page: str) -> str | None:

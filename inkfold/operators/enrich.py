@@ -15,6 +15,7 @@ from inkfold.operators.dedup import url_key
 from inkfold.operators.extract import process_pages
 from inkfold.rules import DEFAULT_RULES, RuleSet
 from inkfold.schemas import FEATURES_DDL
+from inkfold.sources.cache import cache_expire
 
 THIN_WORDS = 50
 FAILED_NOTE = "**Note: Full article content could not be retrieved.**"
@@ -74,17 +75,24 @@ def processed_and_failed(processed: DataFrame, failed: DataFrame) -> DataFrame:
 
 def fresh_cache(cache: DataFrame, as_of: Column | str, days: int = 7, refresh: bool = False) -> DataFrame:
     """Rows younger than the cache life at ``as_of``; none with ``refresh``."""
-    if refresh:
-        return cache.filter(F.lit(False))
-    now = F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of
-    return cache.filter(F.col("cached_at") > now - F.expr(f"INTERVAL {int(days)} DAYS"))
+    return cache.filter(F.lit(False)) if refresh else cache_expire(cache, as_of, days)
+
+
+def one_per_url(rows: DataFrame, newest: str, *values: str) -> DataFrame:
+    """One row per URL, so that a join by URL adds none: the greatest ``newest``, ties by the greatest values.
+
+    The maximum is taken per task before the shuffle, however often a URL is repeated.
+    """
+    rank = list(dict.fromkeys((newest, *values)))
+    best = rows.filter(F.col("url").isNotNull()).groupBy("url").agg(F.max(F.struct(*rank)).alias("_best"))
+    return best.select("url", "_best.*")
 
 
 def with_cache(
     articles: DataFrame, cache: DataFrame, as_of: Column | str, days: int = 7, refresh: bool = False
 ) -> DataFrame:
-    """Add ``cached_content``, ``cached_features`` (struct) and ``from_cache``."""
-    fresh = fresh_cache(cache, as_of, days, refresh).select(
+    """Add ``cached_content``, ``cached_features`` (struct) and ``from_cache``; of repeated URLs the newest row."""
+    fresh = one_per_url(fresh_cache(cache, as_of, days, refresh), "cached_at", "content", "features").select(
         F.col("url").alias("_url_key"),
         F.col("content").alias("cached_content"),
         F.from_json("features", FEATURES_DDL).alias("cached_features"),
@@ -101,18 +109,19 @@ def with_cache(
 # --- stored pages ------------------------------------------------------------------------------
 
 
-def with_pages(articles: DataFrame, pages: DataFrame, tree: bool = True) -> DataFrame:
+def with_pages(articles: DataFrame, pages: DataFrame, tree: bool = True, newest: str = "html") -> DataFrame:
     """Thin articles take the text of their stored page; ``fetched`` tells which did.
 
     The page is used only where the feed gave no summary; otherwise the summary is the fallback. Only
-    thin rows are shuffled, and only pages they match are extracted.
+    thin rows are shuffled, and only pages they match are extracted. Of pages with one URL the one with the
+    greatest ``newest`` is taken (by default the greatest text, so that the choice is fixed).
     """
     wants_page = thin_content() & (blank_if_null("summary") == "")
     rest = articles.filter(~wants_page).withColumns(
         {"content": F.when(thin_content(), choose_after_fetch("summary")).otherwise(F.col("content")),
          "features": F.lit(None).cast(FEATURES_DDL), "fetched": F.lit(False)}
     )
-    stored = pages.select(F.col("url").alias("_url_key"), "html")
+    stored = one_per_url(pages, newest, "html").select(F.col("url").alias("_url_key"), "html")
     joined = articles.filter(wants_page).withColumn("_url_key", url_key()).join(stored, "_url_key", "left")
     found = F.col("html").isNotNull()
     fetched = process_pages(joined.withColumn("fetched", found), tree=tree).withColumns(
@@ -172,11 +181,13 @@ def parse_response(responses: DataFrame, response: str = "response") -> DataFram
     """Add ``is_json`` and the fields of a stored model response.
 
     A JSON object gives its fields with their defaults. Any other text gives what its ``Category:`` and
-    ``Subcategory:`` lines say (null without one) and itself as the body.
+    ``Subcategory:`` lines say (null without one) and itself as the body. ``other_json`` marks JSON that is no
+    object (a list, a number): it answers nothing.
     """
     raw = F.col(response)
     out = responses.withColumn("_variant", F.try_parse_json(raw))
     out = out.withColumn("is_json", F.coalesce(F.schema_of_variant("_variant").startswith("OBJECT"), F.lit(False)))
+    out = out.withColumn("other_json", F.col("_variant").isNotNull() & ~F.col("is_json"))
 
     def field(name: str) -> Column:
         return F.try_variant_get("_variant", f"$.{name}", "string")
@@ -199,9 +210,9 @@ def parse_response(responses: DataFrame, response: str = "response") -> DataFram
 
 
 def with_responses(articles: DataFrame, responses: DataFrame) -> DataFrame:
-    """Left join of parsed responses by URL; responses hold one row per URL."""
-    parsed = parse_response(responses).select(
-        F.col("url").alias("_url_key"), F.col("response").isNotNull().alias("_answered"),
+    """Left join of parsed responses by URL; of repeated URLs the greatest response by text."""
+    parsed = parse_response(one_per_url(responses, "response")).select(
+        F.col("url").alias("_url_key"), (F.col("response").isNotNull() & ~F.col("other_json")).alias("_answered"),
         "is_json", "r_category", "r_subcategory", "r_markdown", "r_confidence",
     )
     return articles.withColumn("_url_key", url_key()).join(parsed, "_url_key", "left").drop("_url_key")

@@ -233,7 +233,7 @@ _SEEN = """seen AS (SELECT issue, category, sub, row_number() OVER (PARTITION BY
 @query("sectioned_newsletter", f"WITH {FIN}, {_SEEN}, {extracts(1500)} {_sections_sql()}")
 def sectioned_newsletter_query(spark, sf):
     a = issue_articles(spark, sf).withColumn("processed_content", F.lit(None).cast("string"))
-    return digest.sectioned_newsletter(a.withColumn("features", F.lit(None).cast("struct<main_image:string>")))
+    return digest.sectioned_newsletter(a)
 
 
 def _contents_sql() -> str:

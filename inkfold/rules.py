@@ -146,9 +146,6 @@ SECTION_RULES = {
     },
 }
 
-# A rule table is read to the driver as configuration; above this it is refused, not cut.
-MAX_RULE_ROWS = 20_000
-
 
 @dataclass(frozen=True)
 class RuleSet:
@@ -193,17 +190,13 @@ def boost_rows(spark: SparkSession, rules: RuleSet = DEFAULT_RULES) -> DataFrame
     return spark.createDataFrame(rows, "category string, source_term string, weight int")
 
 
-def _config_rows(df: DataFrame, what: str) -> list:
-    rows = df.take(MAX_RULE_ROWS + 1)
-    if len(rows) > MAX_RULE_ROWS:
-        raise ValueError(f"{what} table has more than {MAX_RULE_ROWS} rows")
-    return rows
-
-
 def rules_from_tables(
     rules: DataFrame, subrules: DataFrame | None = None, boosts: DataFrame | None = None
 ) -> RuleSet:
-    """Build a ``RuleSet`` from rule tables of the shapes above (for example read from YAML or JSON)."""
+    """Build a ``RuleSet`` from rule tables of the shapes above (for example read from YAML or JSON).
+
+    A rule set is configuration: the tables are read to the driver and become literals of the plan.
+    """
 
     def ordered(rows, name, order):
         groups: dict[str, list[str]] = {}
@@ -211,15 +204,15 @@ def rules_from_tables(
             groups.setdefault(r[name], []).append(r["keyword"])
         return _frozen(groups)
 
-    cats = ordered(_config_rows(rules, "rules"), "category", "rule_ord")
+    cats = ordered(rules.collect(), "category", "rule_ord")
     subs: tuple = ()
     if subrules is not None:
         by_cat: dict[str, list] = {}
-        for r in _config_rows(subrules, "subrules"):
+        for r in subrules.collect():
             by_cat.setdefault(r["category"], []).append(r)
         subs = tuple((cat, ordered(rows, "subcategory", "sub_ord")) for cat, rows in by_cat.items())
     boosted: dict[tuple[str, int], list[str]] = {}
     if boosts is not None:
-        for r in _config_rows(boosts, "boosts"):
+        for r in boosts.collect():
             boosted.setdefault((r["category"], r["weight"]), []).append(r["source_term"].lower())
     return RuleSet(cats, subs, tuple((cat, tuple(t), w) for (cat, w), t in boosted.items()))

@@ -48,13 +48,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Repartition a scan that has fewer partitions than cores; a larger scan is returned as it is.
+#: Setting that asks for a shuffle of the input into so many partitions.
+INPUT_PARTITIONS = "spark.inkfold.input.partitions"
 
-    A small file with one row group is one task however many cores there are. A scan of a real table
-    has many more partitions than cores, so this never adds a shuffle there.
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the session asks for by INPUT_PARTITIONS; as it was scanned without it.
+
+    A file with one row group is one task however many cores there are: only for such input is the setting of use.
+    The plan does not depend on the size of the data.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= per_core * cores:
-        return df
-    return df.repartition(per_core * cores)
+    asked = df.sparkSession.conf.get(INPUT_PARTITIONS, "")
+    return df.repartition(int(asked)) if asked else df

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from inkfold.functions import html, markup
 from inkfold.functions import text as tx
 from inkfold.functions.features import article_features, paywall_flag
+from inkfold.functions.html import unescape
 from inkfold.functions.tree import budget_blocks, main_fragment, outer_blocks
 from inkfold.operators.budget import budget_paragraphs, truncate_html_words, word_budget
 from inkfold.operators.classify import classify, classify_articles, with_subcategory
-from inkfold.operators.enrich import parse_response
+from inkfold.operators.enrich import parse_response, resolve_enrichment, with_pages
 from inkfold.operators.extract import extract_paragraphs, extract_text, with_images
 from inkfold.operators.keywords import top_keywords
 from inkfold.rules import RuleSet
@@ -240,3 +241,27 @@ def test_node_text_of_very_many_adjacent_tags(spark):
     rows = [("<tr></tr>\n" * 50_000 + "end",), (" <b> a </b>  <i>\n</i> c ",), ("x" + " " * 20_000 + "y",)]
     out = [r[0] for r in spark.createDataFrame(rows, "t string").select(node_text("t", "|")).collect()]
     assert out == ["|end", "|a|c", rows[2][0]]
+
+
+def test_references_are_decoded_once(spark):
+    rows = [("Caf&eacute; &times; &#38;lt; &unknown; &amp;lt; &#x41;", "Caf\u00e9 \u00d7 &lt; &unknown; &lt; A"), ("", ""), ("& ;", "& ;"),
+            ("&lt;&gt;", "<>"), (None, None)]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert [r["got"] for r in df.select(unescape("t").alias("got")).collect()] == [want for _, want in rows]
+
+
+def test_main_part_of_unclosed_articles_and_bare_classes(spark):
+    rows = [("<body>MENU <article><p>ART</p></body>", "ART"), ("<body><div><article><p>ART</p></div><p>TAIL</p></body>", "ART"),
+            ("<body><div class=post><p>POST</p></div><p>TAIL</p></body>", "POST")]
+    got = extract_text(spark.createDataFrame(rows, "html string, want string").coalesce(1)).collect()
+    assert [r["text"] for r in got] == [r["want"] for r in got]
+
+
+def test_repeated_urls_do_not_multiply_articles(spark):
+    columns = ("feed_ord long, entry_ord long, title string, url string, author string, source string, published string, "
+               "image_url string, summary string, full_text string, content string")
+    articles = spark.createDataFrame([(1, 1, "t", "u", None, None, None, None, "", None, None)], columns)
+    pages = spark.createDataFrame([("u", "<p>one</p>"), ("u", "<p>two</p>")], "url string, html string")
+    assert [r["content"] for r in with_pages(articles, pages).collect()] == ["two"]
+    answers = spark.createDataFrame([("u", "[1]"), ("u", "[1]")], "url string, response string")
+    assert [r["resolved_by"] for r in resolve_enrichment(articles, answers).collect()] == ["rules"]

@@ -5,7 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from inkfold.operators import digest
-from inkfold.plans.issue import build_issue, process_articles
+from inkfold.plans.issue import DIGESTS, build_issue, process_articles
 from inkfold.schemas import DIGEST_ORDER, FEATURES_DDL
 from inkfold.sources.cache import cache_rows, cache_upsert, read_cache, write_cache
 
@@ -67,7 +67,7 @@ def test_contents_and_lists(spark):
     unnamed = done.withColumn("category", F.when(F.col("category") == "AI", "").otherwise(F.col("category")))
     heads = [x for x in lines(digest.snippets(unnamed)) if x.startswith("## ")]
     assert heads == ["## Other\n", "## Programming\n", "## Uncategorized\n"]
-    sections = lines(digest.sectioned_newsletter(done.withColumn("features", F.lit(None).cast(FEATURES_DDL))))
+    sections = lines(digest.sectioned_newsletter(done))
     assert [x for x in sections if x.startswith(("## ", "### LLM", "### AI", "### Lang"))] == [
         "## AI", "### LLMs", "### AI Ethics", "## Other", "## Programming", "### Languages"]
 
@@ -90,3 +90,18 @@ def test_cache_snapshots(spark, tmp_path):
     write_cache(first, str(tmp_path / "v1"))
     second = cache_upsert(read_cache(spark, str(tmp_path / "v1")), rows([("b", "2"), ("c", "2")], "2025-01-05"))
     assert sorted((r["url"], r["content"]) for r in second.collect()) == [("a", "1"), ("b", "2"), ("c", "2")]
+
+
+def test_all_kinds_with_pages_cache_and_responses(spark, tmp_path):
+    pages = spark.createDataFrame([("https://a.com/1", "<article><p>" + "word " * 60 + "</p></article>")] * 2, "url string, html string")
+    cache = cache_rows(spark.createDataFrame([("https://ft.com/2", "stored " * 60)], "url string, content string")
+                       .withColumn("features", F.lit(None).cast(FEATURES_DDL)), "2025-02-06")
+    answers = spark.createDataFrame([("https://a.com/3", '{"category": "Science", "formatted_markdown": "Bias, retold"}')], "url string, response string")
+    table = build_issue(spark, articles(spark), "2025-02-07", str(tmp_path / "out"), kinds=tuple(DIGESTS), pages=pages, cache=cache,
+                        as_of="2025-02-07", responses=answers)
+    rows = {r["title"]: r for r in table.collect()}
+    assert len(rows) == table.count() == 4
+    assert rows["Python tips"]["content"].startswith("word word") and rows["On gpt"]["content"].startswith("stored")
+    assert rows["Bias"]["category"] == "Science" and rows["Bias"]["features"]["word_count"] == 11
+    for kind in DIGESTS:
+        assert "Bias" in text_of(f"{tmp_path}/out/md/{kind}")
