@@ -10,6 +10,8 @@ from inkfold.functions.text import WORD, WS, as_col, strip
 # The metadata div of a digest and what joins its pairs in HTML.
 META_DIV = r'(?s)<div class="metadata">\n(.*?)\n</div>'
 META_JOIN = "&nbsp;&nbsp;•&nbsp;&nbsp;"
+#: Elements whose lines are no paragraphs.
+BLOCK_TAGS = "h[1-6]|hr|li|ul|ol|p|div|pre|blockquote|table|thead|tbody|tr|td|th|section|article|figure"
 
 
 def _meta_pairs(text: Column, sep: str) -> Column:
@@ -79,6 +81,19 @@ def to_html(text: Column | str) -> Column:
     return links(images(bold(t)))
 
 
+def block_elements(text: Column | str) -> Column:
+    """Headings, rules and list items as elements, other bare lines as paragraphs; lines that open or close a block stay.
+
+    Lines are judged one by one, as a digest's rows are: list items get no list around them.
+    """
+    t = as_col(text)
+    for level in range(1, 7):
+        t = F.regexp_replace(t, rf"(?dm)^#{{{level}}} +(.*)$", f"<h{level}>$1</h{level}>")
+    t = F.regexp_replace(t, r"(?dm)^-{3,}$", "<hr>")
+    t = F.regexp_replace(t, r"(?dm)^ *- +(.*)$", "<li>$1</li>")
+    return F.regexp_replace(t, rf"(?dm)^(?! *</?(?:{BLOCK_TAGS})\b)(.*\S.*)$", "<p>$1</p>")
+
+
 def simple_markdown(text: Column | str) -> Column:
     """Fallback converter: headings (longest first), bold, emphasis, links, list items."""
     t = as_col(text)

@@ -62,11 +62,11 @@ def _whole_word_sum(words: list[str]) -> str:
     WITH {q.ARTICLES},
     t AS (SELECT entry_ord, regexp_replace(lower(title || ' ' || title || ' ' || full_text), '({q.NW})', '\\1\\1', 'g') AS twice FROM art)
     SELECT entry_ord, {', '.join(f'CAST({_whole_word_sum(w)} AS BIGINT) AS {c.lower().replace(" ", "_")}'
-                                  for c, w in CATEGORY_KEYWORDS.items() if c in ('AI', 'Programming', 'Essays'))} FROM t""")
+                                  for c, w in CATEGORY_KEYWORDS.items())} FROM t""")
 def classify_whole_words(spark, sf):
     c = classify(articles(spark, sf), source=None, whole_word=True)
     return c.select("entry_ord", *[
-        F.col("category_scores")[name].alias(name.lower()) for name in ("AI", "Programming", "Essays")
+        F.col("category_scores")[name].alias(name.lower().replace(" ", "_")) for name in CATEGORY_KEYWORDS
     ])
 
 

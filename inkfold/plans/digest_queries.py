@@ -260,27 +260,37 @@ def contents_query(spark, sf):
 
 
 @query("article_blocks", f"""
-    WITH {FIN}, {extracts(500)}
+    WITH {FIN}, {extracts(1500)}
     SELECT entry_ord, md5('### ' || tlink || {NL} || {NL} || {_META_LINE} || {NL} || {NL} || {_IMAGE} ||
         CASE WHEN extracted = '' THEN '*No content available*' ELSE extracted END || {NL} || {NL} || {_MORE} || {NL}) AS full_block,
       md5('## ' || tlink || {NL} || '<div class="metadata">' || {NL} || {_META_LINE} || {NL} || '</div>' || {NL} || {NL} || extracted || {NL} || {NL} ||
         {_MORE} || {NL} || {NL} || '---' || {NL} || {NL}) AS original, md5({_BLOCK}) AS basic FROM ext""")
 def article_blocks(spark, sf):
-    """Basic, full and original blocks; here the extract has 500 words in both."""
+    """Basic, full and original blocks; the extract has the 1500 words of a full block in both."""
     a = processed_documents(spark, sf).withColumn("processed_content", F.lit(None).cast("string"))
-    e = extract_paragraphs(a, "full_text", 500, "extract")
+    e = extract_paragraphs(a, "full_text", 1500, "extract")
     return e.select(
         "entry_ord", F.md5(block_full(F.col("extract"), F.col("extract"))).alias("full_block"),
         F.md5(block_original(F.col("extract"))).alias("original"), F.md5(block_basic(local_body())).alias("basic"),
     )
 
 
-_HTML_ITEM = ("'- <a href=\"' || url || '\">' || regexp_replace(title, '\\*\\*([^*<]+)\\*\\*', '<strong>\\1</strong>', 'g') || '</a>'")
+_HTML_ITEM = ("'<li><a href=\"' || url || '\">' || regexp_replace(title, '\\*\\*([^*<]+)\\*\\*', '<strong>\\1</strong>', 'g') || '</a></li>'")
+
+
+def _html_reading_list_sql() -> str:
+    k = "reading_list"
+    return " UNION ALL ".join([
+        row(k, 0, f"'<h1>{T} - Reading List</h1>' || {NL} || {NL} || '<p>Generated on ' || {DATES} || '</p>' || {NL}", ISSUE_ROWS),
+        row(k, 1, f"'<h2>' || category || '</h2>' || {NL}", CATS, section="category"),
+        row(k, 1, _HTML_ITEM, "fin", section="category", sub_ord="1", **ART),
+        row(k, 1, "''", CATS, section="category", sub_ord="2"),
+    ])
 
 
 @query("html_digest", f"""
-    WITH {FIN} {_reading_list_sql().replace("'- ' || tlink", _HTML_ITEM)}
-    UNION ALL {row('reading_list', -1, "'<!DOCTYPE html>' || chr(10) || '<body>'", ISSUE_ROWS)}
+    WITH {FIN} {_html_reading_list_sql()}
+    UNION ALL {row('reading_list', -1, f"'<!DOCTYPE html>' || {NL} || '<html>' || {NL} || '<body>'", ISSUE_ROWS)}
     UNION ALL {row('reading_list', 1000, "'</body>' || chr(10) || '</html>'", ISSUE_ROWS)}""")
 def html_digest(spark, sf):
     return html_lines(digest.reading_list(issue_articles(spark, sf)))

@@ -141,12 +141,13 @@ def only_new_query(spark, sf):
     SELECT doc_id, CASE WHEN toxic = 1 THEN 'failed' ELSE 'processed' END AS status,
            CASE WHEN toxic = 1 THEN 'Unclassified' ELSE 'Kept' END AS category,
            CASE WHEN toxic = 1 THEN '**Note: Full article content could not be retrieved.**' ELSE md5(text) END AS body
-    FROM documents JOIN labels USING (doc_id)""")
+    FROM documents LEFT JOIN labels USING (doc_id)""")
 def processed_and_failed_query(spark, sf):
     a = documents_as_articles(table(spark, sf, "documents")).withColumns(
         {"category": F.lit("Kept"), "content": F.md5("content"), "processed_content": F.md5("content")})
-    a = a.join(table(spark, sf, "labels").withColumnRenamed("doc_id", "entry_ord"), "entry_ord")
-    both = processed_and_failed(a.filter("toxic = 0"), a.filter("toxic = 1"))
+    a = a.join(table(spark, sf, "labels").withColumnRenamed("doc_id", "entry_ord"), "entry_ord", "left")
+    failed = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    both = processed_and_failed(a.filter(~failed), a.filter(failed))
     return both.select(F.col("entry_ord").alias("doc_id"), "status", "category", F.col("processed_content").alias("body"))
 
 

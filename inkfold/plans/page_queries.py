@@ -48,11 +48,13 @@ def block_texts_query(spark, sf):
     return rows.filter(F.col("block").isNotNull()).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query("scrub_html", f"SELECT page_id, md5({q.scrub('substr(html, 30)')}) AS digest FROM pages")
+@query("scrub_html", f"SELECT page_id, md5({q.scrub('html')}) AS digest, "
+       f"md5({q.scrub("replace(html, '<html', '<main')")}) AS inner_digest FROM pages")
 def scrub_html_query(spark, sf):
-    # Without its opening tag the page is not one wrapped document, which the scrub would drop whole.
+    """Whole pages, which are one wrapped document, and the same without that, so that the inner rules show."""
+    inner = F.replace("html", F.lit("<html"), F.lit("<main"))
     return pages(spark, sf).select(
-        "page_id", F.md5(scrub_html(F.substring("html", 30, 2**31 - 1))).alias("digest")
+        "page_id", F.md5(scrub_html("html")).alias("digest"), F.md5(scrub_html(inner)).alias("inner_digest")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +60,17 @@ def feed_file() -> Column:
     return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
 
 
+def feed_files(spark: SparkSession, path: str, missing_ok: bool = False) -> list[str]:
+    """The files of one path or glob, by name; with ``missing_ok`` none where nothing is found."""
+    try:
+        files = spark.read.format("binaryFile").load(path).inputFiles()
+    except AnalysisException as e:
+        if missing_ok and e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    return sorted(map(one_slash_form, files))
+
+
 def read_atom(
     spark: SparkSession, paths: list[str], limit: int = 0, strict: bool = False
 ) -> DataFrame:
@@ -68,10 +80,7 @@ def read_atom(
     out; ``strict`` drops its whole feed. A feed file is read by one task, so ordering its entries needs
     no more than that.
     """
-    order = []
-    for path in paths:
-        files = sorted(spark.read.format("binaryFile").load(path).inputFiles())
-        order += [f for f in map(one_slash_form, files) if f not in order]
+    order = list(dict.fromkeys(f for path in paths for f in feed_files(spark, path)))
     raw = (
         spark.read.format("xml").options(**XML_OPTIONS).schema(ENTRY).load(paths)
         .select("*", feed_file().alias("feed_file"),
@@ -100,8 +109,18 @@ def read_atom(
 
 
 def read_feed_dirs(spark: SparkSession, folders: list[str], limit: int = 0, strict: bool = False) -> DataFrame:
-    """``*.atom`` files of several folders as one batch, folders in order of priority."""
-    return read_atom(spark, [f"{folder.rstrip('/')}/*.atom" for folder in folders], limit, strict)
+    """``*.atom`` files of several folders as one batch, folders in order of priority.
+
+    A folder that is missing or holds no feed is no feed; without any feed the result has no rows.
+    """
+    globs = [f"{folder.rstrip('/')}/*.atom" for folder in folders]
+    filled = [g for g in globs if feed_files(spark, g, missing_ok=True)]
+    if filled:
+        return read_atom(spark, filled, limit, strict)
+    return spark.createDataFrame([], ENTRY).select(
+        F.lit(0).cast("bigint").alias("feed_ord"), F.lit(0).cast("bigint").alias("entry_ord"),
+        F.lit("").alias("feed_file"), F.lit(0).cast("bigint").alias("corrupt_records"),
+        *[v.alias(k) for k, v in entry_fields().items()])
 
 
 def entries_from_column(df: DataFrame, xml: str) -> DataFrame:

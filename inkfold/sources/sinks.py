@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.functions.markup import to_html
+from inkfold.functions.markup import block_elements, to_html
 from inkfold.schemas import DIGEST_ORDER
 
-HTML_HEAD = "<!DOCTYPE html>\n<body>"
+HTML_HEAD = "<!DOCTYPE html>\n<html>\n<body>"
 HTML_TAIL = "</body>\n</html>"
 HEAD_PART, TAIL_PART = -1, 1_000
 
@@ -36,7 +36,7 @@ def html_lines(lines: DataFrame) -> DataFrame:
                      part=F.lit(part).cast("bigint"), feed_ord=F.lit(-1).cast("bigint"), entry_ord=F.lit(-1).cast("bigint"))
         return ids.select(*[blank[n].alias(n) for n in names], F.lit(text).alias("line"))
 
-    body = lines.select(*names, to_html("line").alias("line"))
+    body = lines.select(*names, block_elements(to_html("line")).alias("line"))
     return frame(HEAD_PART, HTML_HEAD).unionByName(body).unionByName(frame(TAIL_PART, HTML_TAIL))
 
 

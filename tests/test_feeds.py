@@ -48,6 +48,16 @@ def test_order_and_limit(spark, folders):
     assert sorted((r["feed_ord"], r["title"]) for r in swapped) == [(1, "two"), (2, "two"), (3, "T & one")]
 
 
+def test_folders_without_feeds(spark, folders, tmp_path):
+    (tmp_path / "empty").mkdir()
+    none = [str(tmp_path / "empty"), str(tmp_path / "missing")]
+    both = read_feed_dirs(spark, [none[0], *folders, none[1]])
+    assert both.count() == 6 and {r["feed_ord"] for r in both.collect()} == {1, 2, 3}
+    blank = read_feed_dirs(spark, none)
+    assert blank.count() == 0 and [f.dataType for f in blank.schema] == [f.dataType for f in both.schema]
+    assert blank.columns == both.columns
+
+
 def test_malformed(spark, folders):
     path = f"{folders[1]}/c.atom"
     assert [r["corrupt_records"] for r in read_atom(spark, [path]).collect()] == [1]

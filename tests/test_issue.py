@@ -43,8 +43,11 @@ def test_documents(spark, tmp_path):
         "# Weekly Digest - Reading List\n\nGenerated on February 07, 2025\n\n## AI\n\n- [On gpt](https://ft.com/2)\n- [Bias](https://a.com/3)\n\n"
         "## Other\n\n- [zzz]()\n\n## Programming\n\n- [Python tips](https://a.com/1)\n\n")
     page = text_of(f"{tmp_path}/out/html/reading_list")
-    assert page.startswith("<!DOCTYPE html>\n<body>\n# Weekly") and page.endswith("</body>\n</html>\n")
-    assert '- <a href="https://ft.com/2">On gpt</a>' in page
+    assert page.startswith("<!DOCTYPE html>\n<html>\n<body>\n<h1>Weekly") and page.endswith("</body>\n</html>\n")
+    assert '<li><a href="https://ft.com/2">On gpt</a></li>' in page
+    news = text_of(f"{tmp_path}/out/html/newsletter")
+    assert "<li>AI: 2 articles</li>" in news and "<hr>" in news and "<p>python python code</p>" in news
+    assert not [x for x in (page + news).split("\n") if x.startswith(("#", "- ", "---"))]
 
 
 def lines(df):
