@@ -33,6 +33,23 @@ def components(links: DataFrame) -> DataFrame:
             "node", F.least("root", F.coalesce("low", "root")).alias("root")), "labels")
 
 
+def extended(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The rows of ``components`` when ``links`` are added to the graph that ``labels`` describes.
+
+    Only links between components that still differ are followed, so a later round costs what it adds.
+    """
+    if labels is None:
+        return components(links)
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    between = ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b")
+    merged = components(between)
+    moved = labels.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(
+        "node", F.coalesce("top", "root").alias("root"))
+    return stored(moved.unionByName(merged.join(labels, "node", "left_anti").select("node", "root")), "labels")
+
+
 def _shortened(labels: DataFrame) -> DataFrame:
     """Point every node at its root's root until all roots are their own."""
     while True:

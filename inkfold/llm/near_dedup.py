@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.llm.common import KEYS, stored, with_keys
-from inkfold.llm.components import components
+from inkfold.llm.components import extended
 from inkfold.llm.textbytes import U64, Powers, blocks, mixed, prefix_hashes, stretch_hashes
 
 PLACES = 128
@@ -217,8 +217,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                .select("class", "n", F.explode("bands").alias("bucket")))
     crowded = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     members = stored(members.join(crowded, "bucket"), "buckets")
-    links = _links(slim, named, members, width, similar)
-    roots = components(links)
+    roots = _roots(slim, named, members, width, similar)
     labelled = named.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
         "same", "least", F.coalesce("root", "class").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -227,8 +226,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "doc_id", *KEYS, F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _links(slim: DataFrame, named: DataFrame, members: DataFrame, width: int, similar: int) -> DataFrame:
-    """Verified links between classes that share a bucket, enough to join all that are joined by any.
+def _roots(slim: DataFrame, named: DataFrame, members: DataFrame, width: int, similar: int) -> DataFrame:
+    """Components (node, root) by verified links between classes that share a bucket; no link would join more.
 
     Sets are made once, for the classes in crowded buckets. A few rounds compare the members of a bucket with one
     member of another component; what still differs then, and can be similar at all, is compared in full.
@@ -236,7 +235,7 @@ def _links(slim: DataFrame, named: DataFrame, members: DataFrame, width: int, si
     wanted = members.select("class").distinct().join(named.select("class", *KEYS), "class")
     texts = slim.select(*KEYS, "text").join(wanted, KEYS).dropDuplicates(["class"]).select("class", "text")
     sets = stored(texts.mapInArrow(lambda it: set_batches(it, width), SET), "sets")
-    links = compared = None
+    roots = compared = None
     members = members.withColumn("shared", F.col("n"))
     pairs = _pivot_pairs(members.withColumn("root", F.col("class")), 0)
     for step in range(1, PIVOT_ROUNDS + 2):
@@ -251,24 +250,23 @@ def _links(slim: DataFrame, named: DataFrame, members: DataFrame, width: int, si
             pairs.join(sets.select(F.col("class").alias("a"), F.col("elements").alias("x")), "a")
             .join(sets.select(F.col("class").alias("b"), F.col("elements").alias("y")), "b")
             .mapInArrow(lambda it: overlap_batches(it, similar), "a long, b long"), "verified")
-        links = good if links is None else links.unionByName(good)
+        roots = extended(roots, good)
         compared = pairs if compared is None else compared.unionByName(pairs)
         if step > PIVOT_ROUNDS:
             break
-        rooted = _open_buckets(members, links)
+        rooted = _open_buckets(members, roots)
         if rooted.isEmpty():
             break
         if step == 1:
             rooted = _with_shared(rooted, sets)
         members = rooted.drop("root")
         pairs = _pivot_pairs(rooted, step) if step < PIVOT_ROUNDS else _remaining_pairs(rooted, sets, similar)
-    return links
+    return roots
 
 
-def _open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
+def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one component, with their ``root``."""
-    roots = components(links).withColumnRenamed("node", "class")
-    rooted = members.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     several = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
     return stored(rooted.join(several.select("bucket"), "bucket").select("bucket", "class", "n", "shared", "root"),
                   "open")

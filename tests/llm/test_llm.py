@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkfold.llm import near_dedup, sharding, substrings
 from inkfold.llm.bpe import bpe_digest
 from inkfold.llm.chat import chat_digest, format_chat
+from inkfold.llm.components import extended
 from inkfold.llm.decontaminate import contamination, contamination_digest, drop_contaminated
 from inkfold.llm.near_dedup import drop_near_duplicates, near_digest, near_duplicates
 from inkfold.llm.pii import find_pii, mask_pii, pii_digest
@@ -204,6 +205,29 @@ def test_decontamination_windows(make, spark):
     assert by_id(contamination_digest(contamination(docs, bench.limit(0))))[n]["n_hit"] == 0
 
 
+def test_components_grow_as_at_once(spark):
+    rng = np.random.default_rng(7)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))]
+    schema = "a long, b long"
+    labels = None
+    for at in (0, 100, 100, 200):  # one part twice: links that join nothing new
+        labels = extended(labels, spark.createDataFrame(pairs[at:at + 100], schema))
+    labels = extended(labels, spark.createDataFrame([], schema))
+    root = {n: n for p in pairs for n in p}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        low, high = sorted((top(a), top(b)))
+        root[high] = low
+    got = labels.collect()
+    linked = {n for a, b in pairs if a != b for n in (a, b)}
+    assert len(got) == len(linked) and {r["node"]: r["root"] for r in got} == {n: top(n) for n in linked}
+
+
 def plain_components(texts, width):
     sets = []
     for t in texts:
