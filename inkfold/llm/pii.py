@@ -2,9 +2,11 @@
 
 Emails, addresses of hosts, card numbers and phone numbers that fit their formats are the seeds. The words to
 the left of a seed are a lexical pattern. Patterns and the things they precede form a graph over the whole
-corpus: a pattern is as good as the share of known instances among what it precedes, an instance as good as the
-best pattern before it; the two scores are computed in turn. Things of a fitting shape that only fail the strict
-format are new spans where a well supported pattern vouches for them.
+corpus. A pattern is judged by the known instances it precedes against the things known to be something else: short
+numbers and dates, seeds of other number kinds, names that begin with an @. Things of a fitting shape that only
+fail the strict format are unknown, not wrong; they weigh only as far as such things fit the format by chance. What
+a well supported pattern vouches for is a new span, and a known instance of the next round, until nothing new is
+accepted.
 
 Only DataFrame functions are used. Per row: null text is the empty text; a null id is kept; repeated rows give
 repeated results; other columns are not touched. An empty table gives an empty table.
@@ -36,6 +38,19 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Things a pattern may vouch for: numbers with inner punctuation, and names with an @ but no full host.
 LOOSE_NUMBER = r"\+?[0-9][0-9.()-]{7,62}[0-9](?![0-9])"
 LOOSE_MAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++"
+#: Numbers with blanks and brackets, of 9 to 12 and of 13 to 19 digits; after a blank stand two digits at least.
+SPACED_PHONE = r"(?<![0-9])\(?[0-9](?:[0-9]|[ ().-]{1,3}(?=[0-9]{2})[0-9]){8,11}(?![0-9])"
+SPACED_CARD = "(?<![0-9])[0-9](?:[0-9]|[ -](?=[0-9]{2})[0-9]){12,18}(?![0-9])"
+
+#: Things known to be none of these: numbers of at most SHORT digits, dates, and names that begin with an @.
+NUMBER = r"(?<![A-Za-z0-9])[0-9](?:[0-9.,:/()-]*[0-9])?"
+SHORT = 4
+DATE = "^[12][0-9]{3}[-/.][0-9]{2}[-/.][0-9]{2}$"
+HANDLE = "(?<![A-Za-z0-9._%+-])@[A-Za-z0-9_-]++"
+NO_NUMBER, NO_MAIL = 4, 5
+#: By kind, the share of other things of a loose shape that fit the strict format by chance: one in ten numbers passes
+#: the card check.
+CHANCE = [0.01, 0.01, 0.1, 0.01]
 
 
 def _luhn(digits: Column) -> Column:
@@ -82,7 +97,21 @@ def candidates(text: Column) -> Column:
         kind(h["hit"]).alias("kind"), h["start"].alias("start"), h["stop"].alias("stop"),
         h["hit"].alias("hit"), h["left"].alias("left")))
     mails = F.when(F.contains(text, F.lit("@")), found(text, LOOSE_MAIL, CONTEXT))
-    return F.concat(F.filter(numbers, lambda c: c["kind"].isNotNull()), labelled(0, F.coalesce(mails, none)))
+    tight = F.filter(numbers, lambda c: c["kind"].isNotNull())
+    spaced = F.filter(F.concat(*[labelled(k, F.coalesce(F.when(text.rlike("[0-9][ ()]"), found(text, p, CONTEXT)), none))
+                                 for k, p in ((3, SPACED_PHONE), (2, SPACED_CARD))]), lambda h: h["hit"].rlike("[ (]"))
+    both = bind(tight, lambda t: F.concat(t, F.filter(spaced, lambda h: ~F.exists(
+        t, lambda c: (c["kind"] == h["kind"]) & (c["start"] == h["start"])))))
+    return F.concat(both, labelled(0, F.coalesce(mails, none)))
+
+
+def others(text: Column) -> Column:
+    """Things that are known to be no personal data, as spans of kind NO_NUMBER and NO_MAIL."""
+    none = F.array().cast("array<struct<start:int,stop:int,hit:string,left:string>>")
+    numbers = F.filter(found(text, NUMBER, CONTEXT), lambda h: h["hit"].rlike(DATE) | (
+        F.length(F.regexp_replace(h["hit"], "[^0-9]", "")) <= SHORT))
+    handles = F.when(F.contains(text, F.lit("@")), found(text, HANDLE, CONTEXT))
+    return F.concat(labelled(NO_NUMBER, numbers), labelled(NO_MAIL, F.coalesce(handles, none)))
 
 
 def _patterns(left: Column) -> Column:
@@ -94,22 +123,52 @@ def _patterns(left: Column) -> Column:
         lambda p: p.isNotNull()))
 
 
-def _accepted(edges: DataFrame, rounds: int, least: float, support: int) -> DataFrame:
+def _trusted(edges: DataFrame, known: DataFrame | None, least: float, support: int) -> DataFrame:
+    """Patterns (kind, pattern) that vouch for what they precede, given the instances accepted so far.
+
+    Of the known instances those count as right that chance does not explain: were all unknown ones something else,
+    CHANCE of their like would be among the seeds. They are set against the things known to be something else.
+    """
+    if known is not None:
+        edges = edges.join(known.withColumn("got", F.lit(1)), ["kind", "inst"], "left")
+    sure = F.col("seed") == 1 if known is None else (F.col("seed") == 1) | F.col("got").isNotNull()
+    count = lambda what: F.sum(what.cast("long"))
+    kinds = range(len(KINDS))
+    per = edges.groupBy("pattern").agg(
+        *[count((F.col("kind") == k) & (F.col("seed") == 1)).alias(f"seeds{k}") for k in kinds],
+        *[count((F.col("kind") == k) & sure).alias(f"known{k}") for k in kinds],
+        *[count((F.col("kind") == k) & ~sure).alias(f"open{k}") for k in kinds],
+        *[count(F.col("kind") == k).alias(f"wrong{k}") for k in (NO_NUMBER, NO_MAIL)])
+
+    def judged(k: int) -> Column:
+        wrong = F.col(f"wrong{NO_NUMBER}") if k else F.col(f"wrong{NO_MAIL}")
+        for other in kinds:
+            if k and other and other != k:
+                wrong = wrong + F.col(f"seeds{other}")
+        got = F.col(f"known{k}")
+        right = got - F.col(f"open{k}") * (CHANCE[k] / (1 - CHANCE[k]))
+        return F.struct(F.lit(k).alias("kind"), ((got >= support) & (right >= least * (got + wrong))).alias("good"))
+
+    return (per.select("pattern", F.explode(F.array(*[judged(k) for k in kinds])).alias("j"))
+            .where("j.good").select("j.kind", "pattern"))
+
+
+def _accepted(edges: DataFrame, rounds: int | None, least: float, support: int) -> DataFrame:
     """Instances (kind, inst) that patterns vouch for. ``edges``: kind, pattern, inst, seed, one row each.
 
-    Every round scores patterns by their instances and instances by their best pattern. A pattern counts only
-    with enough different seeds.
+    Every round trusts patterns by their known instances and accepts what these precede; that is known in the next
+    round. Nothing is taken back, so the rounds end; ``rounds`` ends them earlier.
     """
-    known = edges.groupBy("kind", "inst").agg(F.max("seed").cast("double").alias("score"))
-    for _ in range(rounds):
-        rated = (edges.join(known, ["kind", "inst"]).groupBy("kind", "pattern")
-                 .agg(F.avg("score").alias("trust"), F.sum("seed").alias("seeds"))
-                 .where((F.col("seeds") >= support) & (F.col("trust") >= least)))
-        best = edges.join(rated, ["kind", "pattern"], "left").groupBy("kind", "inst").agg(
-            F.max("seed").alias("seed"), F.coalesce(F.max("trust"), F.lit(0.0)).alias("trust"))
-        known = best.select("kind", "inst", F.greatest("seed", "trust").cast("double").alias("score"))
-    new = edges.groupBy("kind", "inst").agg(F.max("seed").alias("seed")).where("seed = 0").drop("seed")
-    return known.where(F.col("score") >= least).join(new, ["kind", "inst"], "left_semi").select("kind", "inst")
+    loose = edges.where((F.col("seed") == 0) & (F.col("kind") < len(KINDS)))
+    known, step = None, 0
+    while rounds is None or step < rounds:
+        more = loose.join(_trusted(edges, known, least, support), ["kind", "pattern"]).select("kind", "inst").distinct()
+        more = stored(more if known is None else more.join(known, ["kind", "inst"], "left_anti"), "pii_round")
+        if more.isEmpty():
+            break
+        known = more if known is None else known.unionByName(more)
+        step += 1
+    return loose.select("kind", "inst").limit(0) if known is None else known
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,22 +176,30 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     body = F.coalesce(F.col("_text"), F.lit(""))
     keyed = with_keys(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text")),
                       "doc_id", "_text")
-    rows = keyed.select("doc_id", *KEYS, seeds(body).alias("base"), candidates(body).alias("loose"))
-    apart = F.filter("loose", lambda c: ~F.exists(
-        "base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-    return stored(rows.withColumn("loose", apart), "pii_scan")
+    rows = keyed.select("doc_id", *KEYS, seeds(body).alias("base"), candidates(body).alias("loose"),
+                        others(body).alias("other"))
+
+    def apart(spans: str, held: str) -> Column:
+        return F.filter(spans, lambda c: ~F.exists(held, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
+
+    rows = rows.withColumns({"loose": apart("loose", "base"), "other": apart("other", "base")})
+    return stored(rows.withColumn("other", F.transform(apart("other", "loose"), lambda c: F.struct(
+        c["kind"].alias("kind"), F.xxhash64(c["hit"]).alias("inst"), _patterns(c["left"]).alias("patterns")))), "pii_scan")
 
 
-def discovered(scanned: DataFrame, rounds: int = 3, least: float = 0.9, support: int = 5) -> DataFrame:
+def discovered(scanned: DataFrame, rounds: int | None = None, least: float = 0.9, support: int = 5) -> DataFrame:
     """New spans per document: the keys and ``more``, array<struct<kind, start, stop>>."""
+    other = scanned.select(F.explode("other").alias("o")).select(
+        F.col("o.kind").alias("kind"), F.explode("o.patterns").alias("pattern"),
+        F.col("o.inst").cast("string").alias("inst"), F.lit(0).alias("seed"))
     spans = scanned.select(*KEYS, F.explode(F.concat(
         F.transform("base", lambda s: F.struct(s.alias("s"), F.lit(1).alias("seed"))),
         F.transform("loose", lambda s: F.struct(s.alias("s"), F.lit(0).alias("seed"))))).alias("x"))
     parts = spans.select(*KEYS, F.col("x.s.kind").alias("kind"), F.col("x.s.start").alias("start"),
                          F.col("x.s.stop").alias("stop"), F.sha2("x.s.hit", 256).alias("inst"),
                          F.col("x.seed").alias("seed"), F.col("x.s.left").alias("left"))
-    edges = (parts.select("kind", "inst", "seed", F.explode(_patterns(F.col("left"))).alias("pattern"))
-             .groupBy("kind", "pattern", "inst").agg(F.max("seed").alias("seed")))
+    edges = stored(parts.select("kind", F.explode(_patterns(F.col("left"))).alias("pattern"), "inst", "seed")
+                   .unionByName(other).groupBy("kind", "pattern", "inst").agg(F.max("seed").alias("seed")), "pii_edges")
     good = _accepted(edges, rounds, least, support)
     return (parts.where("seed = 0").join(good, ["kind", "inst"], "left_semi")
             .groupBy(*KEYS).agg(F.array_sort(F.collect_set(F.struct("kind", "start", "stop"))).alias("more")))
