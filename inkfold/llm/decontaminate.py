@@ -137,7 +137,7 @@ def matches(index: Postings, windows: Windows, order: np.ndarray, slop: int) ->
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-HITS = ("doc_id long, n_words long, hits array<long>, near long, items array<string>, _k1 long, _k2 int")
+HITS = ("doc_id long, n_words long, hits array<long>, near long, items array<string>, _k1 long, _k2 binary")
 
 
 def match_batches(batches: Iterator[pa.RecordBatch], windows: Windows, order: np.ndarray,

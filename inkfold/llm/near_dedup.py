@@ -153,7 +153,7 @@ def signature_batches(batches: Iterator[pa.RecordBatch], width: int, bands: int)
              pa.array(same, pa.binary()), lists], names=["doc_id", *KEYS, "n", "same", "bands"])
 
 
-SIGNED = "doc_id long, _k1 long, _k2 int, n long, same binary, bands array<long>"
+SIGNED = "doc_id long, _k1 long, _k2 binary, n long, same binary, bands array<long>"
 SET = "class long, elements binary, parity array<long>"
 
 

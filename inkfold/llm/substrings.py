@@ -245,8 +245,8 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-RUN_COLUMNS = "_k1 long, _k2 int, start long, anchor int, h long, part long, parts long, run binary"
-RESULT = "_k1 long, _k2 int, start long, stop long, f1 long, f2 long"
+RUN_COLUMNS = "_k1 long, _k2 binary, start long, anchor int, h long, part long, parts long, run binary"
+RESULT = "_k1 long, _k2 binary, start long, stop long, f1 long, f2 long"
 
 
 def _unit(rows: list[tuple], span: int, powers: Powers) -> list[tuple]:
@@ -278,7 +278,7 @@ def settle_batches(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.
     """Rows come sorted by (h, part); groups are settled whole, many at a time."""
     powers, rows, held = Powers(), [], 0
     names = [f.split()[0] for f in RESULT.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def flush(done: list) -> pa.RecordBatch:
         cols = list(zip(*_unit(done, span, powers), strict=True)) or [[]] * 6
@@ -306,7 +306,7 @@ def cut_out_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 out.append((row["_k1"], row["_k2"], start, off, e["h"], e["part"], e["parts"],
                             text[start:start + more + e["span"]]))
         cols = list(zip(*out, strict=True)) or [[]] * 8
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
                                          names=[f.split()[0] for f in RUN_COLUMNS.split(", ")])
 
@@ -319,7 +319,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError(f"span must lie between {2 * ANCHOR} and 1000")
     slim = with_keys(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
     anchors = slim.select(*KEYS, "text").mapInArrow(
-        lambda it: anchor_batches(it, span), "_k1 long, _k2 int, pack long, h long, whole long")
+        lambda it: anchor_batches(it, span), "_k1 long, _k2 binary, pack long, h long, whole long")
     often = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     meets = stored(anchors.join(often, "h"), "anchors")
     classes = meets.groupBy("h", "whole").agg(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkfold.llm import near_dedup, sharding, substrings
 from inkfold.llm.bpe import bpe_digest
 from inkfold.llm.chat import chat_digest, format_chat
+from inkfold.llm.common import KEYS, with_keys
 from inkfold.llm.components import extended
 from inkfold.llm.decontaminate import contamination, contamination_digest, drop_contaminated
 from inkfold.llm.near_dedup import drop_near_duplicates, near_digest, near_duplicates
@@ -42,6 +43,17 @@ def by_id(df):
 ODD = ["", None, " \n\t ", "x", "é\U0001F600" * 3, "a" * 3000, "1" * 5000, "a.b" * 3000 + "@x.y", "+" * 50]
 
 
+def test_keys_tell_texts_of_one_id_apart(make, spark):
+    text = F.concat(F.when(F.col("id") % 2 == 0, "see gold fish ").otherwise("mail a@b.cd of "), F.col("id").cast("string"))
+    same = spark.range(400_000).select(text.alias("t")).groupBy(F.hash(F.lit(False), "t").alias("h")).agg(
+        F.min("t").alias("a"), F.max("t").alias("b")).where("a like 'mail%' and b like 'see%'").first()
+    docs = make([(7, same["a"]), (7, same["b"])])  # 32 bits do not tell these apart
+    assert with_keys(docs).select(*KEYS).distinct().count() == 2
+    bench = spark.createDataFrame([(3, "Gold fish")], "item_id long, text string")
+    assert [r["text"] for r in drop_contaminated(docs, bench).collect()] == [same["a"]]
+    assert {r["text"] for r in mask_pii(docs).collect()} == {same["a"].replace("a@b.cd", "<email>"), same["b"]}
+
+
 def test_pii_formats_places_and_odd_texts(make):
     texts = [*ODD, "é mail a@b.c_d@e.f ok", "card 4111 1111 1111 1111, 4111-1111-1111-1112", "ip 1.2.3.4.5.6.7.8",
              "300.1.1.1 call +1 (234) 555-0101.", "\U0001F600 x@y.z\U0001F600"]
