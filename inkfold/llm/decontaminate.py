@@ -29,6 +29,9 @@ from inkfold.llm.common import KEYS, with_keys
 from inkfold.llm.textbytes import blocks
 
 WINDOW = 10
+#: Words by which a term of a proximity match may lie off its place in production: a window of ten words meets two
+#: words at most where one is put in every nine.
+SLOP = 2
 #: Words of test items that are looked for in one pass over the corpus.
 BLOCK_WORDS = 1_000_000
 #: Bytes of words; capitals are lowered, all other bytes part words.
@@ -95,8 +98,8 @@ class Postings:
     def near(self, term: np.ndarray, place: np.ndarray, slop: int) -> np.ndarray:
         """Whether a posting of the term lies within ``slop`` of the place."""
         at = np.searchsorted(self.keys, (term << SHIFT) | np.maximum(place - slop, 0))
-        return (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)]
-                                        <= ((term << SHIFT) | np.maximum(place + slop, 0)))
+        return (place + slop >= 0) & (at < len(self.keys)) & (
+            self.keys[np.minimum(at, len(self.keys) - 1)] <= ((term << SHIFT) | np.maximum(place + slop, 0)))
 
 
 #: Candidates that are intersected at a time.
@@ -160,7 +163,8 @@ def match_batches(batches: Iterator[pa.RecordBatch], windows: Windows, order: np
             at += len(words) + wide
         window, place, exact = matches(Postings(np.concatenate(term)), windows, order, slop)
         begins_a = np.array(begins)
-        row = np.searchsorted(begins_a, place, side="right") - 1
+        # by the rarest term's own place: the first word of a proximity match may be expected before its text
+        row = np.searchsorted(begins_a, place + order[window, 0], side="right") - 1
         hits: dict[int, list] = {}
         items: dict[int, set] = {}
         near: Counter = Counter()
@@ -229,7 +233,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     if len(parts) == 1:
         return parts[0]
     every = parts[0].select("doc_id", "n_words", *KEYS)
-    rest = [p.where((F.size("hits") > 0) | (F.col("near") > 0)) for p in parts]
+    # repeated rows have equal results, which count once
+    rest = [p.where((F.size("hits") > 0) | (F.col("near") > 0)).dropDuplicates(KEYS) for p in parts]
     found = rest[0]
     for p in rest[1:]:
         found = found.unionByName(p)
@@ -246,12 +251,12 @@ def contamination_digest(found: DataFrame) -> DataFrame:
     n_hit = F.size("hits").cast("long")
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-                        (n_hit > 0).alias("contaminated"))
+                        (n_hit > 0).alias("contaminated"), F.col("near").cast("long").alias("n_near"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                       **settings) -> DataFrame:
-    """``docs`` without the rows that hold a test window."""
+    """``docs`` without the rows that hold a test window exactly; proximity matches drop nothing."""
     found = contamination(docs, benchmark, doc_id, text, **settings)
     bad = found.where(F.size("hits") > 0).select(*KEYS).distinct()
     kept = with_keys(docs, doc_id, text).join(bad, KEYS, "left_anti")

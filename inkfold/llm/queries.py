@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkfold.llm.bpe import bpe_digest
 from inkfold.llm.chat import chat_digest, format_chat, full_parts
 from inkfold.llm.common import table
-from inkfold.llm.decontaminate import contamination, contamination_digest
+from inkfold.llm.decontaminate import SLOP, contamination, contamination_digest
 from inkfold.llm.near_dedup import near_digest, near_duplicates
 from inkfold.llm.pii import find_pii, pii_digest
 from inkfold.llm.quality_model import quality_digest
@@ -65,7 +65,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination_digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return contamination_digest(contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from inkfold.llm.near_dedup import drop_near_duplicates, near_digest, near_dupli
 from inkfold.llm.pii import find_pii, mask_pii, pii_digest
 from inkfold.llm.quality_model import learn, quality_digest
 from inkfold.llm.quality_rules import apply_rules
-from inkfold.llm.queries import default_vocabulary
+from inkfold.llm.queries import default_vocabulary, op8_decontamination
 from inkfold.llm.secrets import find_secrets, secret_digest
 from inkfold.llm.sharding import histogram_shards
 from inkfold.llm.substrings import repeated_spans, repeats_digest
@@ -235,6 +235,23 @@ def test_decontamination_windows(make, spark):
     assert by_id(contamination_digest(contamination(docs, bench.limit(0))))[n]["n_hit"] == 0
 
 
+def test_proximity_matches_are_reported(make, spark, tmp_path):
+    words = [f"w{i}" for i in range(40)]
+    put_in = " ".join(w + (" extra" if i % 9 == 8 else "") for i, w in enumerate(words))
+    swapped = " ".join(["w1", "w0", *words[2:10]])  # the rarest term's window begins before the text
+    docs = make(["nothing here", swapped, put_in, put_in, " ".join(words), "w1 " * 20])
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[::-1]))], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(r["n_hit"], r["n_near"]) for r in op8_decontamination(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert rows[0] == (0, 0) and rows[1][0] == 0 and rows[1][1] > 0 and rows[5] == (0, 0)
+    assert rows[2][0] == 0 and rows[2][1] >= 20 and rows[3] == rows[2] and rows[4] == (40, 0)
+    twice = docs.unionAll(docs)
+    for block in (5, 1000):
+        got = contamination_digest(contamination(twice, bench, slop=2, block_words=block))
+        assert {(r["n_hit"], r["n_near"]) for r in got.collect()} == set(rows)
+
+
 def test_components_grow_as_at_once(spark):
     rng = np.random.default_rng(7)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))]
