@@ -177,15 +177,28 @@ def prompt_rows(articles: DataFrame, system: str = SYSTEM_PROMPT) -> DataFrame:
     return articles.select("feed_ord", "entry_ord", "url", F.lit(system).alias("system"), prompt.alias("prompt"))
 
 
+def _last_keys(raw: Column) -> Column:
+    """The fields of an object whose keys are repeated, as JSON with their last values; null for any other text.
+
+    The parser of variants refuses repeated keys. This one takes the last, but would also read an object with text
+    behind it, so the object is read as the only element of a list.
+    """
+    ddl = "array<struct<category:string,subcategory:string,formatted_markdown:string,confidence:string>>"
+    trimmed = F.trim(raw, F.lit(" \t\r\n"))
+    read = F.from_json(F.concat(F.lit("["), trimmed, F.lit("]")), ddl, {"allowSingleQuotes": "false"})
+    framed = trimmed.startswith("{") & trimmed.endswith("}")
+    return F.when(framed & (F.size(read) == 1), F.to_json(F.get(read, F.lit(0))))
+
+
 def parse_response(responses: DataFrame, response: str = "response") -> DataFrame:
     """Add ``is_json`` and the fields of a stored model response.
 
     A JSON object gives its fields with their defaults. Any other text gives what its ``Category:`` and
     ``Subcategory:`` lines say (null without one) and itself as the body. ``other_json`` marks JSON that is no
-    object (a list, a number): it answers nothing.
+    object (a list, a number): it answers nothing. Of a key that an object repeats the last value counts.
     """
     raw = F.col(response)
-    out = responses.withColumn("_variant", F.try_parse_json(raw))
+    out = responses.withColumn("_variant", F.coalesce(F.try_parse_json(raw), F.try_parse_json(_last_keys(raw))))
     out = out.withColumn("is_json", F.coalesce(F.schema_of_variant("_variant").startswith("OBJECT"), F.lit(False)))
     out = out.withColumn("other_json", F.col("_variant").isNotNull() & ~F.col("is_json"))
 

@@ -203,9 +203,18 @@ _PARSED = """CASE WHEN quality = 1 AND toxic = 0 THEN CASE lang WHEN 'en' THEN '
 
 
 @query("parse_response", f"""
-    WITH {_RESPONSES} SELECT doc_id, quality = 1 AND toxic = 0 AS is_json, {_PARSED} FROM resp""")
+    WITH {_RESPONSES} SELECT doc_id, quality = 1 AND toxic = 0 AS is_json, false AS other_json, {_PARSED} FROM resp
+    UNION ALL
+    SELECT -n, n <> 1, n = 1, c, s, m, NULL FROM (VALUES (1, NULL, NULL, '[1]'), (2, 'AI', 'N/A', ''), (3, 'Science', 'two', 'md')) v(n, c, s, m)
+    UNION ALL SELECT -4, false, false, NULL, NULL, NULL, NULL""")
 def parse_response_query(spark, sf):
-    return parse_response(responses(spark, sf)).drop("url", "response")
+    """The answers of the labelled documents, and four odd ones: a list, repeated keys twice, none."""
+    odd = ("[1]", '{"category":"Essays","category":"AI"}',
+           ' {"subcategory":"one","category":"Science","formatted_markdown":"md","subcategory":"two"}\n', None)
+    more = spark.range(1).select(F.posexplode(F.array(*[F.lit(x).cast("string") for x in odd])).alias("i", "response"))
+    rows = responses(spark, sf).drop("url").unionByName(
+        more.select((-1 - F.col("i")).cast("bigint").alias("doc_id"), "response"))
+    return parse_response(rows).drop("response")
 
 
 @query("resolve_enrichment", f"""
