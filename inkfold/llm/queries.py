@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkfold.llm.audit import filter_audit
 from inkfold.llm.bpe import bpe_digest
 from inkfold.llm.chat import chat_digest, format_chat, full_parts
 from inkfold.llm.common import table
@@ -16,9 +17,10 @@ from inkfold.llm.near_dedup import near_digest, near_duplicates
 from inkfold.llm.pii import find_pii, pii_digest
 from inkfold.llm.quality_model import quality_digest
 from inkfold.llm.quality_rules import apply_rules, rules_digest
+from inkfold.llm.search import search
 from inkfold.llm.secrets import find_secrets, secret_digest
 from inkfold.llm.sharding import histogram_shards, shard_digest
-from inkfold.llm.sql import CHAT_SQL, QUALITY_SQL
+from inkfold.llm.sql import AUDIT_SQL, CHAT_SQL, QUALITY_SQL, SEARCH_SQL
 from inkfold.llm.substrings import repeated_spans, repeats_digest
 
 SHARDS = 40
@@ -77,8 +79,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), default_vocabulary())
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_pii, op2_substring_dedup, op3_secrets, op4_quality_rules, op5_quality_model, op6_shards, op7_chat,
-    op8_decontamination, op9_near_dedup, op10_bpe)}
+    op8_decontamination, op9_near_dedup, op10_bpe, op11_search, op13_filter_audit)}
 
-SQL: dict[str, str] = {"op4_quality_rules": QUALITY_SQL, "op7_chat": CHAT_SQL}
+SQL: dict[str, str] = {"op4_quality_rules": QUALITY_SQL, "op7_chat": CHAT_SQL, "op11_search": SEARCH_SQL,
+                       "op13_filter_audit": AUDIT_SQL}
