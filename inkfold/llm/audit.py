@@ -25,7 +25,7 @@ from itertools import permutations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.llm.textbytes import utf8
@@ -101,9 +101,9 @@ def failure_counts(rows: DataFrame) -> DataFrame:
         F.min("doc_id").alias("low"), F.min_by("c", "doc_id").alias("at_low"), F.sum("c").alias("c"),
         F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("c"))), F.lit(0)).alias("no_id"))
     # a text's rows are now one per part and label, so what meets under a digest is small
-    least = per_text.groupBy("digest").agg(F.min("low").alias("least"))
+    least = F.min("low").over(Window.partitionBy("digest"))
     first = F.when(F.col("low") == F.col("least"), F.col("at_low")).otherwise(0) + F.col("no_id")
-    split = per_text.join(least, "digest").select("part", "good", "toxic", F.explode(F.array(
+    split = per_text.withColumn("least", least).select("part", "good", "toxic", F.explode(F.array(
         F.struct(F.col("bits").alias("cell"), first.alias("c")),
         F.struct((F.col("bits") + 16).alias("cell"), (F.col("c") - first).alias("c")))).alias("x"))
     counted = lambda flag: F.sum(F.when(F.col(flag), F.col("x.c")).otherwise(0))

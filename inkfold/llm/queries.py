@@ -22,6 +22,7 @@ from inkfold.llm.secrets import find_secrets, secret_digest
 from inkfold.llm.sharding import histogram_shards, shard_digest
 from inkfold.llm.sql import AUDIT_SQL, CHAT_SQL, QUALITY_SQL, SEARCH_SQL
 from inkfold.llm.substrings import repeated_spans, repeats_digest
+from inkfold.llm.toxicity import toxicity_digest
 
 SHARDS = 40
 
@@ -83,13 +84,17 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_pii, op2_substring_dedup, op3_secrets, op4_quality_rules, op5_quality_model, op6_shards, op7_chat,
-    op8_decontamination, op9_near_dedup, op10_bpe, op11_search, op13_filter_audit)}
+    op8_decontamination, op9_near_dedup, op10_bpe, op11_search, op12_toxicity, op13_filter_audit)}
 
 SQL: dict[str, str] = {"op4_quality_rules": QUALITY_SQL, "op7_chat": CHAT_SQL, "op11_search": SEARCH_SQL,
                        "op13_filter_audit": AUDIT_SQL}
