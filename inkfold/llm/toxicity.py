@@ -1,8 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models of how words are spelled.
 
 Two models, one of toxic and one of ordinary texts, give every character of a word a probability after the characters
-before it. The long contexts (LONG down to SHORT + 1 characters) are counted per class, with absolute discounting and
-continuation counts; what is rare or unknown in a class backs off to short contexts, whose continuation counts are
+before it. Strings of LONG down to SHORT + 1 characters are counted per class, with absolute discounting and
+continuation counts; what is rare or unknown in a class backs off to shorter strings, whose continuation counts are
 shared by both models and taken from the whole corpus. So a rare expression, or a form of an expression that no label has
 shown, weighs by the parts of it that a class knows, and one that neither knows weighs nothing.
 
@@ -23,27 +23,28 @@ their names. An empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.llm.common import stored
-from inkfold.llm.decontaminate import words_of
-from inkfold.llm.textbytes import U64, mixed
+from inkfold.llm.decontaminate import WORD_BYTES
+from inkfold.llm.textbytes import U64, blocks, mixed
 
 SAMPLE, LONGEST, GRAMS = 6000, 30_000, 400_000
-#: Characters of the strings that are counted per class at most, and that are shared at most.
-LONG, SHORT = 6, 3
+#: Characters of the strings that are counted per class at most, and that are shared at most. Three signs fill a key.
+LONG, SHORT = 5, 2
+SIGN_BITS = 21
 DISCOUNT = 0.75
 #: Words that a task remembers the evidence of, and words that are spelled at a time.
 REMEMBERED, SPELLED = 400_000, 50_000
-#: Signs before and behind every word, and the evidence from which a word counts as strong.
-BEGIN, END = "\x02", "\x03"
+#: The sign before and behind every word.
+EDGE = " "
+#: Evidence from which a word counts as strong.
 STRONG = 4.0
 #: Probability of a sign after a context that nothing is known of.
 UNKNOWN = 1e-4
@@ -55,14 +56,79 @@ RIDGE = 1e-2
 # --- strings of words ------------------------------------------------------------------------------------------
 
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The signs of all words, one after another, each word between BEGIN and END: code points, the place of every
-    sign in its word, the number of its word."""
-    text = BEGIN + (END + BEGIN).join(w.decode("utf-8", "replace") for w in words) + END
-    points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
-    begins = np.flatnonzero(points == ord(BEGIN))
-    word = np.cumsum(points == ord(BEGIN)) - 1
-    return points, np.arange(len(points)) - begins[word], word
+def signs_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the words of a text, with EDGE between them, and the place of every sign in its word. A sign at
+    place 0 stands before a word; the sign behind a word has the place after its last."""
+    plain = b" " + text.translate(WORD_BYTES) + b" "
+    points = np.frombuffer(plain.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    edge = points == ord(EDGE)
+    place = np.arange(len(points), dtype=np.int32)
+    before = np.maximum.accumulate(np.where(edge, place, 0))
+    before = np.append(np.int32(0), before[:-1])  # the last edge before a sign
+    at = place - before
+    at[edge & np.append(True, edge[:-1])] = 0
+    return points, at
+
+
+def packed_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of up to SHORT + 1 signs, packed into 64 bits, and how often they occur: for every sign of a
+    word and the one behind it, it and what stands before it in the word, SHORT signs at most."""
+    points, at = signs_of(text)
+    sign = points.astype(np.int64)
+    key = np.zeros(len(sign), np.int64)
+    for back in range(SHORT, -1, -1):
+        moved = np.append(np.zeros(back, np.int64), sign[:len(sign) - back])
+        key = (key << SIGN_BITS) | np.where(at >= back, moved, 0)
+    return np.unique(key[at > 0], return_counts=True)
+
+
+def unpacked(keys: np.ndarray) -> list[str]:
+    signs = np.stack([(keys >> (SIGN_BITS * i)) & ((1 << SIGN_BITS) - 1) for i in range(SHORT, -1, -1)], axis=1)
+    length = (signs > 0).sum(axis=1)
+    text = signs.astype("<u4").tobytes().decode("utf-32-le")
+    return [text[(SHORT + 1) * (i + 1) - n:(SHORT + 1) * (i + 1)] for i, n in enumerate(length.tolist())]
+
+
+def corpus_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct short strings of every block of texts, and how often they occur in it."""
+    for _, data, offsets in blocks(batches, "_text"):
+        keys, n = packed_counts(_parted(data, offsets))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+
+
+def _parted(data: np.ndarray, offsets: np.ndarray) -> bytes:
+    """The texts of a block with a blank between them."""
+    raw = data.tobytes()
+    return b" ".join([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+
+
+def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed strings as strings."""
+    for batch in batches:
+        grams = unpacked(batch.column("key").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), batch.column("n")], names=["gram", "n"])
+
+
+def class_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct strings of up to LONG signs of labelled texts, by label."""
+    for batch in batches:
+        labels = batch.column("label").to_numpy()
+        for label in (0, 1):
+            some = batch.filter(pa.array(labels == label))
+            for _, data, offsets in blocks([some], "_text"):
+                points, at = signs_of(_parted(data, offsets))
+                text = points.astype("<u4").tobytes().decode("utf-32-le")
+                grams, n = [], []
+                rolls = rolled(points, LONG)
+                for length in range(2, LONG + 1):
+                    # strings shorter than the longest are those at a word's beginning
+                    ends = np.flatnonzero((at >= length - 1) if length == LONG else (at == length - 1))
+                    _, first, times = np.unique(rolls[length][ends], return_index=True, return_counts=True)
+                    grams += [text[e - length + 1:e + 1] for e in ends[first].tolist()]
+                    n.append(times)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grams, pa.string()), pa.array(np.concatenate(n)), pa.array([label] * len(grams), pa.int32())],
+                    names=["gram", "n", "label"])
 
 
 def rolled(points: np.ndarray, longest: int) -> list[np.ndarray]:
@@ -70,66 +136,21 @@ def rolled(points: np.ndarray, longest: int) -> list[np.ndarray]:
     sign = points.astype(U64) + U64(1)
     out = [np.zeros(len(points), U64)]
     for _ in range(longest):
-        before = np.append(U64(0), out[-1][:-1])
-        out.append(before * BASE + sign)
+        out.append(np.append(U64(0), out[-1][:-1]) * BASE + sign)
     return out
 
 
-def keys_of(grams: list[str], length: int) -> np.ndarray:
-    """The keys of strings of one length, as ``rolled`` finds them."""
-    points = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").astype(U64).reshape(len(grams), length) + U64(1)
-    key = np.zeros(len(grams), U64)
-    for i in range(length):
-        key = key * BASE + points[:, i]
-    return mixed(key)
-
-
-def grams_of(counts: Counter, longest: int) -> tuple[list[str], np.ndarray]:
-    """Distinct strings with counts: for every sign of every word, it and up to ``longest`` - 1 signs before it."""
-    words = list(counts)
-    if not words:
-        return [], np.zeros(0, np.int64)
-    points, at, word = spelled(words)
-    times = np.array([counts[w] for w in words], np.int64)[word]
-    rolls = rolled(points, longest)
-    text = points.astype("<u4").tobytes().decode("utf-32-le")
-    grams, totals = [], []
-    for length in range(2, longest + 1):
-        # strings shorter than the longest are those at a word's beginning
-        ends = np.flatnonzero((at >= length - 1) if length == longest else (at == length - 1))
-        _, first, group = np.unique(rolls[length][ends], return_index=True, return_inverse=True)
-        grams += [text[e - length + 1:e + 1] for e in ends[first].tolist()]
-        totals.append(np.bincount(group, times[ends], len(first)).astype(np.int64))
-    return grams, np.concatenate(totals)
-
-
-def _counted(counts: Counter, longest: int, **more) -> pa.RecordBatch:
-    grams, n = grams_of(counts, longest)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(grams, pa.string()), pa.array(n, pa.int64()),
-         *[pa.array([v] * len(grams), pa.int32()) for v in more.values()]], names=["gram", "n", *more])
-
-
-def corpus_batches(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
-    """Distinct strings of a task's words; words are gathered up to REMEMBERED and then given out."""
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch.column("_text"):
-            counts.update(words_of((text.as_py() or "").encode()))
-            if len(counts) > REMEMBERED:
-                yield _counted(counts, longest)
-                counts = Counter()
-    yield _counted(counts, longest)
-
-
-def class_batches(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
-    """Distinct strings of labelled texts by label."""
-    counts = (Counter(), Counter())
+def key_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Strings of one length as the keys by which ``evidence`` looks for them and for their contexts."""
     for batch in batches:
-        for text, label in zip(batch.column("_text"), batch.column("label").to_pylist(), strict=True):
-            counts[label].update(words_of((text.as_py() or "").encode()))
-    for label, words in enumerate(counts):
-        yield _counted(words, longest, label=label)
+        points = np.frombuffer("".join(batch.column("gram").to_pylist()).encode("utf-32-le"), "<u4")
+        points = points.astype(U64).reshape(batch.num_rows, length) + U64(1)
+        keys = [np.zeros(batch.num_rows, U64)]
+        for i in range(length):
+            keys.append(keys[-1] * BASE + points[:, i])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(mixed(keys[i]).view(np.int64)) for i in (-1, -2)]
+            + [batch.column(c) for c in batch.schema.names[1:]], names=["key", "context", *batch.schema.names[1:]])
 
 
 # --- counts ----------------------------------------------------------------------------------------------------
@@ -138,27 +159,20 @@ def class_batches(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[p
 def shared_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Distinct strings of up to SHORT + 1 signs of the words of all texts: ``gram`` and its occurrences ``n``."""
     texts = docs.select(F.col(f"`{text}`").alias("_text"))
-    return texts.mapInArrow(lambda it: corpus_batches(it, SHORT + 1), "gram string, n long").groupBy("gram").agg(
-        F.sum("n").alias("n"))
-
-
-def continued(longer: DataFrame, all_of: DataFrame, length: int, counts: list[str]) -> DataFrame:
-    """Strings of ``length`` signs with Kneser-Ney counts, per column of ``counts``: occurrences at the beginning of a
-    word, elsewhere the number of signs that stand before them, from the counts of strings one sign longer."""
-    initial = all_of.where((F.char_length("gram") == length) & F.col("gram").startswith(BEGIN))
-    inner = longer.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(
-        *[F.count_if(F.col(c) > 0).alias(c) for c in counts])
-    return initial.select("gram", *counts).unionByName(inner)
+    keys = texts.mapInArrow(corpus_batches, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return keys.mapInArrow(text_batches, "gram string, n long")
 
 
 def levels(all_of: DataFrame, longest: int, shortest: int, counts: list[str]) -> dict[int, DataFrame]:
-    """Kneser-Ney counts of the strings of every length, with the sums and kinds of their contexts."""
+    """Kneser-Ney counts of the strings of every length, per column of ``counts``: occurrences for the longest and for
+    those at the beginning of a word, elsewhere the number of signs that stand before the string."""
     at = all_of.where(F.char_length("gram") == longest).select("gram", *counts)
-    out = {}
-    for length in range(longest, shortest - 1, -1):
-        if length < longest:
-            at = continued(at, all_of, length, counts)
-        out[length] = at
+    out = {longest: at}
+    for length in range(longest - 1, shortest - 1, -1):
+        initial = all_of.where((F.char_length("gram") == length) & F.col("gram").startswith(EDGE))
+        inner = at.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(
+            *[F.count_if(F.col(c) > 0).alias(c) for c in counts])
+        out[length] = at = initial.select("gram", *counts).unionByName(inner)
     return out
 
 
@@ -167,7 +181,7 @@ def _with_context(level: DataFrame, counts: list[str]) -> DataFrame:
     context = F.expr("substring(gram, 1, char_length(gram) - 1)").alias("context")
     per = level.groupBy(context).agg(
         *[F.sum(c).alias(f"{c}_all") for c in counts], *[F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in counts])
-    return level.select("gram", *counts, context).join(per, "context")
+    return level.select("gram", *counts, context).join(per, "context").drop("context")
 
 
 # --- the model -------------------------------------------------------------------------------------------------
@@ -192,101 +206,136 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
             .select("_text", "label", (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(4)) == 0).alias("aside")))
 
 
-def _tables(frame: pd.DataFrame, length: int, counts: list[str]) -> list[np.ndarray]:
-    """Keys of strings, and of contexts, in order; per count the discounted share of a string, and what its context
-    leaves to the shorter one (1 where the class has not seen the context)."""
-    key = keys_of(frame["gram"].tolist(), length)
-    order = np.argsort(key)
-    context = keys_of(frame["context"].tolist(), length - 1)
-    contexts, first = np.unique(context, return_index=True)
-    out = [key[order], contexts]
-    for c in counts:
-        n, total, kinds = (frame[x].to_numpy(np.float64) for x in (c, f"{c}_all", f"{c}_kinds"))
-        share = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)
-        left = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        out += [share[order].astype(np.float32), left[first].astype(np.float32)]
+def slots_of(keys: np.ndarray) -> np.ndarray:
+    """An open hash table of distinct keys: slot -> 1 + place of the key, 0 where a slot is free."""
+    bits = max(int(4 * len(keys)).bit_length(), 4)
+    slots = np.zeros(1 << bits, np.int32)
+    slot = (keys >> U64(64 - bits)).astype(np.int64)
+    left = np.arange(len(keys))
+    while len(left):
+        free = left[slots[slot[left]] == 0]
+        slots[slot[free]] = free + 1  # of several keys for a slot the last one stays
+        left = left[slots[slot[left]] != left + 1]
+        slot[left] = (slot[left] + 1) & (len(slots) - 1)
+    return slots
+
+
+def find(table: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """The place of every key in (slots, keys), -1 for unknown ones."""
+    slots, keys = table
+    slot = (wanted >> U64(64 - (len(slots).bit_length() - 1))).astype(np.int64)
+    out = slots[slot].astype(np.int64) - 1
+    todo = np.flatnonzero(out >= 0)
+    todo = todo[keys[out[todo]] != wanted[todo]]
+    while len(todo):
+        slot[todo] = (slot[todo] + 1) & (len(slots) - 1)
+        out[todo] = slots[slot[todo]] - 1
+        todo = todo[out[todo] >= 0]
+        todo = todo[keys[out[todo]] != wanted[todo]]
     return out
 
 
-def fit_spelling(sample: DataFrame, shared: DataFrame, grams: int = GRAMS) -> dict[int, list[np.ndarray]]:
-    """By length of string, the tables of both classes (above SHORT) or of the shared counts (up to SHORT).
+def _table(rows: DataFrame, length: int, counts: list[str]) -> dict:
+    """Strings of one length and their contexts, by key. A string has the discounted share of its context per count; a
+    context has what it leaves to the shorter string (1 where the class has not seen it)."""
+    more = [f"{c}{end}" for c in counts for end in ("", "_all", "_kinds")]
+    keyed = rows.select("gram", *more).mapInArrow(
+        lambda it: key_batches(it, length), "key long, context long, " + ", ".join(f"{c} long" for c in more))
+    read = keyed.orderBy("key").toArrow()  # numbers only
+    column = {c: read.column(c).to_numpy() for c in read.column_names}
+    keys = column["key"].view(U64)
+    contexts, first, which = np.unique(column["context"].view(U64), return_index=True, return_inverse=True)
+    share, left = [], []
+    for c in counts:
+        total = np.maximum(column[f"{c}_all"], 1)
+        share.append(np.maximum(column[c] - DISCOUNT, 0) / total)
+        left.append(np.where(column[f"{c}_all"] > 0, DISCOUNT * column[f"{c}_kinds"] / total, 1.0)[first])
+    return {"grams": (slots_of(keys), keys), "contexts": (slots_of(contexts), contexts), "context": which,
+            "share": np.array(share), "left": np.array(left)}
+
+
+def fit_spelling(sample: DataFrame, shared: DataFrame, grams: int = GRAMS) -> dict[int, dict]:
+    """By length of string, the table of both classes (above SHORT) or of the shared counts (up to SHORT).
 
     Of every length the commonest ``grams`` strings of the sample are kept, and shared counts for the endings of these.
     """
-    counted = sample.where("not aside").mapInArrow(lambda it: class_batches(it, LONG), "gram string, n long, label int")
-    per = stored(counted.groupBy("gram").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"),
-        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("plain")), "class_grams")
-    both = ["toxic", "plain"]
-    out, ends = {}, None
+    counted = sample.where("not aside").mapInArrow(class_batches, "gram string, n long, label int")
+    both = ["plain", "toxic"]
+    per = stored(counted.groupBy("gram").agg(*[
+        F.sum(F.when(F.col("label") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(both)]), "class_grams")
+    out, kept = {}, None
     for length, level in levels(per, LONG, SHORT + 1, both).items():
-        kept = _with_context(level, both).orderBy(F.desc(F.col("toxic") + F.col("plain")), "gram").limit(grams)
-        frame = kept.toPandas()  # at most ``grams`` short strings
-        out[length] = _tables(frame, length, both)
-        ends = frame["gram"]
-    spark = sample.sparkSession
+        kept = stored(_with_context(level, both).orderBy(F.desc(F.col("toxic") + F.col("plain")), "gram").limit(grams),
+                      "class_level")
+        out[length] = _table(kept, length, both)
     for length, level in levels(shared, SHORT + 1, 1, ["n"]).items():
-        if length > SHORT:
-            continue
-        ends = ends.str[-length:].drop_duplicates() if ends is not None and len(ends) else pd.Series([], dtype=str)
-        wanted = spark.createDataFrame(pd.DataFrame({"gram": ends}), "gram string")  # at most ``grams`` rows
-        out[length] = _tables(_with_context(level, ["n"]).join(wanted, "gram").toPandas(), length, ["n"])
+        if length <= SHORT:
+            ends = kept.select(F.expr(f"right(gram, {length})").alias("gram")).distinct()
+            out[length] = _table(_with_context(level, ["n"]).join(ends, "gram"), length, ["n"])
     return out
 
 
-def _found(keys: np.ndarray, wanted: np.ndarray, values: list[np.ndarray], missing: float) -> list[np.ndarray]:
-    if not len(keys):
-        return [np.full(len(wanted), missing) for _ in values]
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    hit = keys[at] == wanted
-    return [np.where(hit, v[at], missing) for v in values]
-
-
-def evidence(words: list[bytes], tables: dict[int, list[np.ndarray]]) -> np.ndarray:
+def evidence(words: list[bytes], tables: dict[int, dict]) -> np.ndarray:
     """Toxic less ordinary log-likelihood of every word."""
-    points, at, word = spelled(words)
+    points, at = signs_of(b" ".join(words))
     rolls = rolled(points, LONG)
-    place = np.flatnonzero(at > 0)  # what is predicted: all signs but BEGIN
-    toxic = np.full(len(place), UNKNOWN)
-    plain = toxic.copy()
+    place = np.flatnonzero(at > 0)  # what is predicted: all signs but the first edge
+    depth = at[place]
+    odds = np.full((2, len(place)), UNKNOWN)
     for length in range(1, LONG + 1):
-        some = np.flatnonzero(at[place] >= length - 1)
+        some = np.flatnonzero(depth >= length - 1)
         ends = place[some]
         table = tables[length]
-        gram = mixed(rolls[length][ends])
-        context = mixed(rolls[length - 1][ends - 1])
-        shares = _found(table[0], gram, table[2::2], 0.0)
-        left = _found(table[1], context, table[3::2], 1.0)
-        toxic[some] = shares[0] + left[0] * toxic[some]
-        plain[some] = shares[-1] + left[-1] * plain[some]
-    return np.bincount(word[place], np.log(toxic) - np.log(plain), len(words))
-
-
-class Evidence(dict):
-    """Word -> evidence and length, spelled once per word; starts anew when it has grown large."""
-
-    def __init__(self, tables: dict[int, list[np.ndarray]]) -> None:
-        super().__init__()
+        gram = find(table["grams"], mixed(rolls[length][ends]))
+        known = gram >= 0
+        context = np.full(len(some), -1)
+        context[known] = table["context"][gram[known]]
+        context[~known] = find(table["contexts"], mixed(rolls[length - 1][ends[~known] - 1]))
+        seen = context >= 0
+        some, gram, context = some[seen], gram[seen], context[seen]
+        lower = odds[:, some] * table["left"][:, context]
+        odds[:, some] = lower + np.where(gram >= 0, table["share"][:, np.maximum(gram, 0)], 0)
+    word = np.cumsum(points == ord(EDGE))[place] - 1 - (points[place] == ord(EDGE))
+    return np.bincount(word, np.log(odds[1]) - np.log(odds[0]), len(words))
+
+
+class Evidence:
+    """Evidence and length of words, spelled once per word; starts anew when it has grown large."""
+
+    def __init__(self, tables: dict[int, dict]) -> None:
         self.tables = tables
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = [w for w in words if w not in self]
-        for lo in range(0, len(new), SPELLED):
-            part = new[lo:lo + SPELLED]
-            self.update(zip(part, evidence(part, self.tables).tolist(), strict=True))
-
-
-def features(text: bytes, known: Evidence) -> tuple[float, ...]:
-    """Evidence per byte of the words, the root of the share of strong words, the strongest evidence per byte."""
-    words = words_of(text)
-    if not words:
-        return (0.0,) * FEATURES
-    known.learn(set(words))
-    value = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+        self.number: dict[bytes, int] = {}
+        self.value = np.zeros(0)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self.number) > REMEMBERED:
+            self.number, self.value = {}, np.zeros(0)
+        ids = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        open_ = np.flatnonzero(ids < 0)
+        if len(open_):
+            new = list(dict.fromkeys([words[i] for i in open_.tolist()]))
+            parts = [evidence(new[lo:lo + SPELLED], self.tables) for lo in range(0, len(new), SPELLED)]
+            self.number.update(zip(new, range(len(self.value), len(self.value) + len(new)), strict=True))
+            self.value = np.concatenate([self.value, *parts])
+            ids[open_] = [self.number[words[i]] for i in open_.tolist()]
+        return self.value[ids]
+
+
+def features(data: np.ndarray, offsets: np.ndarray, known: Evidence) -> np.ndarray:
+    """Per text of a block: evidence per byte of its words, the root of the share of strong words, the strongest
+    evidence per byte. A text without words has none of it."""
+    n = len(offsets) - 1
+    raw = data.tobytes().translate(WORD_BYTES)
+    split = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    words = [w for part in split for w in part]
+    row = np.repeat(np.arange(n), [len(part) for part in split])
+    value = known.of(words)
     size = np.fromiter(map(len, words), np.float64, len(words)) + 1
-    return value.sum() / size.sum(), float(np.sqrt((value > STRONG).mean())), float((value / size).max())
+    total = np.maximum(np.bincount(row, minlength=n), 1)
+    peak = np.full(n, -np.inf)
+    np.maximum.at(peak, row, value / size)
+    return np.stack([np.bincount(row, value, n) / np.maximum(np.bincount(row, size, n), 1),
+                     np.sqrt(np.bincount(row, value > STRONG, n) / total), np.where(np.isfinite(peak), peak, 0)], axis=1)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -320,20 +369,20 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     names = [f"x{i}" for i in range(FEATURES)]
     aside = rows.where("aside") if per.get(True) == 2 else rows
     frame = aside.select("_text", "label").mapInArrow(
-        lambda it: feature_batches(it, sent.value), "_text string, label int, " + ", ".join(f"{c} double" for c in names)
-    ).select(*names, "label").toPandas()  # at most ``sample`` rows of numbers
-    frame = frame.sort_values([*names, "label"])
-    return model | {"tables": tables, "curve": fit_curve(frame[names].to_numpy(), frame["label"].to_numpy(np.float64))}
+        lambda it: feature_batches(it, sent.value), "label int, " + ", ".join(f"{c} double" for c in names)
+    ).orderBy(*names, "label").toArrow()  # at most ``sample`` rows of numbers
+    x = np.column_stack([frame.column(c).to_numpy() for c in names])
+    return model | {"tables": tables, "curve": fit_curve(x, frame.column("label").to_numpy().astype(np.float64))}
 
 
 def feature_batches(batches: Iterator[pa.RecordBatch], tables: dict) -> Iterator[pa.RecordBatch]:
-    """Rows with the features of ``_text``."""
+    """Rows with the features of ``_text`` in its place."""
     known = Evidence(tables)
-    for batch in batches:
-        x = [features((t.as_py() or "").encode(), known) for t in batch.column("_text")]
-        x = np.array(x, np.float64).reshape(-1, FEATURES)
-        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x[:, i]) for i in range(FEATURES)]],
-                                         names=[*batch.schema.names, *[f"x{i}" for i in range(FEATURES)]])
+    for part, data, offsets in blocks(batches, "_text"):
+        x = features(data, offsets, known)
+        rest = [c for c in part.schema.names if c != "_text"]
+        yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], *[pa.array(x[:, i]) for i in range(FEATURES)]],
+                                         names=[*rest, *[f"x{i}" for i in range(FEATURES)]])
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
