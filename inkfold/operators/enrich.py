@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.functions.blocks import block_basic
@@ -81,11 +81,13 @@ def fresh_cache(cache: DataFrame, as_of: Column | str, days: int = 7, refresh: b
 def one_per_url(rows: DataFrame, newest: str, *values: str) -> DataFrame:
     """One row per URL, so that a join by URL adds none: the greatest ``newest``, ties by the greatest values.
 
-    The maximum is taken per task before the shuffle, however often a URL is repeated.
+    ``row_number() = 1`` is planned with a rank limit before the shuffle: each task sends one row per URL, however
+    often that URL is repeated.
     """
-    rank = list(dict.fromkeys((newest, *values)))
-    best = rows.filter(F.col("url").isNotNull()).groupBy("url").agg(F.max(F.struct(*rank)).alias("_best"))
-    return best.select("url", "_best.*")
+    columns = list(dict.fromkeys((newest, *values)))
+    first = Window.partitionBy("url").orderBy(*[F.desc(c) for c in columns])
+    ranked = rows.filter(F.col("url").isNotNull()).select("url", *columns).withColumn("_rank", F.row_number().over(first))
+    return ranked.filter(F.col("_rank") == 1).drop("_rank")
 
 
 def with_cache(
@@ -110,26 +112,26 @@ def with_cache(
 
 
 def with_pages(articles: DataFrame, pages: DataFrame, tree: bool = True, newest: str = "html") -> DataFrame:
-    """Thin articles take the text of their stored page; ``fetched`` tells which did.
+    """Thin articles take the text of their summary, or of their stored page where the feed gave no summary.
 
-    The page is used only where the feed gave no summary; otherwise the summary is the fallback. Only
-    thin rows are shuffled, and only pages they match are extracted. Of pages with one URL the one with the
-    greatest ``newest`` is taken (by default the greatest text, so that the choice is fixed).
+    Both are read as pages: the text is extracted and gives the ``features``; where it is thin as well, the full text
+    or the summary as it stands is taken. ``fetched`` tells who took a page. Only thin rows without a summary are
+    shuffled, and only pages they match are extracted. Of pages with one URL the one with the greatest ``newest`` is
+    taken (by default the greatest text, so that the choice is fixed).
     """
-    wants_page = thin_content() & (blank_if_null("summary") == "")
-    rest = articles.filter(~wants_page).withColumns(
-        {"content": F.when(thin_content(), choose_after_fetch("summary")).otherwise(F.col("content")),
-         "features": F.lit(None).cast(FEATURES_DDL), "fetched": F.lit(False)}
-    )
+    rest = articles.filter(~thin_content()).withColumns(
+        {"features": F.lit(None).cast(FEATURES_DDL), "fetched": F.lit(False)})
+    thin = articles.filter(thin_content()).withColumn("_summary", blank_if_null("summary"))
+    own = thin.filter(F.col("_summary") != "").withColumns({"html": F.col("_summary"), "fetched": F.lit(False)})
     stored = one_per_url(pages, newest, "html").select(F.col("url").alias("_url_key"), "html")
-    joined = articles.filter(wants_page).withColumn("_url_key", url_key()).join(stored, "_url_key", "left")
-    found = F.col("html").isNotNull()
-    fetched = process_pages(joined.withColumn("fetched", found), tree=tree).withColumns(
-        {"features": F.when(F.col("fetched"), F.col("features")),
-         "content": F.when(F.col("fetched"), choose_after_fetch("text")).otherwise(F.col("content"))}
-    )
+    joined = (thin.filter(F.col("_summary") == "").withColumn("_url_key", url_key())
+              .join(stored, "_url_key", "left").drop("_url_key").withColumn("fetched", F.col("html").isNotNull()))
+    both = own.unionByName(joined).withColumn("_found", F.col("html").isNotNull())
+    read = process_pages(both, tree=tree).withColumns(
+        {"features": F.when(F.col("_found"), F.col("features")),
+         "content": F.when(F.col("_found"), choose_after_fetch("text")).otherwise(F.col("content"))})
     cols = [*articles.columns, "features", "fetched"]
-    return rest.select(cols).unionByName(fetched.select(cols))
+    return rest.select(cols).unionByName(read.select(cols))
 
 
 def enrich_content(

@@ -132,11 +132,15 @@ def with_cache_refresh(spark, sf):
 
 @query("with_pages", f"""
     WITH {q.PAGE_TEXT}, {q.ARTICLES}, feed AS (
-      SELECT feed_ord, entry_ord, url, content, CASE WHEN length(content) < 150 THEN 'short note' ELSE '' END AS summary, full_text FROM art
+      SELECT feed_ord, entry_ord, url, content, CASE WHEN length(content) < 90 THEN '<p>' || repeat('some words ', 30) || '</p>'
+        WHEN length(content) < 150 THEN 'short note' ELSE '' END AS summary, full_text FROM art
       UNION ALL SELECT 2, page_id, url, NULL, '', NULL FROM pages),
     t AS (SELECT *, {q.word_count("coalesce(content, '')")} < 50 AS thin FROM feed)
     SELECT f.feed_ord, f.entry_ord, coalesce(f.thin AND f.summary = '' AND p.page_id IS NOT NULL, false) AS fetched,
+      CASE WHEN f.thin AND f.summary LIKE '<p>%' THEN 60 WHEN f.thin AND f.summary <> '' THEN 2
+           WHEN f.thin AND p.page_id IS NOT NULL THEN {q.word_count('p.text')} END AS words,
       md5(CASE WHEN NOT f.thin THEN f.content
+           WHEN f.summary LIKE '<p>%' THEN trim(repeat('some words ', 30))
            WHEN f.summary <> '' THEN coalesce(nullif(f.full_text, ''), nullif(f.summary, ''))
            WHEN p.page_id IS NULL THEN f.content
            ELSE CASE WHEN {q.word_count('p.text')} >= 50 THEN p.text
@@ -144,9 +148,12 @@ def with_cache_refresh(spark, sf):
     FROM t f LEFT JOIN page_text p ON f.url = p.url""")
 def with_pages_query(spark, sf):
     p = table(spark, sf, "pages")
-    note = F.when(F.char_length("content") < 150, "short note").otherwise("")
+    size = F.char_length("content")
+    note = (F.when(size < 90, F.concat(F.lit("<p>"), F.repeat(F.lit("some words "), 30), F.lit("</p>")))
+            .when(size < 150, "short note").otherwise(""))
     feed = articles(spark, sf).withColumn("summary", note).unionByName(pages_as_articles(p))
-    return with_pages(feed, p).select("feed_ord", "entry_ord", "fetched", F.md5("content").alias("content"))
+    return with_pages(feed, p).select(
+        "feed_ord", "entry_ord", "fetched", F.col("features.word_count").alias("words"), F.md5("content").alias("content"))
 
 
 @query("enrich_content", f"""

@@ -15,6 +15,7 @@ from inkfold.operators.digest import (
 )
 from inkfold.operators.enrich import enrich_content, local_body, resolve_enrichment, with_pages
 from inkfold.rules import DEFAULT_RULES, RuleSet
+from inkfold.schemas import FEATURES_DDL
 from inkfold.session import work_dir
 from inkfold.sources.sinks import write_digest_html, write_digest_md
 
@@ -36,12 +37,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def process_articles(
-    articles: DataFrame, issue: str | Column, rules: RuleSet = DEFAULT_RULES, responses: DataFrame | None = None
+    articles: DataFrame, issue: str | Column, rules: RuleSet = DEFAULT_RULES, responses: DataFrame | None = None,
+    features: bool = False,
 ) -> DataFrame:
-    """Domain, category, subcategory, reading time, paywall flag, features and block of every article.
+    """Domain, category, subcategory, reading time, paywall flag and block of every article.
 
     Rules decide; with ``responses`` (stored model answers) they decide what those leave open. Features that are
-    there (of a page or the cache) stay, others are made from the body.
+    there (of a page or the cache) stay; with ``features`` the others are made from the body, which no digest needs.
     """
     out = articles.withColumns(
         {
@@ -50,7 +52,7 @@ def process_articles(
             "_body": local_body(),
         }
     )
-    made = article_features("_body", "_body", "url")
+    made = article_features("_body", "_body", "url") if features else F.lit(None).cast(FEATURES_DDL)
     out = out.withColumns(
         {
             "features": F.coalesce("features", made) if "features" in out.columns else made,
@@ -77,11 +79,13 @@ def build_issue(
     spark: SparkSession, articles: DataFrame, issue: str, out: str, kinds: tuple[str, ...] = ("newsletter", "reading_list"),
     html: bool = True, rules: RuleSet = DEFAULT_RULES, limit: int = 0, pages: DataFrame | None = None,
     cache: DataFrame | None = None, as_of: str | Column | None = None, responses: DataFrame | None = None,
+    features: bool = False,
 ) -> DataFrame:
     """Limit, de-duplicate, enrich, process and write the digests of one issue; returns the processed table.
 
     Thin articles take their text from ``cache`` (rows fresh at ``as_of``), else from ``pages``; ``responses`` are
-    stored model answers. Each of them may be left out; a cache needs ``as_of``.
+    stored model answers. Each of them may be left out; a cache needs ``as_of``. The table has the features of pages
+    and of the cache; with ``features`` those of all articles.
     """
     found = dedupe_by_url(limit_per_feed(articles, limit))
     if cache is not None:
@@ -91,7 +95,7 @@ def build_issue(
         found = enrich_content(found, stored, cache, as_of)
     elif pages is not None:
         found = with_pages(found, pages)
-    table = written(process_articles(found, issue, rules, responses), "articles")
+    table = written(process_articles(found, issue, rules, responses, features), "articles")
     for kind in kinds:
         lines = DIGESTS[kind](table)
         write_digest_md(lines, f"{out}/md/{kind}")

@@ -101,7 +101,7 @@ def test_all_kinds_with_pages_cache_and_responses(spark, tmp_path):
                        .withColumn("features", F.lit(None).cast(FEATURES_DDL)), "2025-02-06")
     answers = spark.createDataFrame([("https://a.com/3", '{"category": "Science", "formatted_markdown": "Bias, retold"}')], "url string, response string")
     table = build_issue(spark, articles(spark), "2025-02-07", str(tmp_path / "out"), kinds=tuple(DIGESTS), pages=pages, cache=cache,
-                        as_of="2025-02-07", responses=answers)
+                        as_of="2025-02-07", responses=answers, features=True)
     rows = {r["title"]: r for r in table.collect()}
     assert len(rows) == table.count() == 4
     assert rows["Python tips"]["content"].startswith("word word") and rows["On gpt"]["content"].startswith("stored")
