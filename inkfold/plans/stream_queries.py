@@ -9,9 +9,8 @@ from inkfold.operators.summary import weekly_counts
 from inkfold.plans.catalog import query
 from inkfold.session import work_dir
 from inkfold.sources.tables import events_as_fetch_log, table
-from inkfold.streaming.streams import (
-    last_batch, run_dedupe, run_source_health, run_weekly_totals, stream_table,
-)
+from inkfold.streaming.health import latest_health, run_source_health
+from inkfold.streaming.streams import last_batch, run_dedupe, run_weekly_totals, stream_table
 
 _WEEKS = """
     SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS week_start, event_type AS category, count(*) AS articles
@@ -60,12 +59,25 @@ def stream_weekly_totals(spark, sf):
     return _without_zone(last_batch(spark, f"{out}/data"), "week_start")
 
 
+#: Parts that the log is streamed in, and one event of how many is handed in one part late.
+LOG_PARTS, ONE_LATE_OF = 3, 7
+
+
 @query("stream_source_health", _HEALTH)
 def stream_source_health(spark, sf):
+    """The log in parts by time, the stream started anew for each; one event of seven comes with the next part."""
     out = work_dir(spark, "health")
-    events = stream_table(spark, table(spark, sf, "events"), sf, "events.parquet")
-    run_source_health(events_as_fetch_log(events), f"{out}/data", f"{out}/log").awaitTermination()
-    return last_batch(spark, f"{out}/data").withColumn("backoff", F.round("backoff", 6))
+    log = events_as_fetch_log(table(spark, sf, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = log.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    span = ((high or 0) - (low or 0)) // LOG_PARTS + 1
+    late = (F.col("event_id") % ONE_LATE_OF == 0).cast("int")
+    part = F.least(F.expr(f"(unix_seconds(ts) - {low or 0}) div {span}") + late, F.lit(LOG_PARTS - 1))
+    log = log.withColumn("part", part)
+    for i in range(LOG_PARTS):
+        log.filter(F.col("part") == i).drop("part").write.mode("append").parquet(f"{out}/log")
+        stream = spark.readStream.schema(log.drop("part").schema).parquet(f"{out}/log")
+        run_source_health(stream, f"{out}/data", f"{out}/checkpoint", f"{2 * span} seconds").awaitTermination()
+    return latest_health(spark, f"{out}/data").withColumn("backoff", F.round("backoff", 6))
 
 
 @query("stream_dedupe", """

@@ -6,13 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold.operators.dedup import dedupe_by_url, url_key
-from inkfold.operators.health import fold_summaries, log_summaries
 from inkfold.operators.summary import weekly_counts
 from inkfold.schemas import ENTRY
 from inkfold.sources.feeds import CORRUPT, XML_OPTIONS, entry_fields, feed_file
 
-NO_STATE = "domain string, events bigint, failures bigint, backoff double"
-
 
 def stream_articles(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
     """New ``*.atom`` files of a folder as a stream of articles; ``feed_file`` tells the feed."""
@@ -108,26 +105,6 @@ def run_weekly_totals(articles: DataFrame, out: str, checkpoint: str, ts: str, c
     )
 
 
-def run_source_health(fetch_log: DataFrame, out: str, checkpoint: str):
-    """Start a stream that folds every micro-batch of a fetch log into the state in ``out/batch=N``.
-
-    A batch is summarised by the range-partitioned batch operator, so a domain with a third of the
-    events is spread out; state is one small row per domain. Events are expected batch by batch in time.
-    """
-    def one_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = (
-            spark.read.schema(NO_STATE).parquet(f"{out}/batch={batch_id - 1}") if batch_id > 0
-            else spark.createDataFrame([], NO_STATE)
-        )
-        fold_summaries(log_summaries(batch), state).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return (
-        fetch_log.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-
-
 def last_batch(spark: SparkSession, out: str) -> DataFrame:
     """The newest ``batch=N`` folder of an output that is rewritten batch by batch."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(out)

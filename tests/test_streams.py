@@ -5,9 +5,8 @@ from test_feeds import BARE, FULL, HEAD
 
 from inkfold.operators.health import source_health
 from inkfold.operators.summary import weekly_counts
-from inkfold.streaming.streams import (
-    dedupe_within_watermark, last_batch, run_dedupe, run_source_health, run_weekly_counts, stream_articles,
-)
+from inkfold.streaming.health import latest_health, run_source_health
+from inkfold.streaming.streams import dedupe_within_watermark, run_dedupe, run_weekly_counts, stream_articles
 
 
 def write_parts(spark, rows, schema, folder, stamp="ts"):
@@ -76,10 +75,19 @@ def test_weekly_counts_after_the_watermark(spark, tmp_path):
     assert got == {k: v for k, v in want.items() if k[0] < last}
 
 
-def test_source_health_over_batches(spark, tmp_path):
-    log = [(i, i, f"d{i % 3}", i % 5 == 0) for i in range(300)]
-    batch, stream = write_parts(spark, [log[:80], log[80:90], log[90:]], "event_id long, ts long, domain string, ok boolean", str(tmp_path / "in"))
-    run_source_health(stream, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
-    got = {r["domain"]: (r["events"], r["failures"], round(r["backoff"], 9)) for r in last_batch(spark, str(tmp_path / "out")).collect()}
-    want = {r["domain"]: (r["events"], r["failures"], round(r["backoff"], 9)) for r in source_health(batch).collect()}
-    assert got == want
+def test_source_health_puts_late_events_in_their_place(spark, tmp_path):
+    log = [(i, 5000 + i // 2, f"d{i % 3}", i % 5 == 0) for i in range(300)]
+    early, late = [e for e in log[:200] if e[0] % 7], [e for e in log[:200] if not e[0] % 7] + log[200:280]
+    last = [*log[280:], (900, 6000, "d0", True), (901, 6000, None, True)]
+    batch, stream = write_parts(spark, [early, late, last], "event_id long, ts long, domain string, ok boolean", str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    run_source_health(stream, out, str(tmp_path / "log"), "200 seconds").awaitTermination()
+    rows = lambda df: {r["domain"]: (r["events"], r["failures"], round(r["backoff"], 9)) for r in df.collect()}
+    assert rows(latest_health(spark, out)) == rows(source_health(batch))
+    # what lies before the watermark has been settled; an event that is later than that is dropped, others count
+    more = spark.createDataFrame([(902, 5003, "d1", True), (903, 5990, "d1", False), (904, 6001, "new", False)], batch.schema.simpleString()[7:-1]
+                                 .replace("ts:timestamp", "ts:bigint")).withColumn("ts", F.timestamp_seconds("ts"))
+    more.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run_source_health(stream, out, str(tmp_path / "log"), "200 seconds").awaitTermination()
+    want = rows(source_health(spark.read.parquet(str(tmp_path / "in")).filter("event_id <> 902")))
+    assert rows(latest_health(spark, out)) == want and want["new"] == (1, 1, 1.0)
