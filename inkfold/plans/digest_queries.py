@@ -11,7 +11,7 @@ from inkfold.operators.extract import extract_paragraphs
 from inkfold.operators.summary import category_counts, paywalled_count, subcategory_groups
 from inkfold.plans import sql_parts as q
 from inkfold.plans.catalog import query
-from inkfold.plans.issue import process_articles, written
+from inkfold.plans.issue import process_articles
 from inkfold.plans.text_queries import _KIND, _LINES, _SPACED
 from inkfold.session import work_dir
 from inkfold.sources.sinks import conversion_status, html_lines, write_digest_md

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkfold.functions.text import format_published
 from inkfold.operators.dedup import (
     dedupe_by_url, duplicate_report, limit_per_feed, only_new, union_feeds,
 )
@@ -12,9 +13,10 @@ from inkfold.operators.numbering import position
 from inkfold.operators.summary import run_summary
 from inkfold.plans import sql_parts as q
 from inkfold.plans.catalog import query
-from inkfold.session import spread
-from inkfold.sources.feeds import entries_from_column, feed_lines
+from inkfold.session import spread, work_dir
+from inkfold.sources.feeds import entries_from_column, feed_lines, read_atom
 from inkfold.sources.tables import documents_as_articles, pages_as_articles, table
+from inkfold.streaming.streams import run_articles
 
 
 def _xml_text(c):
@@ -23,21 +25,8 @@ def _xml_text(c):
     return c
 
 
-@query("atom_entries", f"""
-    SELECT doc_id, trim(split_part(text, chr(10), 1)) AS title,
-      CASE WHEN lang = 'de' THEN '' ELSE 'https://' || source || '.example.com/' || doc_id END AS url,
-      'https://img.example.com/' || CASE WHEN lang = 'fr' THEN 'video' ELSE 'pic' END || doc_id AS image_url,
-      CASE WHEN lang = 'es' THEN 'n ' || source WHEN lang = 'en' THEN 'name ' || source END AS author,
-      'Feed ' || source AS source,
-      CASE WHEN lang = 'en' THEN 'sum ' || lang ELSE '' END AS summary,
-      CASE WHEN lang = 'en' THEN 'January 02, 2024' ELSE '2024-01-02T03:04:05+00:00' END AS shown,
-      md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS content_digest
-    FROM documents""")
-def atom_entries(spark, sf):
-    """Documents written as Atom entries, then read back through the entry schema."""
-    from inkfold.functions.text import format_published
-
-    d = spread(table(spark, sf, "documents"))
+def entry_xml():
+    """A document as an Atom entry."""
     lang = F.col("lang")
     doc = F.col("doc_id").cast("string")
 
@@ -45,7 +34,7 @@ def atom_entries(spark, sf):
         return F.when(lang == code, text).otherwise(F.lit(""))
 
     href = F.concat(F.lit("https://"), "source", F.lit(".example.com/"), doc)
-    xml = F.concat(
+    return F.concat(
         F.lit('<entry><title type="html">'), _xml_text(F.substring_index("text", "\n", 1)), F.lit("</title>"),
         F.lit('<link rel="self" href="https://self.example.com/"/>'),
         F.when(lang != "de", F.concat(F.lit('<link rel="alternate" href="'), href, F.lit('"/>'))).otherwise(""),
@@ -62,13 +51,78 @@ def atom_entries(spark, sf):
             F.lit('"/></media:group>'))).otherwise(""),
         F.lit("</entry>"),
     )
-    a = entries_from_column(d.select("doc_id", xml.alias("xml")), "xml")
+
+
+@query("atom_entries", f"""
+    SELECT doc_id, trim(split_part(text, chr(10), 1)) AS title,
+      CASE WHEN lang = 'de' THEN '' ELSE 'https://' || source || '.example.com/' || doc_id END AS url,
+      'https://img.example.com/' || CASE WHEN lang = 'fr' THEN 'video' ELSE 'pic' END || doc_id AS image_url,
+      CASE WHEN lang = 'es' THEN 'n ' || source WHEN lang = 'en' THEN 'name ' || source END AS author,
+      'Feed ' || source AS source,
+      CASE WHEN lang = 'en' THEN 'sum ' || lang ELSE '' END AS summary,
+      CASE WHEN lang = 'en' THEN 'January 02, 2024' ELSE '2024-01-02T03:04:05+00:00' END AS shown,
+      md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS content_digest
+    FROM documents""")
+def atom_entries(spark, sf):
+    """Documents written as Atom entries, then read back through the entry schema."""
+    d = spread(table(spark, sf, "documents"))
+    a = entries_from_column(d.select("doc_id", entry_xml().alias("xml")), "xml")
     return a.select(
         "doc_id", "title", "url", "image_url", "author", "source", "summary",
         format_published("published").alias("shown"), F.md5("content").alias("content_digest"),
     )
 
 
+#: Documents of one feed file, and one entry of how many is malformed.
+FEED_DOCS, ONE_BAD_OF = 250, 11
+
+
+def written_feeds(spark, sf):
+    """Documents as feed files of so many each, in the order of their ids; the entries of some have a wrong end tag.
+
+    Returns the folder; its feeds are ``feed=N/part-*``."""
+    out = work_dir(spark, "feeds")
+    feed = F.lpad(F.expr(f"doc_id div {FEED_DOCS}").cast("string"), 12, "0").alias("feed")
+    xml = F.when(F.col("doc_id") % ONE_BAD_OF == 5, F.replace(entry_xml(), F.lit("</title><link"), F.lit("</ttle><link"))).otherwise(entry_xml())
+    d = spread(table(spark, sf, "documents")).select(feed, F.col("doc_id").alias("at"), xml.alias("value"))
+    head = F.lit('<?xml version="1.0"?>\n<feed xmlns="http://www.w3.org/2005/Atom">')
+    feeds = d.groupBy("feed").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    lines = (d.unionByName(feeds.select("feed", (F.col("low") - 1).alias("at"), head.alias("value")))
+             .unionByName(feeds.select("feed", (F.col("high") + 1).alias("at"), F.lit("</feed>").alias("value"))))
+    lines.repartition("feed").sortWithinPartitions("feed", "at").select("feed", "value").write.partitionBy("feed").text(out)
+    return out
+
+
+@query("feed_files", f"""
+    WITH f AS (
+      SELECT dense_rank() OVER (ORDER BY doc_id // {FEED_DOCS}) AS feed_ord,
+             row_number() OVER (PARTITION BY doc_id // {FEED_DOCS} ORDER BY doc_id) AS entry_ord,
+             count(*) FILTER (doc_id % {ONE_BAD_OF} = 5) OVER (PARTITION BY doc_id // {FEED_DOCS}) AS corrupt_records, *
+      FROM documents)
+    SELECT feed_ord, entry_ord, corrupt_records, trim(split_part(text, chr(10), 1)) AS title, 'Feed ' || source AS source,
+           md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS content_digest
+    FROM f WHERE doc_id % {ONE_BAD_OF} <> 5""")
+def feed_files(spark, sf):
+    """Documents written to feed files, and the files read back in pieces, numbered, malformed entries left out."""
+    a = read_atom(spark, [f"{written_feeds(spark, sf)}/feed=*"])
+    return a.select("feed_ord", "entry_ord", "corrupt_records", "title", "source", F.md5("content").alias("content_digest"))
+
+
+@query("stream_feed_files", f"""
+    SELECT doc_id % {ONE_BAD_OF} <> 5 AS good, CASE WHEN doc_id % {ONE_BAD_OF} = 5 THEN NULL ELSE 'Feed ' || source END AS source,
+           CASE WHEN doc_id % {ONE_BAD_OF} <> 5 THEN md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) END AS content_digest
+    FROM documents""")
+def stream_feed_files(spark, sf):
+    """The same files as a stream into a table of articles and one of malformed entries; started twice, read once."""
+    feeds, out = written_feeds(spark, sf), work_dir(spark, "feed-stream")
+    for _ in range(2):
+        run_articles(spark, f"{feeds}/feed=*", out, f"{out}/log", glob="part-*").awaitTermination()
+    good = spark.read.parquet(f"{out}/articles").select(F.lit(True).alias("good"), "source", F.md5("content").alias("content_digest"))
+    bad = spark.read.parquet(f"{out}/corrupt").filter(F.col("raw").startswith("<entry>"))
+    none = F.lit(None).cast("string")
+    return good.unionByName(bad.select(F.lit(False).alias("good"), none.alias("source"), none.alias("content_digest")))
+
+
 @query("feed_list", f"""
     WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line,
                       generate_subscripts(string_split_regex(text, '\\r\\n|\\r|\\n'), 1) AS feed_ord FROM documents)

@@ -16,7 +16,7 @@ from inkfold.operators.digest import (
 from inkfold.operators.enrich import enrich_content, local_body, resolve_enrichment, with_pages
 from inkfold.rules import DEFAULT_RULES, RuleSet
 from inkfold.schemas import FEATURES_DDL
-from inkfold.session import work_dir
+from inkfold.session import written
 from inkfold.sources.sinks import write_digest_html, write_digest_md
 
 DIGESTS = {
@@ -25,17 +25,6 @@ DIGESTS = {
 }
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once to the shared work folder and read it back.
-
-    Every digest reads the classified articles several times; without this each pass would classify
-    again, and a lost executor would send the whole lineage back to the feeds.
-    """
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def process_articles(
     articles: DataFrame, issue: str | Column, rules: RuleSet = DEFAULT_RULES, responses: DataFrame | None = None,
     features: bool = False,

@@ -48,6 +48,17 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table once to the shared work folder and read it back.
+
+    What reads it several times does not make it several times, and a lost executor does not send the whole lineage
+    back to the sources.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Setting that asks for a shuffle of the input into so many partitions.
 INPUT_PARTITIONS = "spark.inkfold.input.partitions"
 

@@ -7,22 +7,47 @@ from pyspark.sql import functions as F
 
 from inkfold.operators.dedup import dedupe_by_url, url_key
 from inkfold.operators.summary import weekly_counts
-from inkfold.schemas import ENTRY
-from inkfold.sources.feeds import CORRUPT, XML_OPTIONS, entry_fields, feed_file
+from inkfold.sources.feeds import HEAD, MARK, OPENED, entry_fields, feed_file, parsed_entry
 
 
-def stream_articles(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
-    """New ``*.atom`` files of a folder as a stream of articles; ``feed_file`` tells the feed."""
-    reader = (
-        spark.readStream.format("xml").options(**XML_OPTIONS).schema(ENTRY)
-        .option("pathGlobFilter", "*.atom")
-    )
+def stream_entries(
+    spark: SparkSession, folder: str, files_per_trigger: int | None = None, glob: str = "*.atom"
+) -> DataFrame:
+    """New files of a folder (or of the folders a pattern names) as a stream of entries: ``feed_file``, ``raw`` and ``entry``, which is null where
+    the entry is malformed. Large files are read in pieces."""
+    reader = spark.readStream.option("lineSep", MARK).option("pathGlobFilter", glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    raw = reader.load(folder).select("*", feed_file().alias("feed_file"))
-    good = F.col(CORRUPT).isNull() & ~F.coalesce(F.col("published") == "\x00", F.lit(False))
-    return raw.filter(good).select(
-        "feed_file", *[v.alias(k) for k, v in entry_fields().items()]
+    # what stands before a feed's first entry does not go on as the mark of an entry would
+    opened = reader.text(folder).select(feed_file().alias("feed_file"), F.col("value").alias("raw")).filter(
+        F.col("raw").rlike(OPENED) & ~F.col("raw").rlike(HEAD))
+    return opened.withColumn("entry", parsed_entry(F.col("raw")))
+
+
+def stream_articles(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The articles of new feed files; ``feed_file`` tells the feed. Malformed entries are left out."""
+    entries = stream_entries(spark, folder, files_per_trigger).filter(F.col("entry").isNotNull())
+    return entries.select("feed_file", *[v.alias(k) for k, v in entry_fields("entry.").items()])
+
+
+def run_articles(
+    spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_trigger: int | None = None, glob: str = "*.atom"
+):
+    """Start a stream of feed files into two tables: ``out/articles`` and, for malformed entries, ``out/corrupt``.
+
+    Every batch owns a folder in each, so a batch that is run again after a failure replaces its own rows only and no
+    row comes twice. The corrupt table has the text of the entry, from its mark on, to be mended and handed in again.
+    """
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        good = F.col("entry").isNotNull()
+        articles = batch.filter(good).select("feed_file", *[v.alias(k) for k, v in entry_fields("entry.").items()])
+        articles.write.mode("overwrite").parquet(f"{out}/articles/batch={batch_id}")
+        corrupt = batch.filter(~good).select("feed_file", F.concat(F.lit(MARK), "raw").alias("raw"))
+        corrupt.write.mode("overwrite").parquet(f"{out}/corrupt/batch={batch_id}")
+
+    return (
+        stream_entries(spark, folder, files_per_trigger, glob).writeStream.foreachBatch(one_batch)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 

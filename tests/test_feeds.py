@@ -2,7 +2,7 @@
 
 import pytest
 
-from inkfold.sources.feeds import read_atom, read_feed_dirs, read_feed_list
+from inkfold.sources.feeds import entry_records, read_atom, read_feed_dirs, read_feed_list
 
 HEAD = '<?xml version="1.0"?>\n<feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="http://search.yahoo.com/mrss/">\n'
 FULL = """<entry><title type="html">T &amp; one</title><link rel="self" href="https://self/"/>
@@ -58,6 +58,38 @@ def test_folders_without_feeds(spark, folders, tmp_path):
     assert blank.columns == both.columns
 
 
+@pytest.fixture
+def small_pieces(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_one_file_in_many_pieces(spark, tmp_path, small_pieces):
+    """Entries keep their numbers and are read once wherever the file is cut, and after malformed ones too."""
+    bad = {3, 17, 40}
+    entry = lambda i: f"<entry><title>t{i} {'é' * (i % 50)}</{'ttle' if i in bad else 'title'}><summary>s</summary></entry>"
+    body = "".join(entry(i) + "\n" * (i % 3) for i in range(1, 200))
+    (tmp_path / "b.atom").write_text(HEAD + body + "</feed>")
+    (tmp_path / "a.atom").write_text(HEAD + "</feed>")
+    (tmp_path / "0.atom").write_text("")
+    (tmp_path / "c.atom").write_text("<entry/><entryway/><entry\n><title>two</title></entry><entry><title>cut off</ti")
+    df = read_feed_dirs(spark, [str(tmp_path)])
+    assert entry_records(spark, str(tmp_path)).rdd.getNumPartitions() > 20
+    rows = {(r["feed_file"].rsplit("/", 1)[1], r["entry_ord"]): r for r in df.collect()}
+    assert {n for f, n in rows if f == "b.atom"} == set(range(1, 200)) - bad
+    assert all(r["title"].split(" ")[0] == f"t{n}" and r["corrupt_records"] == 3 for (f, n), r in rows.items() if f == "b.atom")
+    assert {n: r["title"] for (f, n), r in rows.items() if f == "c.atom"} == {1: "", 3: "two"}
+    assert {r["corrupt_records"] for (f, _), r in rows.items() if f == "c.atom"} == {2}
+    assert len({r["feed_ord"] for r in rows.values()}) == 2
+    few = read_feed_dirs(spark, [str(tmp_path)], limit=4)
+    assert sorted((r["feed_file"][-6:], r["entry_ord"]) for r in few.collect()) == [("b.atom", 1), ("b.atom", 2), ("b.atom", 4), ("c.atom", 1), ("c.atom", 3)]
+    # without the count of malformed entries they are parsed once, and nothing but the pieces' table is joined
+    plan = read_feed_dirs(spark, [str(tmp_path)]).select("feed_ord", "entry_ord", "title")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == 1 and plan.count("Join") == 1
+
+
 def test_malformed(spark, folders):
     path = f"{folders[1]}/c.atom"
     assert [r["corrupt_records"] for r in read_atom(spark, [path]).collect()] == [1]
