@@ -8,6 +8,7 @@ from inkfold.functions.features import article_features
 from inkfold.operators.classify import (
     classify, classify_articles, section_match, threshold_category, with_subcategory,
 )
+from inkfold.operators.keyword_table import classify_by_table, keyword_scores
 from inkfold.plans import sql_parts as q
 from inkfold.plans.catalog import query
 from inkfold.rules import CATEGORY_KEYWORDS, boost_rows, rule_rows, rules_from_tables, subrule_rows
@@ -36,6 +37,31 @@ def category_scores_query(spark, sf):
     return scored.select("entry_ord", F.explode_outer("category_scores").alias("category", "score"))
 
 
+@query("classify_by_table", f"""
+    WITH {q.ARTICLES}, {q.classified(source=None)} SELECT entry_ord, category, round(category_score, 9) AS category_score FROM cls""")
+def classify_by_table_query(spark, sf):
+    """The built-in rules as a table for the automaton."""
+    return classify_by_table(articles(spark, sf), rule_rows(spark)).select(
+        "entry_ord", "category", F.round("category_score", 9).alias("category_score"))
+
+
+@query("keyword_table_scores", """
+    WITH k AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS keyword FROM benchmark),
+    r AS (SELECT keyword, length(keyword) AS rule_ord FROM k WHERE length(keyword) >= 3),
+    d AS (SELECT doc_id, lower(text) AS t FROM documents)
+    SELECT doc_id, 'letters ' || rule_ord AS category,
+           sum((length(t) - length(replace(t, keyword, ''))) // length(keyword))::BIGINT AS score
+    FROM d JOIN r ON contains(t, keyword) GROUP BY doc_id, rule_ord""")
+def keyword_table_scores(spark, sf):
+    """Every word of the benchmark as a keyword, its length as its category."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("keyword")).distinct()
+    rules = words.filter(F.length("keyword") >= 3).select(
+        F.concat(F.lit("letters "), F.length("keyword").cast("string")).alias("category"),
+        F.length("keyword").alias("rule_ord"), "keyword")
+    scored = keyword_scores(table(spark, sf, "documents"), rules, F.col("text"))
+    return scored.select("doc_id", F.explode("scores").alias("s")).select("doc_id", "s.category", "s.score")
+
+
 @query("source_boost", f"""
     WITH {q.ARTICLES}, {q.classified(source='title')}
     SELECT entry_ord, category, round(category_score, 9) AS category_score FROM cls""")
