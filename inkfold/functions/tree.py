@@ -13,6 +13,9 @@ from pyspark.sql.types import StringType
 from inkfold.functions.html import MAIN_CLASS_TERMS
 
 TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>", re.S)
+TOKEN = re.compile(r"<[^>]*>|[^<]+")
+TAG_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+NO_END = re.compile(r"^<(?:!|(?:img|br|hr|meta|link|input|source|wbr)\b)|/>\Z", re.I | re.A)
 CLASS = re.compile(r"\sclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "ul", "ol", "div"}
 CLOSED_BY_BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
@@ -115,6 +118,34 @@ def budget_blocks(text: str, limit: int) -> str:
     return "".join(block + "\n\n" for block in out)
 
 
+def truncate_words(text: str, limit: int) -> str:
+    """Text nodes up to ``limit`` words, the tags before that point and the ends of what is open there.
+
+    An end tag closes the innermost open element if that has its name, and else nothing.
+    """
+    out, opened, used = [], [], 0
+    for token in TOKEN.findall(text):
+        if used >= limit and not opened:
+            break
+        if not token.startswith("<"):
+            if used < limit:
+                found = token.split()
+                fits = used + len(found) <= limit
+                out.append(token if fits else " ".join(found[:limit - used]))
+                used = used + len(found) if fits else limit
+            continue
+        name = TAG_NAME.match(token)
+        name = name.group(1).lower() if name else ""
+        if token.startswith("</") and opened and opened[-1] == name:
+            opened.pop()
+        elif used >= limit:
+            continue
+        elif name and not token.startswith("</") and not NO_END.search(token):
+            opened.append(name)
+        out.append(token)
+    return "".join([*out, *[f"</{name}>" for name in reversed(opened)]])
+
+
 def main_fragment_udf(page: Column) -> Column:
     @F.pandas_udf(StringType())
     def run(pages: pd.Series) -> pd.Series:
@@ -129,3 +160,11 @@ def budget_blocks_udf(text: Column, limit: int) -> Column:
         return texts.map(lambda t: budget_blocks(t, limit), na_action="ignore")
 
     return run(text)
+
+
+def truncate_words_udf(text: Column, limit: int) -> Column:
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: truncate_words(t, limit), na_action="ignore")
+
+    return run(text)

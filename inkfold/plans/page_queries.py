@@ -149,7 +149,25 @@ def extract_html_blocks(spark, sf):
     return extract_paragraphs(p, "part", 200).select("page_id", "extracted")
 
 
-@query("truncate_html_words")
+_VOID = "'^<(!|(img|br|hr|meta|link|input|source|wbr)([^a-z0-9_]|$))|/>$'"
+
+
+@query("truncate_html_words", f"""
+    WITH RECURSIVE {q.MAIN_PAGES},
+    tok AS (SELECT page_id, regexp_extract_all(part, '<[^>]*>|[^<]+') AS ts FROM main),
+    step AS (SELECT page_id, 0::BIGINT AS i, 0::BIGINT AS run, []::VARCHAR[] AS open, '' AS html FROM tok
+      UNION ALL
+      SELECT page_id, i + 1, CASE WHEN tag OR run >= 100 THEN run ELSE least(100, run + n) END,
+             CASE WHEN pops THEN open[1:len(open) - 1] WHEN run < 100 AND tag AND NOT closes AND NOT empty AND name <> '' THEN open || [name] ELSE open END,
+             html || CASE WHEN pops THEN t WHEN run >= 100 THEN '' WHEN tag OR run + n <= 100 THEN t
+                          ELSE array_to_string(w[1:100 - run], ' ') END
+      FROM (SELECT *, closes AND len(open) > 0 AND open[len(open)] = name AS pops, len(w) AS n FROM (
+        SELECT step.*, ts[i + 1] AS t, starts_with(ts[i + 1], '<') AS tag, starts_with(ts[i + 1], '</') AS closes,
+               lower(regexp_extract(ts[i + 1], '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name,
+               regexp_matches(lower(ts[i + 1]), {_VOID}) AS empty, {q.word_list('ts[i + 1]')} AS w
+        FROM step JOIN tok USING (page_id) WHERE i < len(ts))))
+    SELECT m.page_id, s.html || coalesce('</' || nullif(array_to_string(list_reverse(s.open), '></'), '') || '>', '') AS html
+    FROM main m JOIN tok USING (page_id) JOIN step s ON s.page_id = m.page_id AND s.i = len(tok.ts)""")
 def truncate_html_words_query(spark, sf):
     p = pages(spark, sf).select("page_id", main_content(strip_boilerplate("html")).alias("part"))
     return p.select("page_id", truncate_html_words("part", 100).alias("html"))

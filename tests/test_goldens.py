@@ -1,5 +1,7 @@
 """Small inputs with results worked out by hand."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +190,30 @@ def test_truncate_html_words(spark):
     cut = truncate_html_words("t", 3)
     assert value(spark, cut, t="<div><p>a <b>b c d</b> e</p><p>f</p></div>") == "<div><p>a <b>b c</b></p></div>"
     assert value(spark, cut, t="<p>a b</p>") == "<p>a b</p>"
+    assert value(spark, cut, t="a  b\nc d") == "a b c" and value(spark, cut, t="a  b") == "a  b"
+    assert value(spark, cut, t="<i><br>a</b><B>b</b ><img/></i>c d</p> <u>") == "<i><br>a</b><B>b</b ><img/></i>c"
+    assert value(spark, cut, t="<div><p>a b c</P><i>x</i></div >") == "<div><p>a b c</P></div >"
+    assert value(spark, cut, t="") == "" and value(spark, cut, t=None) is None
+
+
+def seconds(spark, column, text):
+    """Time of one row, warm."""
+    df = spark.createDataFrame([(text,)], "t string").select(F.xxhash64(column))
+    df.collect()
+    begin = time.perf_counter()
+    df.collect()
+    return time.perf_counter() - begin
+
+
+def test_long_rows_take_time_in_proportion(spark):
+    """Sixteen times the text takes no more than some thirty times as long; the square would be 256."""
+    cases = {
+        "nested": (truncate_html_words("t", 10**9), lambda n: "<b>x " * n + "</b>" * n),
+        "flat": (truncate_html_words("t", 10**9), lambda n: "<b>x</b> " * n),
+        "paragraphs": (F.array_join(budget_paragraphs(F.split("t", r"\|"), 10**9), "|"), lambda n: "a b c|" * n)}
+    for name, (column, text) in cases.items():
+        short, long = seconds(spark, column, text(2_000)), seconds(spark, column, text(32_000))
+        assert long < 30 * max(short, 0.1), (name, short, long)
 
 
 def test_tree_helpers():
