@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkfold.functions.text import blank_if_null
 from inkfold.operators.dedup import dedupe_by_url, url_key
 from inkfold.operators.summary import weekly_counts
 from inkfold.sources.feeds import HEAD, MARK, OPENED, entry_fields, feed_file, parsed_entry
+from inkfold.streaming.seen import append_seen, sent_before
 
 
 def stream_entries(
@@ -67,40 +69,36 @@ def dedupe_within_watermark(
     return articles.withWatermark(ts, life).dropDuplicatesWithinWatermark([url])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def run_dedupe(
     articles: DataFrame, out: str, checkpoint: str, ts: str = "published_ts", url: str = "url",
-    life: str = "7 days",
+    life: str = "7 days", index: str | None = None,
 ):
     """Start a stream that appends articles not seen within the cache life to ``out``.
 
-    Inside a micro-batch the first article in (feed, entry) order wins, by the batch operator with its
-    rank limit before the shuffle; then one anti-join against the URLs sent before. Every batch owns a
-    folder, so a batch that is run again after a failure replaces its own output only.
+    Inside a micro-batch the first article in (feed, entry) order wins, by the batch operator with its rank limit before
+    the shuffle. These are written once and held against the index of URLs sent before (``index``, by default a folder
+    beside ``out``), of which only the buckets that its filters point to are read. A sent URL blocks a later article for
+    the cache life; one without a time always does. Every batch owns its folders, so a batch that is run again after a
+    failure replaces its own output only.
     """
+    index = index or f"{out.rstrip('/')}-seen"
+
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        firsts = dedupe_by_url(batch.withColumn("_event", F.col(ts)), url)
-        if batch_id > 0 and _exists(spark, out):
-            sent = spark.read.option("basePath", out).parquet(out).filter(F.col("batch") < batch_id)
-            # Older URLs block nothing in this batch, so their row groups need not be read.
-            first_ts, undated = batch.agg(F.min(ts), F.count_if(F.col(ts).isNull())).first()
-            if first_ts is not None and undated == 0:
-                oldest = F.lit(first_ts) - F.expr(f"INTERVAL {life}")
-                sent = sent.filter(F.col(ts).isNull() | (F.col(ts) > oldest))
-            sent = sent.groupBy(F.col(url).alias("_url_key")).agg(F.max(ts).alias("_sent"))
-            key = firsts.withColumn("_url_key", url_key(url))
-            # A sent URL blocks a later article for the cache life; one without a time always does.
-            blocked = key.join(sent, "_url_key").filter(
-                F.col("_event").isNull() | F.col("_sent").isNull()
-                | (F.col("_event") < F.col("_sent") + F.expr(f"INTERVAL {life}"))
-            ).select("_url_key")
-            firsts = key.join(blocked, "_url_key", "left_anti").drop("_url_key")
-        firsts.drop("_event").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        staged = f"{index}/staged/batch={batch_id}"
+        dedupe_by_url(batch, url).withColumn("_url_key", url_key(url)).write.mode("overwrite").parquet(staged)
+        firsts = spark.read.parquet(staged)
+        named = firsts.filter(blank_if_null(url) != "")
+        low, undated = named.agg(F.min(ts), F.count_if(F.col(ts).isNull())).first()
+        oldest = F.lit(low) - F.expr(f"INTERVAL {life}") if low is not None and not undated else None
+        before = sent_before(named, index, batch_id, "_url_key", oldest)
+        blocked = named.select("_url_key", F.col(ts).alias("_event")).join(before, "_url_key").filter(
+            F.col("_event").isNull() | F.col("_sent").isNull()
+            | (F.col("_event") < F.col("_sent") + F.expr(f"INTERVAL {life}"))).select("_url_key")
+        sent = firsts.join(blocked, "_url_key", "left_anti")
+        sent.drop("_url_key").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        done = spark.read.schema(sent.drop("_url_key").schema).parquet(f"{out}/batch={batch_id}")
+        append_seen(done.filter(blank_if_null(url) != ""), index, batch_id, url, ts)
 
     return (
         articles.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)

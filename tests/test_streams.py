@@ -1,11 +1,15 @@
 """Streams give what the batch operators give."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 from test_feeds import BARE, FULL, HEAD
 
 from inkfold.operators.health import source_health
 from inkfold.operators.summary import weekly_counts
 from inkfold.streaming.health import latest_health, run_source_health
+from inkfold.streaming.seen import append_seen, maybe_seen, sent_before
 from inkfold.streaming.streams import dedupe_within_watermark, run_dedupe, run_weekly_counts, stream_articles
 
 
@@ -57,6 +61,45 @@ def test_dedupe_over_batches(spark, tmp_path):
     assert [r["feed_ord"] for r in got if r["url"] == "a" and r["entry_ord"] == 1] == [1]
 
 
+def test_index_of_seen_urls(spark, tmp_path):
+    """All that was sent is found; a small batch reads few buckets; filters know few other URLs."""
+    index = str(tmp_path / "index")
+    day = lambda n, low, high, at: spark.range(low, high).select(
+        F.concat(F.lit("https://u/"), F.col("id").cast("string")).alias("url"), F.timestamp_seconds(F.lit(at * DAY)).alias("ts"))
+    append_seen(day(0, 0, 60_000, 1), index, 0, "url", "ts")
+    append_seen(day(1, 60_000, 60_010, 20).withColumn("ts", F.when(F.col("url") != "https://u/60001", F.col("ts"))), index, 1, "url", "ts")
+    some = day(2, 59_990, 70_000, 21)
+    found = {r["url"]: r["_sent"] for r in sent_before(some, index, 2, "url", None).collect()}
+    assert set(found) == {f"https://u/{i}" for i in range(59_990, 60_010)} and found["https://u/60001"] is None
+    assert maybe_seen(some, index, 2, "url", None).count() < 60
+    few = sent_before(day(2, 5, 7, 21), index, 2, "url", None)
+    assert re.search(r"PartitionFilters: \[[^]]*\(?bucket#\d+ (=|IN \()", few._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+    assert few.count() == 2 and maybe_seen(day(2, 5, 7, 21), index, 2, "url", None).count() == 2
+    # what is older than the life blocks nothing, and a batch does not see itself or later ones
+    late = sent_before(some, index, 2, "url", F.timestamp_seconds(F.lit(14 * DAY)))
+    assert late.count() == 10 and sent_before(some, index, 0, "url", None).count() == 0
+
+
+def test_dedupe_is_exact_over_many_batches(spark, tmp_path):
+    rng = random.Random(3)
+    parts = [[(1, 100 * b + i, rng.choice([f"u{rng.randrange(25)}", f"u{rng.randrange(25)}", None, ""]),
+               (2 * b + rng.randrange(3)) * DAY if rng.random() < 0.9 else None) for i in range(30)] for b in range(4)]
+    _, stream = write_parts(spark, parts, ARTICLES, str(tmp_path / "in"), "published_ts")
+    run_dedupe(stream, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    sent, want = {}, []
+    for part in parts:
+        firsts = {}
+        for row in sorted(part):
+            firsts.setdefault(row[2] or row[1], row)
+        keep = [r for r in firsts.values() if not r[2] or not any(
+            t is None or r[3] is None or r[3] < t + 7 * DAY for t in sent.get(r[2], []))]
+        for r in keep:
+            sent.setdefault(r[2], []).append(r[3])
+        want += [r[1] for r in keep]
+    assert sorted(r["entry_ord"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(want)
+
+
 def test_dedupe_operator(spark, tmp_path):
     _, stream = write_parts(spark, PARTS[:2], ARTICLES, str(tmp_path / "in"), "published_ts")
     q = (dedupe_within_watermark(stream.filter("url is not null")).writeStream.format("parquet").option("path", str(tmp_path / "out"))
