@@ -12,7 +12,9 @@ from inkfold.operators.enrich import (
 from inkfold.plans import sql_parts as q
 from inkfold.plans.catalog import query
 from inkfold.schemas import FEATURES_DDL
+from inkfold.session import work_dir
 from inkfold.sources.cache import cache_expire, cache_rows, cache_upsert
+from inkfold.sources.cache_store import expire_cache_store, read_cache_store, upsert_cache_store
 from inkfold.sources.tables import documents_as_articles, pages_as_articles, table
 
 AS_OF = "2024-01-20 00:00:00"
@@ -97,6 +99,23 @@ def cache_upsert_query(spark, sf):
     return _no_zone(cache_upsert(old_cache(spark, sf), cache_rows(rows, AS_OF)).select("url", "content", "cached_at"))
 
 
+@query("cache_store", f"""
+    WITH {_CACHE} SELECT o.url, CASE WHEN l.doc_id IS NULL THEN o.content ELSE 'new' END AS content
+    FROM old o LEFT JOIN (SELECT doc_id, 'https://' || source || '.example.com/' || doc_id AS url
+                          FROM labels JOIN documents USING (doc_id)) l USING (url)
+    WHERE l.doc_id IS NOT NULL OR o.cached_at > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY""")
+def cache_store(spark, sf):
+    """The same rows through the store of buckets: written, the labelled ones put in anew, old ones dropped, read."""
+    folder = work_dir(spark, "cache-store")
+    labelled = articles(spark, sf).join(
+        table(spark, sf, "labels").select(F.col("doc_id").alias("entry_ord")), "entry_ord", "left_semi")
+    rows = labelled.select("url", F.lit("new").alias("content"), F.lit(None).cast(FEATURES_DDL).alias("features"))
+    upsert_cache_store(spark, folder, old_cache(spark, sf), buckets=16)
+    upsert_cache_store(spark, folder, cache_rows(rows, AS_OF), buckets=16)
+    expire_cache_store(spark, folder, AS_OF)
+    return read_cache_store(spark, folder).select("url", "content")
+
+
 @query("cache_expire", f"""
     WITH {_CACHE} SELECT url, cached_at FROM old WHERE cached_at > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY""")
 def cache_expire_query(spark, sf):

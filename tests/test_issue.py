@@ -8,6 +8,7 @@ from inkfold.operators import digest
 from inkfold.plans.issue import DIGESTS, build_issue, process_articles
 from inkfold.schemas import DIGEST_ORDER, FEATURES_DDL
 from inkfold.sources.cache import cache_rows, cache_upsert, read_cache, write_cache
+from inkfold.sources.cache_store import expire_cache_store, manifest, read_cache_store, upsert_cache_store
 
 COLUMNS = ("feed_ord long, entry_ord long, title string, url string, image_url string, author string, source string, "
            "summary string, read_more_url string, published string, full_text string, content string")
@@ -95,6 +96,37 @@ def test_cache_snapshots(spark, tmp_path):
     assert sorted((r["url"], r["content"]) for r in second.collect()) == [("a", "1"), ("b", "2"), ("c", "2")]
 
 
+def test_cache_store_writes_what_it_touches(spark, tmp_path):
+    folder = str(tmp_path / "store")
+
+    def rows(ids, content, at):
+        df = spark.createDataFrame([(f"u{i}", content) for i in ids], "url string, content string")
+        return cache_rows(df.withColumn("features", F.lit(None).cast(FEATURES_DDL)), at)
+
+    held = lambda v=None: {r["url"]: r["content"] for r in read_cache_store(spark, folder, v).collect()}
+    assert held() == {}
+    assert upsert_cache_store(spark, folder, rows(range(400), "1", "2025-01-01"), buckets=32) == 1
+    first = {r["bucket"]: r["write"] for r in manifest(spark, folder).collect()}
+    assert len(first) == 32
+    before = read_cache_store(spark, folder)
+    assert upsert_cache_store(spark, folder, rows([7, 900], "2", "2025-01-06"), buckets=32) == 2
+    second = {r["bucket"]: r["write"] for r in manifest(spark, folder).collect()}
+    assert 1 <= sum(second[b] != first[b] for b in first) <= 2
+    want = {f"u{i}": "1" for i in range(400)}
+    assert held(1) == want == {r["url"]: r["content"] for r in before.collect()}
+    assert held() == want | {"u7": "2", "u900": "2"}
+    # a write without a manifest belongs to no version; nor does a manifest that is not whole
+    cache = rows([1], "lost", "2025-01-07").withColumns({"bucket": F.lit(3), "write": F.lit("x")})
+    cache.write.mode("append").partitionBy("bucket", "write").parquet(f"{folder}/data")
+    (tmp_path / "store" / "manifest" / "version=3").mkdir()
+    assert held() == want | {"u7": "2", "u900": "2"}
+    (tmp_path / "store" / "manifest" / "version=3").rmdir()
+    assert expire_cache_store(spark, folder, "2025-01-05") is None
+    assert expire_cache_store(spark, folder, "2025-01-09") == 3
+    assert held() == {"u7": "2", "u900": "2"}
+    assert upsert_cache_store(spark, folder, rows([], "", "2025-01-09"), buckets=32) == 4 and len(held()) == 2
+
+
 def test_all_kinds_with_pages_cache_and_responses(spark, tmp_path):
     pages = spark.createDataFrame([("https://a.com/1", "<article><p>" + "word " * 60 + "</p></article>")] * 2, "url string, html string")
     cache = cache_rows(spark.createDataFrame([("https://ft.com/2", "stored " * 60)], "url string, content string")
