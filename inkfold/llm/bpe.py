@@ -125,6 +125,19 @@ def _free(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns {sorted(taken)} are there already; name other ones")
 
 
+def _renamed(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with an underscore behind columns that have one of the names."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for c in df.columns:
+        new = c
+        while new.lower() in {n.lower() for n in names} or (new != c and new.lower() in taken):
+            new += "_"
+        taken.add(new.lower())
+        out.append(new)
+    return df.toDF(*out)
+
+
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` plus ``ids``, array<int>. ``vocabulary`` is the path of a byte-level vocabulary on every machine."""
     _free(docs, ids)
@@ -139,8 +152,9 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", text: str = "deco
 
 def encode_and_decode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
                       decoded: str = "decoded") -> DataFrame:
-    """``docs`` plus ids and the text these decode to, in one pass of the same tasks."""
-    _free(docs, ids, decoded)
+    """``docs`` plus ids and the text these decode to, in one pass of the same tasks. Columns of ``docs`` that have one of
+    these names get an underscore behind it, until the name is free."""
+    docs = _renamed(docs, ids, decoded)
     return docs.mapInArrow(
         lambda it: decode_batches(encode_batches(it, vocabulary, text, ids), vocabulary, ids, decoded),
         f"{_fields(docs)}, `{ids}` array<int>, `{decoded}` string")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from inkfold.session import work_dir
 
@@ -41,6 +42,20 @@ def with_keys(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     })
 
 
+def unnamed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str, Callable[[DataFrame], DataFrame]]:
+    """``docs`` under inner names, so that none of its columns can clash with a column of an operator.
+
+    Returns the rows, the inner name of the text, and what gives rows their own columns back. ``id`` is added: the id
+    where it is a whole number, else a hash of it, null where it is null.
+    """
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own = F.col(f"c{names.index(doc_id)}")
+    whole = isinstance(docs.schema[doc_id].dataType, IntegralType)
+    rows = inner.withColumn("id", own.cast("long") if whole else F.when(own.isNotNull(), F.xxhash64(own)))
+    return rows, f"c{names.index(text)}", lambda df: df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once in the row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

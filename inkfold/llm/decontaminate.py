@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import KEYS, with_keys
+from inkfold.llm.common import KEYS, unnamed, with_keys
 from inkfold.llm.textbytes import blocks
 
 WINDOW = 10
@@ -256,8 +256,9 @@ def contamination_digest(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                       **settings) -> DataFrame:
-    """``docs`` without the rows that hold a test window exactly; proximity matches drop nothing."""
-    found = contamination(docs, benchmark, doc_id, text, **settings)
+    """``docs`` without the rows that hold a test window exactly; proximity matches drop nothing. Same columns, whatever
+    their names."""
+    rows, body, back = unnamed(docs, doc_id, text)
+    found = contamination(rows, benchmark, "id", body, **settings)
     bad = found.where(F.size("hits") > 0).select(*KEYS).distinct()
-    kept = with_keys(docs, doc_id, text).join(bad, KEYS, "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return back(with_keys(rows, "id", body).join(bad, KEYS, "left_anti"))

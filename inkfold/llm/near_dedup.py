@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import KEYS, stored, with_keys
+from inkfold.llm.common import KEYS, stored, unnamed, with_keys
 from inkfold.llm.components import extended
 from inkfold.llm.textbytes import U64, Powers, blocks, mixed, prefix_hashes, stretch_hashes
 
@@ -322,12 +322,22 @@ def near_digest(rows: DataFrame) -> DataFrame:
                        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+#: Ids that stand for missing ones begin here: they come after all others.
+NO_ID = 1 << 62
+
+
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``docs`` with one document of every group: the least id. Rows without an id or without words stay, and so do
-    repeated rows of the document that is kept."""
-    found = near_duplicates(docs, doc_id, text, **settings)
-    out = found.where((F.col("doc_id") != F.col("component_id")) & F.col("doc_id").isNotNull()).select(
-        *KEYS).distinct()
-    keyed = with_keys(docs, doc_id, text)
-    kept = keyed.join(out, KEYS, "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row of every group: of the least id, where it has one; of rows that are repeated with their id,
+    and of copies without ids, one as well. Rows without words are in no group and stay. Same columns, whatever their
+    names; ids that are no whole numbers are compared by a hash."""
+    rows, body, back = unnamed(docs, doc_id, text)
+    filled = F.coalesce(F.col(body), F.lit(""))
+    rows = rows.withColumn("id", F.coalesce("id", F.lit(NO_ID) + F.xxhash64(filled).bitwiseAND(F.lit(NO_ID - 1))))
+    found = near_duplicates(rows, "id", body, **settings).where("n_shingles > 0")
+    out = found.where(F.col("doc_id") != F.col("component_id")).select(*KEYS).distinct()
+    kept = with_keys(rows, "id", body).join(out, KEYS, "left_anti")
+    # one of the rows that share id and text: each task keeps one before they are shuffled
+    again = found.groupBy(*KEYS).agg(F.count("*").alias("rows")).where("rows > 1").select(*KEYS)
+    first = F.row_number().over(Window.partitionBy(*KEYS).orderBy("id"))
+    one = kept.join(again, KEYS, "left_semi").withColumn("first", first).where("first = 1").drop("first")
+    return back(kept.join(again, KEYS, "left_anti").unionByName(one))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import KEYS, bind, count_kind, found, labelled, span_text, stored, with_keys
+from inkfold.llm.common import KEYS, bind, count_kind, found, labelled, span_text, stored, unnamed, with_keys
 
 KINDS = ["email", "ip", "card", "phone"]
 MARK = "\u0001"
@@ -245,11 +245,11 @@ def _masked(text: Column, spans: Column) -> Column:
 
 
 def mask_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``docs`` with every span of personal data replaced by ``<kind>``. Same rows and columns; null stays null."""
-    spans = (find_pii(docs, doc_id, text, **settings).where(F.size("spans") > 0)
-             .groupBy(*KEYS).agg(F.first("spans").alias("_spans")))
-    keyed = with_keys(docs, doc_id, text)
-    joined = keyed.join(spans, KEYS, "left")
-    masked = F.when(F.col("_spans").isNull(), F.col(f"`{text}`")).otherwise(
-        _masked(F.col(f"`{text}`"), F.col("_spans")))
-    return joined.select(*[masked.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with every span of personal data replaced by ``<kind>``. Same rows and columns, whatever their names; null
+    stays null."""
+    rows, body, back = unnamed(docs, doc_id, text)
+    spans = (find_pii(rows, "id", body, **settings).where(F.size("spans") > 0)
+             .groupBy(*KEYS).agg(F.first("spans").alias("spans")))
+    joined = with_keys(rows, "id", body).join(spans, KEYS, "left")
+    return back(joined.withColumn(body, F.when(F.col("spans").isNull(), F.col(body)).otherwise(
+        _masked(F.col(body), F.col("spans")))))

@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkfold.llm.common import unnamed
+
 SAMPLE = 4000
 LONGEST = 200_000
 WORDS = 20_000  # vectors kept, of the commonest words of the sample
@@ -254,6 +256,7 @@ def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose score is below one half. Same columns."""
-    scored = with_scores(docs, learn(docs, labels), score="_quality_score")
-    return scored.where(F.col("_quality_score") >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the rows whose score is below one half. Same columns, whatever their names."""
+    rows, body, back = unnamed(docs, "doc_id", "text")
+    scored = with_scores(rows, learn(docs.select("doc_id", "text"), labels), body)
+    return back(scored.where(F.col("score") >= 0.5))
