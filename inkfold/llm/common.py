@@ -61,11 +61,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def run_sums(numbers: Column) -> Column:
-    """Sums of ``numbers`` (array<int>) up to and with each place."""
+def run_folds(numbers: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """``step`` of 0 and ``numbers`` (array<int>) one after another, up to and with each place."""
     def block(acc: Column, part: Column) -> Column:
         grown = F.aggregate(part, F.slice(acc, -1, 1),
-                            lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+                            lambda a, x: F.concat(a, F.array(step(F.element_at(a, -1), x))))
         return F.concat(acc, F.slice(grown, 2, FOLD))
 
     def all_blocks(nums: Column) -> Column:
@@ -79,6 +79,33 @@ def run_sums(numbers: Column) -> Column:
     return bind(numbers, lambda nums: F.when(F.size(nums) == 0, none).otherwise(all_blocks(nums)))
 
 
+def run_sums(numbers: Column) -> Column:
+    """Sums of ``numbers`` (array<int>) up to and with each place."""
+    return run_folds(numbers, lambda a, x: a + x)
+
+
+def apart(spans: Column, held: Column) -> Column:
+    """The ``spans`` that share no place with any of ``held``, in one walk over both.
+
+    Held spans stand in the order at their start, others at their stop; of those before a span's stop the furthest end
+    tells whether one of them reaches into it.
+    """
+    marks = F.array_sort(F.concat(
+        F.transform(held, lambda b: F.struct((2 * b["start"] + 1).alias("at"), b["stop"].alias("stop"), F.lit(-1).alias("i"))),
+        F.transform(spans, lambda c, i: F.struct((2 * c["stop"]).alias("at"), F.lit(0).alias("stop"), i.alias("i")))))
+
+    def reach(m: Column) -> Column:
+        furthest = run_folds(F.transform(m, lambda x: x["stop"]), F.greatest)
+        own = F.filter(F.zip_with(m, furthest, lambda x, e: F.struct(x["i"].alias("i"), e.alias("e"))), lambda x: x["i"] >= 0)
+        return F.transform(F.array_sort(own), lambda x: x["e"])
+
+    def free(ends: Column) -> Column:
+        both = F.zip_with(spans, ends, lambda c, e: F.struct(c.alias("c"), e.alias("e")))
+        return F.transform(F.filter(both, lambda x: x["e"] <= x["c"]["start"]), lambda x: x["c"])
+
+    return F.when((F.size(spans) == 0) | (F.size(held) == 0), spans).otherwise(bind(bind(marks, reach), free))
+
+
 def found(text: Column, pattern: str, context: int = 0) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, stop, hit, left>>, places in code points.
 

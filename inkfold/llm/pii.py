@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import KEYS, bind, count_kind, found, labelled, span_text, stored, unnamed, with_keys
+from inkfold.llm.common import KEYS, apart, bind, count_kind, found, labelled, span_text, stored, unnamed, with_keys
 
 KINDS = ["email", "ip", "card", "phone"]
 MARK = "\u0001"
@@ -179,11 +179,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     rows = keyed.select("doc_id", *KEYS, seeds(body).alias("base"), candidates(body).alias("loose"),
                         others(body).alias("other"))
 
-    def apart(spans: str, held: str) -> Column:
-        return F.filter(spans, lambda c: ~F.exists(held, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-
-    rows = rows.withColumns({"loose": apart("loose", "base"), "other": apart("other", "base")})
-    return stored(rows.withColumn("other", F.transform(apart("other", "loose"), lambda c: F.struct(
+    base, loose, other = F.col("base"), F.col("loose"), F.col("other")
+    rows = rows.withColumns({"loose": apart(loose, base), "other": apart(other, base)})
+    return stored(rows.withColumn("other", F.transform(apart(other, loose), lambda c: F.struct(
         c["kind"].alias("kind"), F.xxhash64(c["hit"]).alias("inst"), _patterns(c["left"]).alias("patterns")))), "pii_scan")
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import KEYS, bind, count_kind, found, labelled, span_text, stored, with_keys
+from inkfold.llm.common import KEYS, apart, count_kind, found, labelled, span_text, stored, with_keys
 
 KINDS = ["assign", "access", "hex", "live"]
 
@@ -51,13 +51,11 @@ def scan(docs: DataFrame, doc_id: str, text: str, repository: Column, owner: Col
     body = F.coalesce(F.col("_text"), F.lit(""))
     rows = with_keys(slim, "doc_id", "_text").select(
         "doc_id", *KEYS, "repository", "owner", base_spans(body).alias("base"), mixed_tokens(body).alias("mixed"))
-    apart = F.filter("mixed", lambda c: ~F.exists(
-        "base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
     hashed = lambda spans: F.transform(spans, lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"),
         F.sha2(s["hit"], 256).alias("value")))
     return stored(rows.select("doc_id", *KEYS, "repository", "owner", hashed(F.col("base")).alias("base"),
-                              hashed(apart).alias("mixed")), "secret_scan")
+                              hashed(apart(F.col("mixed"), F.col("base"))).alias("mixed")), "secret_scan")
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
