@@ -41,6 +41,8 @@ PIVOT_ROUNDS = 4
 MEETINGS = 2
 #: Words of 64 bits in a set's parity.
 PARITY = 16
+#: Bytes of text whose shingles a task holds at a time; some twenty arrays of 8 bytes a byte exist for them.
+BLOCK = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
@@ -133,7 +135,7 @@ def _later_steps(out: np.ndarray, row: np.ndarray, element: np.ndarray, first: n
 
 def signature_batches(batches: Iterator[pa.RecordBatch], width: int, bands: int) -> Iterator[pa.RecordBatch]:
     powers = Powers()
-    for batch, data, offsets in blocks(batches, "text"):
+    for batch, data, offsets in blocks(batches, "text", BLOCK):
         row, element = shingle_sets(data, offsets, width, powers)
         n = len(offsets) - 1
         sizes = np.bincount(row, minlength=n)
@@ -159,7 +161,7 @@ SET = "class long, elements binary, parity array<long>"
 
 def set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     powers = Powers()
-    for batch, data, offsets in blocks(batches, "text"):
+    for batch, data, offsets in blocks(batches, "text", BLOCK):
         row, element = shingle_sets(data, offsets, width, powers)
         n = len(offsets) - 1
         bounds = np.append(0, np.cumsum(np.bincount(row, minlength=n))) * 8
