@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkfold.functions.blocks import block_basic
 from inkfold.functions.text import (
-    WS, as_col, blank_if_null, domain, first_non_empty, format_published, has_words, reading_time, strip,
+    WS, blank_if_null, domain, first_non_empty, format_published, has_words, reading_time, strip,
     word_count,
 )
 from inkfold.operators.classify import classify, with_subcategory

@@ -13,7 +13,7 @@ from inkfold.plans import sql_parts as q
 from inkfold.plans.catalog import query
 from inkfold.plans.issue import process_articles
 from inkfold.plans.text_queries import _KIND, _LINES, _SPACED
-from inkfold.session import work_dir
+from inkfold.session import work_dir, written
 from inkfold.sources.sinks import conversion_status, html_lines, write_digest_md
 from inkfold.sources.tables import documents_as_articles, table
 

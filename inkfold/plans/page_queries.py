@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkfold.functions.html import (
-    block_texts, extract_images, link_count, main_content, scrub_html, strip_boilerplate,
+    block_texts, link_count, main_content, scrub_html, strip_boilerplate,
 )
 from inkfold.functions.features import article_features
 from inkfold.operators.budget import truncate_html_words
