@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from pyspark.sql.types import IntegralType
 from inkfold.session import work_dir
 
 KEYS = ["_k1", "_k2"]
+#: Texts are cut in blocks of so many characters, so that a part costs its own length and not its place.
+CUT = 256
 #: Running sums are folded in blocks of so many numbers, so that long arrays are not copied per number.
 FOLD = 256
 
@@ -42,18 +44,32 @@ def with_keys(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     })
 
 
-def unnamed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str, Callable[[DataFrame], DataFrame]]:
+def unnamed(docs: DataFrame, doc_id: str, text: str, added: Sequence[str] = ()) -> tuple[DataFrame, str, Callable[[DataFrame], DataFrame]]:
     """``docs`` under inner names, so that none of its columns can clash with a column of an operator.
 
     Returns the rows, the inner name of the text, and what gives rows their own columns back. ``id`` is added: the id
-    where it is a whole number, else a hash of it, null where it is null.
+    where it is a whole number, else a hash of it, null where it is null. Columns ``added`` come back behind their own.
     """
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own = F.col(f"c{names.index(doc_id)}")
     whole = isinstance(docs.schema[doc_id].dataType, IntegralType)
     rows = inner.withColumn("id", own.cast("long") if whole else F.when(own.isNotNull(), F.xxhash64(own)))
-    return rows, f"c{names.index(text)}", lambda df: df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return rows, f"c{names.index(text)}", lambda df: df.select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *added)
+
+
+def renamed(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with an underscore behind columns that have one of the names."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for c in df.columns:
+        new = c
+        while new.lower() in {n.lower() for n in names} or (new != c and new.lower() in taken):
+            new += "_"
+        taken.add(new.lower())
+        out.append(new)
+    return df.toDF(*out)
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -84,6 +100,23 @@ def run_sums(numbers: Column) -> Column:
     return run_folds(numbers, lambda a, x: a + x)
 
 
+def cut(text: Column, places: Column) -> Column:
+    """The parts of ``text`` at ``places``, array<struct<start, stop>> in code points with start <= stop."""
+    def inside(x: Column) -> Column:
+        def part(p: Column) -> Column:
+            a, b = F.floor(p["start"] / CUT).cast("int"), F.floor(p["stop"] / CUT).cast("int")
+            block = lambda i: F.coalesce(F.get(x["blocks"], i), F.lit(""))
+            return F.when(a == b, F.substring(block(a), p["start"] - a * CUT + 1, p["stop"] - p["start"])).otherwise(F.concat(
+                F.substring(block(a), p["start"] - a * CUT + 1, F.lit(CUT)),
+                F.array_join(F.slice(x["blocks"], a + 2, b - a - 1), ""),
+                F.substring(block(b), F.lit(1), p["stop"] - b * CUT)))
+
+        return F.transform(x["places"], part)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    return bind(F.struct(blocks.alias("blocks"), places.alias("places")), inside)
+
+
 def apart(spans: Column, held: Column) -> Column:
     """The ``spans`` that share no place with any of ``held``, in one walk over both.
 

@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import KEYS, apart, bind, count_kind, found, labelled, span_text, stored, unnamed, with_keys
+from inkfold.llm.common import (
+    KEYS, apart, bind, count_kind, cut, found, labelled, run_folds, span_text, stored, unnamed, with_keys)
 
 KINDS = ["email", "ip", "card", "phone"]
 MARK = "\u0001"
@@ -229,17 +230,21 @@ def _masked(text: Column, spans: Column) -> Column:
     names = F.array(*[F.lit(f"<{n}>") for n in KINDS])
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
 
-    def add(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), names[s["kind"]])
-        return F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["stop"]).alias("at"))
+    def between(r: Column) -> Column:
+        """What stands before the first span of every run of overlapping ones, and after the last."""
+        ends = lambda i: F.coalesce(F.get(r["ends"], i), F.lit(0))
+        gaps = F.transform(r["ordered"], lambda s, i: F.struct(
+            ends(i - 1).alias("start"), s["start"].alias("stop"), names[s["kind"]].alias("name")))
+        return F.concat(F.filter(gaps, lambda g: g["start"] <= g["stop"]), F.array(F.struct(
+            ends(F.size(r["ends"]) - 1).alias("start"), F.length(text).alias("stop"), F.lit("").alias("name"))))
 
-    return F.when(F.size(spans) == 0, text).otherwise(bind(
-        F.aggregate(ordered, start, add),
-        lambda r: F.concat(F.array_join(r["out"], ""), F.substring(text, r["at"] + 1, F.length(text)))))
+    def filled(gaps: Column) -> Column:
+        return F.array_join(F.zip_with(cut(text, gaps), gaps, lambda t, g: F.concat(t, g["name"])), "")
+
+    furthest = lambda o: F.struct(
+        o.alias("ordered"), run_folds(F.transform(o, lambda s: s["stop"]), F.greatest).alias("ends"))
+    return F.when(F.size(spans) == 0, text).otherwise(bind(bind(bind(ordered, furthest), between), filled))
 
 
 def mask_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
