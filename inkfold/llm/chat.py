@@ -2,8 +2,8 @@
 
 A message is a list of parts: text, image, audio or document. A visitor with one rule per type flattens them in
 order: text is escaped, the others become placeholders, with a record of the attachment and of the number of
-tokens the placeholder stands for. Turns are framed by control strings; control strings inside texts and roles
-are escaped so that they can be read back.
+tokens the placeholder stands for. Turns are framed by control strings; control strings inside texts and roles,
+also those that begin in one text part and end in another, are escaped so that they can be read back.
 
 Only DataFrame functions are used. Null text is empty, a null role is the empty role, null parts are skipped; rows
 with a null conversation id form one conversation; rows of equal turn are ordered by role and text, repeated rows
@@ -15,11 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import bind, run_sums
+from inkfold.llm.common import bind, cut, run_sums
 
 #: The frame of a turn.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+#: Stands before placeholders until texts are escaped, and before a mark of its own where texts hold it.
+MARK = "\u0001"
 #: Turns of a conversation that are joined at first; blocks are joined after that.
 BLOCK = 64
 #: Tokens of placeholders: pixels to a side of an image patch, tokens per second of audio and per page.
@@ -70,13 +72,14 @@ TOKENS = {
 
 
 def visit(parts: Column) -> Column:
-    """Flattened parts as array<struct<text, ref, tokens>>; unknown types are taken as text, ref is null there."""
+    """Flattened parts as array<struct<text, ref, tokens>>; unknown types are taken as text, ref is null there. Texts are
+    marked, not escaped yet: see ``body_of``."""
     def rule(p: Column) -> Column:
-        plain = F.struct(escape(F.coalesce(p["text"], F.lit(""))).alias("text"),
+        plain = F.struct(F.replace(F.coalesce(p["text"], F.lit("")), F.lit(MARK), F.lit(MARK + "0")).alias("text"),
                          F.lit(None).cast("string").alias("ref"), F.lit(0).cast("long").alias("tokens"))
         out = plain
         for kind, tokens in TOKENS.items():
-            held = F.struct(F.lit(f"<|{kind}|>").alias("text"), F.coalesce(p["ref"], F.lit("")).alias("ref"),
+            held = F.struct(F.lit(f"{MARK}1{kind}").alias("text"), F.coalesce(p["ref"], F.lit("")).alias("ref"),
                             tokens(p).cast("long").alias("tokens"))
             out = F.when(p["type"] == kind, held).otherwise(out)
         return out
@@ -84,6 +87,14 @@ def visit(parts: Column) -> Column:
     return F.transform(F.filter(parts, lambda p: p.isNotNull()), rule)
 
 
+def body_of(flat: Column) -> Column:
+    """The visited parts as one text: texts are joined before they are escaped, placeholders are not escaped."""
+    text = escape(F.array_join(F.transform(flat, lambda x: x["text"]), ""))
+    for kind in TOKENS:
+        text = F.replace(text, F.lit(f"{MARK}1{kind}"), F.lit(f"<|{kind}|>"))
+    return F.replace(text, F.lit(MARK + "0"), F.lit(MARK))
+
+
 def format_chat(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
                 parts: str = "parts", learn: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, ``formatted``, ``loss`` (array<struct<start, stop>> in code points of
@@ -98,7 +109,7 @@ def format_chat(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
         flat.alias("flat"))
     piece = turns.select("conv_id", "turn", F.struct(
         F.col("turn").alias("turn"), F.col("role").alias("role"), F.col("head").alias("head"),
-        F.array_join(F.transform("flat", lambda x: x["text"]), "").alias("body"),
+        body_of(F.col("flat")).alias("body"),
         F.transform(F.filter("flat", lambda x: x["ref"].isNotNull()), lambda x: x["ref"]).alias("refs"),
         F.aggregate("flat", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("tokens")).alias("p"))
 
@@ -153,8 +164,7 @@ def chat_digest(chats: DataFrame) -> DataFrame:
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return (chats.select(
         "conv_id", read_back(F.col("formatted")).alias("turns"),
-        F.array_join(F.transform("loss", lambda s: unescape(
-            F.substring(F.col("formatted"), s["start"] + 1, s["stop"] - s["start"]))), "").alias("learnt"),
+        F.array_join(F.transform(cut(F.col("formatted"), F.col("loss")), unescape), "").alias("learnt"),
         F.length("formatted").cast("long").alias("formatted_chars"), "attachment_tokens")
         .select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
                 F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"),
