@@ -6,10 +6,13 @@ refined, and again, until each splitter lies within a tolerance of its target. T
 
 A group of equal texts larger than the tolerance would push a boundary aside. There are few of them by
 arithmetic (fewer than shards / tolerance), so they are dealt out first, largest to the emptiest shard, and the
-splitters share out what remains of every shard's room. Only a group larger than a whole shard is divided.
+splitters share out what remains of every shard's room. Only a group larger than a whole shard is divided, by a hash of
+the ids. Where rows that are repeated with their id are more than a splitter may miss, this hash cannot part them: the
+rows are written once then, and the divided groups are ordered by a number every written row has.
 
 Only DataFrame functions are used. Null text has no bytes; every row counts 16 bytes besides its text. Rows with
-null ids and repeated rows are rows like others; an empty table gives an empty table.
+null ids and repeated rows are rows like others; an empty table gives an empty table. Columns named like one that is
+added get an underscore behind their name; other columns keep theirs, whatever it is.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import stored
+from inkfold.llm.common import renamed, stored, unnamed
 
 ROW_BYTES = 16
 #: Share of a shard that a splitter may miss its target by, and from which a group counts as large.
@@ -130,7 +133,11 @@ def histogram_shards(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id",
 
     Order inside a shard follows the hash of the text, then a hash of the id.
     """
-    rows = sized(docs, doc_id, text)
+    added = ["size", "text_crc32", "shard", "slot"]
+    docs_id, docs_text = docs.columns.index(doc_id), docs.columns.index(text)
+    docs = renamed(docs, *added)
+    inner, body, back = unnamed(docs, docs.columns[docs_id], docs.columns[docs_text], added)
+    rows = sized(inner, "id", body)
     sizes = stored(rows.select("_at", "_tie", "size"), "shard_sizes")
     total = sizes.agg(F.sum("size")).first()[0] or 0
     share = max(total / shards, 1.0)
@@ -139,6 +146,13 @@ def histogram_shards(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id",
     groups = [(r["_at"], r["b"]) for r in large]
     pieces, load = _deal(groups, shards, total)
     cut = [at for at, p in pieces.items() if len(p) > 1]
+    if cut:
+        same = (sizes.where(F.col("_at").isin(cut)).groupBy("_at", "_tie").agg(F.sum("size").alias("b"))
+                .where(F.col("b") > tolerance * share))
+        if not same.isEmpty():
+            own = F.when(F.col("_at").isin(cut), F.xxhash64("_tie", F.monotonically_increasing_id())).otherwise(F.col("_tie"))
+            rows = stored(rows.withColumn("_tie", own), "shard_rows")
+            sizes = rows.select("_at", "_tie", "size")
     light = sizes.where(~F.col("_at").isin([at for at, _ in groups])) if groups else sizes
     targets, done = [], 0
     for s in range(shards - 1):
@@ -168,7 +182,7 @@ def histogram_shards(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id",
         F.broadcast(before.select("shard", "_run", "_before")), ["shard", "_run"])
     nth = F.row_number().over(Window.partitionBy("shard", "_run").orderBy("_at", "_tie"))
     slotted = dealt.withColumn("slot", F.col("_before") + nth - 1)
-    return slotted.select(*docs.columns, "size", "text_crc32", "shard", "slot")
+    return back(slotted)
 
 
 def _by_splitters(at: Column, splits: list[int]) -> Column:
