@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from collections.abc import Iterator
-from functools import lru_cache
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkfold.llm.common import renamed
 from inkfold.llm.textbytes import blocks
 
 #: Fixed value: the rule of this vocabulary that splits words.
@@ -91,9 +93,13 @@ class Codec:
         return b"".join(self.pieces[ids].tolist()).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    """The codec of a vocabulary, kept by a worker for its next tasks. The functions of this module travel with each task,
+    so what is to stay is kept under a name of the process."""
+    kept = sys.modules.setdefault("inkfold_codecs", ModuleType("inkfold_codecs")).__dict__
+    if path not in kept:
+        kept[path] = Codec(path)
+    return kept[path]
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, text: str, ids: str) -> Iterator[pa.RecordBatch]:
@@ -125,19 +131,6 @@ def _free(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns {sorted(taken)} are there already; name other ones")
 
 
-def _renamed(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` with an underscore behind columns that have one of the names."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for c in df.columns:
-        new = c
-        while new.lower() in {n.lower() for n in names} or (new != c and new.lower() in taken):
-            new += "_"
-        taken.add(new.lower())
-        out.append(new)
-    return df.toDF(*out)
-
-
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` plus ``ids``, array<int>. ``vocabulary`` is the path of a byte-level vocabulary on every machine."""
     _free(docs, ids)
@@ -154,7 +147,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, text: str = "text", ids:
                       decoded: str = "decoded") -> DataFrame:
     """``docs`` plus ids and the text these decode to, in one pass of the same tasks. Columns of ``docs`` that have one of
     these names get an underscore behind it, until the name is free."""
-    docs = _renamed(docs, ids, decoded)
+    docs = renamed(docs, ids, decoded)
     return docs.mapInArrow(
         lambda it: decode_batches(encode_batches(it, vocabulary, text, ids), vocabulary, ids, decoded),
         f"{_fields(docs)}, `{ids}` array<int>, `{decoded}` string")

@@ -219,13 +219,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         windows = Windows.of(items, window)
         if not len(windows.grams):
             continue
-        terms = slim.sparkSession.sparkContext.broadcast(windows)
+        # plain values: workers need not know this module's classes by name
+        terms = slim.sparkSession.sparkContext.broadcast(vars(windows))
         counts = slim.select("text").mapInArrow(
-            lambda it, b=terms: count_batches(it, b.value.terms), "term long, n long").groupBy("term").agg(
+            lambda it, b=terms: count_batches(it, b.value["terms"]), "term long, n long").groupBy("term").agg(
             F.sum("n").alias("n"))
         order = slim.sparkSession.sparkContext.broadcast(
             _rarest_first(windows, {r["term"]: r["n"] for r in counts.collect()}))  # at most block_words terms
-        parts.append(slim.mapInArrow(lambda it, b=terms, o=order: match_batches(it, b.value, o.value, slop), HITS))
+        parts.append(slim.mapInArrow(lambda it, b=terms, o=order: match_batches(it, Windows(**b.value), o.value, slop), HITS))
     if not parts:
         none = Windows({}, np.zeros((0, window), np.int64), np.zeros(0, np.int64), [])
         empty = np.zeros((0, window), np.int64)

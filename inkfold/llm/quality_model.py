@@ -243,9 +243,16 @@ def score_batches(batches: Iterator[pa.RecordBatch], model: Model, text: str) ->
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` plus ``score``, the calibrated probability of label 1."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # WORDS vectors and a small network
+    # WORDS vectors and a small network, as plain values: workers need not know this module's classes by name
+    sent = docs.sparkSession.sparkContext.broadcast(
+        (vars(model.vectors), model.network and vars(model.network), model.share))
+
+    def received() -> Model:
+        vectors, network, share = sent.value
+        return Model(Vectors(**vectors), network and Network(**network), share)
+
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _score double"
-    return docs.mapInArrow(lambda it: score_batches(it, sent.value, text), schema).withColumnRenamed("_score", score)
+    return docs.mapInArrow(lambda it: score_batches(it, received(), text), schema).withColumnRenamed("_score", score)
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
