@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from inkfold.llm.common import KEYS, stored, unnamed, with_keys
 from inkfold.llm.components import extended
-from inkfold.llm.textbytes import U64, Powers, blocks, mixed, prefix_hashes, stretch_hashes
+from inkfold.llm.textbytes import U64, Powers, blocks, given_back, mixed, prefix_hashes, stretch_hashes
 
 PLACES = 128
 BANDS = 32  # of four places: a pair at 0.8 misses all bands with probability 5e-8
@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     slim = with_keys(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                                  F.col(f"`{text}`").alias("text")))
     signed = stored(slim.select("doc_id", *KEYS, "text").mapInArrow(
-        lambda it: signature_batches(it, width, bands), SIGNED), "signatures")
+        lambda it: given_back(signature_batches(it, width, bands)), SIGNED), "signatures")
     # a class is named by a key of its least row
     classes = signed.where("n > 0").groupBy("same").agg(
         F.min("doc_id").alias("least"), F.min(F.struct(*KEYS)).alias("one"), F.first("n").alias("n"))
@@ -236,7 +236,7 @@ def _roots(slim: DataFrame, named: DataFrame, members: DataFrame, width: int, si
     """
     wanted = members.select("class").distinct().join(named.select("class", *KEYS), "class")
     texts = slim.select(*KEYS, "text").join(wanted, KEYS).dropDuplicates(["class"]).select("class", "text")
-    sets = stored(texts.mapInArrow(lambda it: set_batches(it, width), SET), "sets")
+    sets = stored(texts.mapInArrow(lambda it: given_back(set_batches(it, width)), SET), "sets")
     roots = compared = None
     members = members.withColumn("shared", F.col("n"))
     pairs = _pivot_pairs(members.withColumn("root", F.col("class")), 0)
@@ -251,7 +251,7 @@ def _roots(slim: DataFrame, named: DataFrame, members: DataFrame, width: int, si
         good = stored(
             pairs.join(sets.select(F.col("class").alias("a"), F.col("elements").alias("x")), "a")
             .join(sets.select(F.col("class").alias("b"), F.col("elements").alias("y")), "b")
-            .mapInArrow(lambda it: overlap_batches(it, similar), "a long, b long"), "verified")
+            .mapInArrow(lambda it: given_back(overlap_batches(it, similar)), "a long, b long"), "verified")
         roots = extended(roots, good)
         compared = pairs if compared is None else compared.unionByName(pairs)
         if step > PIVOT_ROUNDS:
@@ -277,7 +277,7 @@ def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
 def _with_shared(rooted: DataFrame, sets: DataFrame) -> DataFrame:
     """``rooted`` with ``shared``: the shingles of a class that another class of an open bucket holds as well."""
     open_sets = sets.select("class", "elements").join(rooted.select("class").distinct(), "class", "left_semi")
-    elements = open_sets.mapInArrow(element_batches, "class long, element long")
+    elements = open_sets.mapInArrow(lambda it: given_back(element_batches(it)), "class long, element long")
     alone = elements.groupBy("element").agg(F.count("*").alias("c"), F.min("class").alias("class")).where("c = 1")
     own = alone.groupBy("class").agg(F.count("*").alias("own"))
     return stored(rooted.join(own, "class", "left").withColumn(

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.llm.common import unnamed
+from inkfold.llm.textbytes import given_back
 
 SAMPLE = 4000
 LONGEST = 200_000
@@ -252,7 +253,7 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", score: str =
         return Model(Vectors(**vectors), network and Network(**network), share)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _score double"
-    return docs.mapInArrow(lambda it: score_batches(it, received(), text), schema).withColumnRenamed("_score", score)
+    return docs.mapInArrow(lambda it: given_back(score_batches(it, received(), text)), schema).withColumnRenamed("_score", score)
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

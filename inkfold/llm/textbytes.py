@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, offsets - offsets[0]
 
 
+def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; after the last one a worker gives the memory its libraries keep free back to the system, so that it does
+    not stand beside the joins and sorts that follow."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU systems
+    if trim is not None:
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, block_bytes: int = BLOCK_BYTES) -> Iterator:
     """(batch of whole rows, bytes, offsets) of about ``block_bytes`` each; a longer text is a block of its own."""
     for batch in batches:
