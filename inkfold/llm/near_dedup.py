@@ -7,9 +7,9 @@ next step. Long texts take one or two steps however many places there are.
 
 Texts with equal sets are one class. Bands of the signature put classes into buckets. In a bucket every class is
 compared with one of them, on the full sets; links make components; a bucket that then holds one component is
-settled. Buckets with several are compared with other members for a few rounds, and only classes that are still
-apart, share several buckets and pass an exact bound on their difference are compared in full. So a group of n near
-copies costs some n comparisons of sets. The bound is on parities: every element flips one bit of its set's, so two
+settled. Buckets with several are compared with other members for a few rounds, and all classes that are still apart,
+share a bucket and pass an exact bound on their difference are compared in full. So a group of n near copies costs
+some n comparisons of sets, and no pair that shares a bucket is left out. The bound is on parities: every element flips one bit of its set's, so two
 sets differ in at least as many elements as their parities in bits.
 
 Null and empty texts have the empty set and link with nothing. A text of fewer words than a shingle is one shingle.
@@ -36,9 +36,6 @@ BANDS = 32  # of four places: a pair at 0.8 misses all bands with probability 5e
 SIMILAR = 80
 #: Rounds in which buckets are compared with a pivot, before what still differs is compared in full.
 PIVOT_ROUNDS = 4
-#: Buckets that a pair shares at least to be compared after that: a pair at 0.8 shares 13 of 32 on average, one or
-#: none with probability 1e-6.
-MEETINGS = 2
 #: Words of 64 bits in a set's parity.
 PARITY = 16
 #: Bytes of text whose shingles a task holds at a time; some twenty arrays of 8 bytes a byte exist for them.
@@ -300,7 +297,7 @@ def _pivot_pairs(rooted: DataFrame, step: int) -> DataFrame:
 
 
 def _remaining_pairs(rooted: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Classes of different components that share MEETINGS buckets and whose difference may be small enough.
+    """Classes of different components that share a bucket and whose difference may be small enough.
 
     Classes with too many shingles of their own can link with nothing and are left out. All bounds are in the
     condition of the join, so that it emits no pair that they rule out.
@@ -315,8 +312,7 @@ def _remaining_pairs(rooted: DataFrame, sets: DataFrame, similar: int) -> DataFr
     return (x.join(y, "bucket").where((F.col("r") < F.col("s"))
                                       & (100 * both >= similar * (F.col("n") + F.col("m") - both))
                                       & ((100 + similar) * differ <= (100 - similar) * (F.col("n") + F.col("m"))))
-            .groupBy("a", "m", "shared_m", "b", "n", "shared").agg(F.count("*").alias("met"))
-            .where(F.col("met") >= MEETINGS))
+            .select("a", "m", "shared_m", "b", "n", "shared"))
 
 
 def near_digest(rows: DataFrame) -> DataFrame:

@@ -311,6 +311,14 @@ def test_near_duplicates_as_components(make, width):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_classes_of_one_common_bucket_are_compared(spark):
+    rooted = spark.createDataFrame([(1, 10, 100, 100, 10), (1, 20, 100, 100, 20), (1, 30, 100, 100, 20), (2, 40, 100, 10, 40)],
+                                   "bucket long, class long, n long, shared long, root long")
+    sets = spark.createDataFrame([(c, [0] * near_dedup.PARITY) for c in (10, 20, 30, 40)], "class long, parity array<long>")
+    pairs = near_dedup._remaining_pairs(rooted, sets, near_dedup.SIMILAR)
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(10, 20), (10, 30)]
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = near_dedup.mixed(np.arange(3000, dtype=np.uint64))
