@@ -54,8 +54,12 @@ def run_articles(
 
 
 def stream_table(spark: SparkSession, like: DataFrame, folder: str, file: str) -> DataFrame:
-    """A stored table as a stream, with the schema of ``like``."""
-    return spark.readStream.schema(like.schema).option("pathGlobFilter", file).parquet(folder)
+    """A stored table, one file or a folder of part files, as a stream with the schema of ``like``."""
+    reader = spark.readStream.schema(like.schema)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{file}")
+    if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory():
+        return reader.parquet(f"{folder}/{file}")
+    return reader.option("pathGlobFilter", file).parquet(folder)
 
 
 def dedupe_within_watermark(

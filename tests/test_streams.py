@@ -134,3 +134,24 @@ def test_source_health_puts_late_events_in_their_place(spark, tmp_path):
     run_source_health(stream, out, str(tmp_path / "log"), "200 seconds").awaitTermination()
     want = rows(source_health(spark.read.parquet(str(tmp_path / "in")).filter("event_id <> 902")))
     assert rows(latest_health(spark, out)) == want and want["new"] == (1, 1, 1.0)
+
+
+def test_streamed_tables_may_be_folders_of_parts(spark, tmp_path):
+    from inkfold.plans import catalog
+
+    catalog.load()
+    docs = [(i, None if i == 7 else f"text {i % 5}") for i in range(40)]
+    events = [(i, 86_400 * i, "view" if i % 3 else "click") for i in range(40)]
+    for parts, at in ((3, tmp_path / "parts"), (1, tmp_path / "file")):
+        for name, rows, schema in (("documents", docs, "doc_id long, text string"),
+                                   ("events", events, "event_id long, ts long, event_type string")):
+            df = spark.createDataFrame(rows, schema)
+            if name == "events":
+                df = df.withColumn("ts", F.timestamp_seconds("ts").cast("timestamp_ntz"))
+            out = at / f"{name}.parquet" if parts > 1 else at / f"{name}-parts"
+            df.repartition(parts).write.parquet(str(out))
+            if parts == 1:
+                next(out.glob("part-*.parquet")).rename(at / f"{name}.parquet")
+        kept = {r["entry_ord"] for r in catalog.QUERIES["stream_dedupe"](spark, str(at)).collect()}
+        assert kept == {0, 1, 2, 3, 4, 7}
+        assert catalog.QUERIES["stream_weekly_totals"](spark, str(at)).agg(F.sum("articles")).first()[0] == 40
