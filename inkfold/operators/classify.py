@@ -1,35 +1,43 @@
 """Rule classification: category, subcategory, score maps, section match.
 
 Keyword scores count substrings, each keyword on its own. Scanning a text once per keyword is the
-obvious form and costs hundreds of passes over the largest column. Here one regular expression, a
-trie of all keywords behind a look-ahead, lists the longest keyword at every position in one pass;
-that short list then holds every other keyword too, as a prefix of an entry, and is cheap to count
-in. Only a keyword that can overlap itself ("saas" in "saasaas") is recounted in the text.
+obvious form and costs hundreds of passes over the largest column. Here a few regular expressions,
+tries of all keywords behind a look at their first characters, list the longest keyword at every
+position; that short list then holds every other keyword too, as a prefix of an entry, and is cheap
+to count in. Only a keyword that can overlap itself ("saas" in "saasaas") is recounted in the text.
+Whole words are listed the same way, by one trie tried where a word may begin.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.functions.patterns import trie_regex
+from inkfold.functions.patterns import scan_passes, trie_regex
 from inkfold.functions.text import WORD, as_col, blank_if_null, weighted_text
 from inkfold.rules import DEFAULT_RULES, SECTION_RULES, RuleSet
 
 SEP = "\n"
 
 
-def keyword_pattern(keywords: list[str]) -> str:
-    """Look-ahead that captures the longest keyword starting at a position."""
-    return f"(?=({trie_regex(keywords)}))"
+def whole_word_pattern(keywords: list[str]) -> str:
+    """Captures the longest keyword starting at a position that does not touch another word character."""
+    return f"(?<!{WORD})(?=({trie_regex(keywords)})(?!{WORD}))"
 
 
 def overlaps_itself(keyword: str) -> bool:
     return any(keyword.startswith(keyword[i:]) for i in range(1, len(keyword)))
 
 
+def _ends_word(keyword: str, longer: str) -> bool:
+    """Whether ``keyword`` does not touch a word character where ``longer`` stands as a whole word."""
+    after = longer[len(keyword):len(keyword) + 1]
+    return longer.startswith(keyword) and not (after == "_" or after and unicodedata.category(after)[0] in "LN")
+
+
 def _sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -48,8 +56,17 @@ def _hits(text: str, keywords: list[str]) -> str:
     listed = sorted({k for k in keywords if SEP not in k})
     if not listed:
         return _sql_text(SEP)
-    found = f"regexp_extract_all({text}, {_sql_text(keyword_pattern(listed))}, 1)"
-    return f"concat({_sql_text(SEP)}, array_join({found}, {_sql_text(SEP)}))"
+    found = ", ".join(f"regexp_extract_all({text}, {_sql_text(p)}, 1)" for p in scan_passes(tuple(listed)))
+    return f"concat({_sql_text(SEP)}, array_join(concat({found}), {_sql_text(SEP)}))"
+
+
+def _whole_hits(text: str, keywords: list[str]) -> str:
+    """SQL: the longest whole keyword at every position where one starts, each between two marks of its own."""
+    listed = sorted({k for k in keywords if k and SEP not in k})
+    if not listed:
+        return "''"
+    found = f"regexp_extract_all({text}, {_sql_text(whole_word_pattern(listed))}, 1)"
+    return f"concat({_sql_text(SEP)}, array_join({found}, {_sql_text(SEP + SEP)}), {_sql_text(SEP)})"
 
 
 def _occurrences(text: str, keyword: str) -> str:
@@ -58,23 +75,36 @@ def _occurrences(text: str, keyword: str) -> str:
     return f"(octet_length({text}) - octet_length(replace({text}, {k}, ''))) div octet_length({k})"
 
 
-def _score(keywords: tuple[str, ...], text: str, hits: str, whole_word: bool) -> str:
-    """SQL: total occurrences of some keywords, read from the hit list.
+def _marked(hits: str, marks: list[str]) -> str:
+    """SQL: how often some marks stand in a hit list. They are one array literal, so that the plan stays small for hundreds."""
+    listed = ", ".join(_sql_text(m) for m in marks)
+    return (
+        f"if(octet_length({hits}) > 1, aggregate(array({listed}), 0L, (n, m) -> "
+        f"n + (octet_length({hits}) - octet_length(replace({hits}, m, ''))) div octet_length(m)), 0L)"
+    )
 
-    The keywords are one array literal, so that the plan stays small for hundreds of them.
-    """
-    if whole_word:
-        patterns = [rf"(?<!{WORD})\Q{k}\E(?!{WORD})" for k in keywords]
-        return "cast(" + " + ".join(f"regexp_count({text}, {_sql_text(p)})" for p in patterns) + " as bigint)"
+
+def _whole_score(keywords: tuple[str, ...], text: str, hits: str, every: list[str]) -> str:
+    """SQL: total occurrences of some keywords as whole words. A keyword also stands in the entries of longer ones that
+    begin with it as a word."""
+    longest = sorted({k for k in every if k and SEP not in k})
+    direct = [k for k in keywords if not k or SEP in k or overlaps_itself(k) and any(
+        _ends_word(k[:i], k) and k.startswith(k[len(k) - i:]) for i in range(1, len(k)))]
+    marks = [SEP + e + SEP for k in keywords if k not in direct for e in longest if _ends_word(k, e)]
+    terms = ["0L", *([_marked(hits, marks)] if marks else [])]
+    for k in direct:
+        pattern = rf"(?<!{WORD})\Q{k}\E(?!{WORD})"
+        terms.append(f"cast(regexp_count({text}, {_sql_text(pattern)}) as bigint)")
+    return " + ".join(terms)
+
+
+def _score(keywords: tuple[str, ...], text: str, hits: str) -> str:
+    """SQL: total occurrences of some keywords, read from the hit list."""
     direct = [k for k in keywords if SEP in k or overlaps_itself(k)]
     listed = [k for k in keywords if k not in direct]
     terms = ["0L"]
     if listed:
-        marks = ", ".join(_sql_text(SEP + k) for k in listed)
-        terms.append(
-            f"if(octet_length({hits}) > 1, aggregate(array({marks}), 0L, (n, m) -> "
-            f"n + (octet_length({hits}) - octet_length(replace({hits}, m, ''))) div octet_length(m)), 0L)"
-        )
+        terms.append(_marked(hits, [SEP + k for k in listed]))
     for k in direct:
         count = _occurrences(text, k)
         terms.append(count if SEP in k else f"if(contains({hits}, {_sql_text(SEP + k)}), {count}, 0L)")
@@ -86,10 +116,13 @@ def _scores(
 ) -> str:
     """SQL: array of one score per group; ``extra`` adds a term to each."""
     keywords = [k for _, words in groups for k in words]
-    terms = [_score(words, "l", "h", whole_word) for _, words in groups]
+    if whole_word:
+        terms = [_whole_score(words, "l", "h", keywords) for _, words in groups]
+    else:
+        terms = [_score(words, "l", "h") for _, words in groups]
     if extra:
         terms = [f"{t} + {e}" for t, e in zip(terms, extra)]
-    hits = "''" if whole_word else _hits("l", keywords)
+    hits = _whole_hits("l", keywords) if whole_word else _hits("l", keywords)
     return _let(text, "l", _let(hits, "h", f"array({', '.join(terms)})"))
 
 
