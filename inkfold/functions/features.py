@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkfold.functions.patterns import trie_regex
+from inkfold.functions.patterns import presence_passes, trie_regex
 from inkfold.functions.text import (
     as_col, blank_if_null, count_occurrences, domain_after_scheme, host, lead_of, let, reading_time,
     sentences, word_count,
@@ -47,9 +50,8 @@ def on_paywall_domain(url: Column | str, mode: str = "host") -> Column:
 def paywall_flag(text: Column | str, url: Column | str, mode: str = "host") -> Column:
     """A paywall phrase in the text, or a known site with fewer than 1000 characters."""
     low = F.lower(blank_if_null(text))
-    return low.rlike(trie_regex(PAYWALL_TERMS)) | (
-        on_paywall_domain(url, mode) & (F.char_length(low) < 1000)
-    )
+    known = reduce(or_, [low.rlike(p) for p in presence_passes(PAYWALL_TERMS)])
+    return known | (on_paywall_domain(url, mode) & (F.char_length(low) < 1000))
 
 
 def article_features(

@@ -115,7 +115,7 @@ def node_text(fragment: Column | str, sep: str = "") -> Column:
     matched by recursion, which some hundreds of tags in a row exhaust.
     """
     marked = F.regexp_replace(F.replace(as_col(fragment), F.lit(TAG_MARK), F.lit(" ")), "<[^>]*>", TAG_MARK)
-    bare = F.regexp_replace(marked, rf"(?<!{WS}){WS}*+{TAG_MARK}[{TAG_MARK}{WS[1:-1]}]*+", sep)
+    bare = F.regexp_replace(marked, rf"(?<!{WS}){WS}*+{TAG_MARK}[{TAG_MARK}{WS}]*+", sep)
     return unescape(strip(bare))
 
 

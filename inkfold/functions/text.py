@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from inkfold.rules import STOP_WORDS
 
 # Unicode white space as text splitting sees it, and word characters.
-WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
-NON_WS = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]"
-WORD = r"[\p{L}\p{N}_]"
+# Printable ASCII is told first, by one comparison.
+WS = r"[\x00-\x20\x7f-\x{10ffff}&&[\s\x0b\x1c-\x1f\x85\p{Z}]]"
+NON_WS = r"[!-~[^\s\x0b\x1c-\x1f\x85\p{Z}]]"
+WORD = r"[a-z0-9_\p{L}\p{N}]"
 
 # The sentence-split rule, a space after . ? ! unless it follows "x.y." or "Xx."
 SENTENCE_BREAK = rf"(?<!{WORD}\.{WORD}[^\n])(?<![A-Z][a-z]\.)(?<=[.?!]){WS}"
@@ -197,7 +198,9 @@ def has_single_char_lines(text: Column | str) -> Column:
         return (F.size(filled) > 5) & (F.size(single) / F.size(filled) > 0.6)
 
     filled_lines = F.filter(_lines(t), lambda x: x != "")
-    return F.contains(t, F.lit("\n")) & (F.char_length(strip(t)) > 20) & let(filled_lines, mostly_single)
+    # more than 20 characters from the first that is no white space to the last
+    long_enough = t.rlike(rf"\A{WS}*+{NON_WS}(?s:.{{19,}}){NON_WS}")
+    return F.contains(t, F.lit("\n")) & long_enough & let(filled_lines, mostly_single)
 
 
 def has_spaced_chars(text: Column | str) -> Column:

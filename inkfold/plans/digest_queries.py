@@ -35,9 +35,20 @@ def processed_documents(spark, sf):
     return process_articles(a, F.when(en, ISSUES["en"]).otherwise(ISSUES["other"]))
 
 
-def issue_articles(spark, sf):
-    """The same, written once to the work folder for queries that read it several times."""
-    return written(processed_documents(spark, sf), "issue-articles")
+#: What lists of articles read, and what rendered articles read besides.
+LISTED = ("issue", "category", "subcategory", "feed_ord", "entry_ord", "title", "url")
+RENDERED = (*LISTED, "author", "source", "summary", "published", "image_url", "full_text", "content", "domain", "features", "reading_time")
+
+
+def issue_articles(spark, sf, *columns):
+    """The same, written once to the work folder for queries that read it several times; with ``columns`` only these.
+
+    The content of a document is its full text, which is stored once.
+    """
+    made = processed_documents(spark, sf)
+    made = made.select(*columns) if columns else made
+    stored = written(made.drop("content"), "issue-articles")
+    return stored.withColumn("content", F.col("full_text")).select(made.columns) if "content" in made.columns else stored
 
 
 _ISS = f"""iss AS (SELECT CAST(1 AS BIGINT) AS feed_ord, doc_id AS entry_ord, split_part(text, chr(10), 1) AS title,
@@ -123,7 +134,7 @@ _NUM = f"""nums AS (SELECT *, dense_rank() OVER (PARTITION BY issue ORDER BY cat
 
 @query("number_contents", f"WITH {FIN}, {_NUM} SELECT issue, category, sub AS subcategory, entry_ord, number FROM numbered")
 def number_contents_query(spark, sf):
-    return digest.number_contents(issue_articles(spark, sf)).select("issue", "category", "subcategory", "entry_ord", "number")
+    return digest.number_contents(issue_articles(spark, sf, *LISTED)).select("issue", "category", "subcategory", "entry_ord", "number")
 
 
 _BLOCK = q.basic_block("full_text", "coalesce(author, '')", "coalesce(shown, '')")
@@ -157,7 +168,7 @@ def _reading_list_sql() -> str:
 
 @query("reading_list", f"WITH {FIN} {_reading_list_sql()}")
 def reading_list_query(spark, sf):
-    return digest.reading_list(issue_articles(spark, sf))
+    return digest.reading_list(issue_articles(spark, sf, *LISTED))
 
 
 def _marked_sql() -> str:
@@ -175,7 +186,7 @@ def _marked_sql() -> str:
 
 @query("marked_reading_list", f"WITH {FIN} {_marked_sql()}")
 def marked_reading_list_query(spark, sf):
-    return digest.marked_reading_list(issue_articles(spark, sf))
+    return digest.marked_reading_list(issue_articles(spark, sf, *LISTED, "is_paywalled"))
 
 
 _TABS = ("'<div class=\"metadata\">' || chr(10) || concat_ws(chr(9), '**Source:** ' || source, '**Author:** ' || author, "
@@ -207,7 +218,7 @@ def _snippets_sql() -> str:
 
 @query("snippets", f"WITH {FIN}, {extracts(500)} {_snippets_sql()}")
 def snippets_query(spark, sf):
-    a = issue_articles(spark, sf)
+    a = issue_articles(spark, sf, *RENDERED)
     return digest.snippets(a.withColumn("processed_content", F.lit(None).cast("string")))
 
 
@@ -232,7 +243,7 @@ _SEEN = """seen AS (SELECT issue, category, sub, row_number() OVER (PARTITION BY
 
 @query("sectioned_newsletter", f"WITH {FIN}, {_SEEN}, {extracts(1500)} {_sections_sql()}")
 def sectioned_newsletter_query(spark, sf):
-    a = issue_articles(spark, sf).withColumn("processed_content", F.lit(None).cast("string"))
+    a = issue_articles(spark, sf, *RENDERED).withColumn("processed_content", F.lit(None).cast("string"))
     return digest.sectioned_newsletter(a)
 
 
@@ -256,7 +267,7 @@ def _contents_sql() -> str:
 
 @query("contents", f"WITH {FIN}, {_NUM} {_contents_sql()}")
 def contents_query(spark, sf):
-    return digest.contents(issue_articles(spark, sf))
+    return digest.contents(issue_articles(spark, sf, *LISTED))
 
 
 @query("article_blocks", f"""
@@ -293,14 +304,14 @@ def _html_reading_list_sql() -> str:
     UNION ALL {row('reading_list', -1, f"'<!DOCTYPE html>' || {NL} || '<html>' || {NL} || '<body>'", ISSUE_ROWS)}
     UNION ALL {row('reading_list', 1000, "'</body>' || chr(10) || '</html>'", ISSUE_ROWS)}""")
 def html_digest(spark, sf):
-    return html_lines(digest.reading_list(issue_articles(spark, sf)))
+    return html_lines(digest.reading_list(issue_articles(spark, sf, *LISTED)))
 
 
 @query("conversion_status", f"""
     WITH {FIN}, lines AS ({_reading_list_sql()})
     SELECT issue, kind, count(*) AS rows, true AS converted FROM lines GROUP BY issue, kind""")
 def conversion_status_query(spark, sf):
-    return conversion_status(digest.reading_list(issue_articles(spark, sf)))
+    return conversion_status(digest.reading_list(issue_articles(spark, sf, *LISTED)))
 
 
 @query("digest_files", f"""
@@ -310,6 +321,6 @@ def conversion_status_query(spark, sf):
 def digest_files(spark, sf):
     """A reading list written as text and read back."""
     path = work_dir(spark, "digest-files")
-    write_digest_md(digest.reading_list(issue_articles(spark, sf)), path)
+    write_digest_md(digest.reading_list(issue_articles(spark, sf, *LISTED)), path)
     stored = spark.read.schema("value string, issue string, kind string").option("lineSep", "\n").text(path)
     return stored.groupBy("issue", "kind", F.col("value").alias("text_line")).agg(F.count("*").alias("n"))
