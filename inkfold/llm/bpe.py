@@ -15,6 +15,7 @@ import hashlib
 import json
 import sys
 from collections.abc import Iterator
+from struct import pack
 from types import ModuleType
 
 import numpy as np
@@ -27,7 +28,8 @@ from inkfold.llm.common import renamed
 from inkfold.llm.textbytes import blocks
 
 #: Fixed value: the rule of this vocabulary that splits words.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Letters, the most frequent, are tried first: nothing that another alternative matches begins with them.
+WORDS = regex.compile(r" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words that a task remembers between blocks; the table starts anew beyond it.
 REMEMBERED = 100_000
 
@@ -60,8 +62,10 @@ class Codec:
             self.pieces[i] = piece.encode()
         self.split_special = regex.compile("|".join(
             f"({regex.escape(s)})" for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        before = spec.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and spec.get("normalizer") is None
+        self.signs = {b: c for c, b in signs.items()} if plain else None
+        self.known: dict[str, bytes] = {}  # a word's ids, four bytes each
 
     def words(self, text: str) -> list[str]:
         """Words and special strings in order."""
@@ -77,17 +81,22 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text: each distinct word is encoded once."""
         if len(self.known) > REMEMBERED:
-            self.known, self.ids = {}, []
+            self.known = {}
         split = [self.words(t) for t in texts]
         known = self.known
-        new = list(dict.fromkeys(w for words in split for w in words if w not in known))
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = len(self.ids)
-            self.ids.append(np.array(e.ids, "<u4"))
-        out = []
-        for words in split:
-            out.append(np.concatenate([self.ids[known[w]] for w in words]) if words else np.zeros(0, "<u4"))
-        return out
+        self.learn(list(set().union(*split).difference(known)))
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
+
+    def learn(self, words: list[str]) -> None:
+        """Encode distinct words. Words that the rule has split need the merges only, if nothing else is done to them."""
+        if self.signs is None:
+            encoded = (e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+        else:
+            merge = self.tokenizer.model.tokenize
+            encoded = ([self.special[w]] if w in self.special else [
+                t.id for t in merge(w.encode().decode("latin-1").translate(self.signs))] for w in words)
+        for word, ids in zip(words, encoded, strict=True):
+            self.known[word] = pack(f"<{len(ids)}I", *ids)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(self.pieces[ids].tolist()).decode("utf-8", errors="replace")

@@ -196,3 +196,22 @@ def test_workers_need_no_package(tmp_path):
                           capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-3000:]
     assert [line.split()[0] for line in done.stdout.splitlines() if line.startswith("op")] == names
+
+
+def test_bpe_words_need_the_merges_only():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from inkfold.llm.bpe import Codec
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    c, library = Codec(path), Tokenizer.from_file(path)
+    texts = ["it's don't we'll I'd 'S ' s", " a  b\n\n c\t", "é 你好 😀x 12 ½ _ a_b", "<|endoftext|> x<|endoftext|>", "", "\x00\x7f\x85  z",
+             "they've''re 'mm 'tis"]
+
+    class Merges:  # the tokenizer's own way through a text is not taken for words
+        model = c.tokenizer.model
+
+    c.tokenizer = Merges
+    assert [i.tolist() for i in c.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [c.decode(i) for i in c.encode(texts)] == texts
