@@ -15,8 +15,15 @@ from inkfold.llm.common import stored
 
 def components(links: DataFrame) -> DataFrame:
     """Rows (node, root) of every node of ``links`` (a, b: long): root is the least node it can reach."""
-    links = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                   .distinct(), "links")
+    return _components(_stored_links(links))
+
+
+def _stored_links(links: DataFrame) -> DataFrame:
+    return stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                  .distinct(), "links")
+
+
+def _components(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(
         F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
@@ -36,15 +43,18 @@ def components(links: DataFrame) -> DataFrame:
 def extended(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """The rows of ``components`` when ``links`` are added to the graph that ``labels`` describes.
 
-    Only links between components that still differ are followed, so a later round costs what it adds.
+    Only links between components that still differ are followed, so a later round costs what it adds; ``labels``
+    themselves come back if there are none.
     """
     if labels is None:
         return components(links)
     ends = links.select("a", "b")
     for end in ("a", "b"):
         ends = ends.join(labels.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-    between = ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b")
-    merged = components(between)
+    between = _stored_links(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+    if between.isEmpty():
+        return labels
+    merged = _components(between)
     moved = labels.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(
         "node", F.coalesce("top", "root").alias("root"))
     return stored(moved.unionByName(merged.join(labels, "node", "left_anti").select("node", "root")), "labels")

@@ -234,7 +234,7 @@ def _roots(slim: DataFrame, named: DataFrame, members: DataFrame, width: int, si
     wanted = members.select("class").distinct().join(named.select("class", *KEYS), "class")
     texts = slim.select(*KEYS, "text").join(wanted, KEYS).dropDuplicates(["class"]).select("class", "text")
     sets = stored(texts.mapInArrow(lambda it: given_back(set_batches(it, width)), SET), "sets")
-    roots = compared = None
+    roots = compared = rooted = None
     members = members.withColumn("shared", F.col("n"))
     pairs = _pivot_pairs(members.withColumn("root", F.col("class")), 0)
     for step in range(1, PIVOT_ROUNDS + 2):
@@ -245,17 +245,20 @@ def _roots(slim: DataFrame, named: DataFrame, members: DataFrame, width: int, si
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        good = stored(
-            pairs.join(sets.select(F.col("class").alias("a"), F.col("elements").alias("x")), "a")
-            .join(sets.select(F.col("class").alias("b"), F.col("elements").alias("y")), "b")
-            .mapInArrow(lambda it: given_back(overlap_batches(it, similar)), "a long, b long"), "verified")
-        roots = extended(roots, good)
-        compared = pairs if compared is None else compared.unionByName(pairs)
+        before = roots
+        if roots is None or not pairs.isEmpty():
+            good = stored(
+                pairs.join(sets.select(F.col("class").alias("a"), F.col("elements").alias("x")), "a")
+                .join(sets.select(F.col("class").alias("b"), F.col("elements").alias("y")), "b")
+                .mapInArrow(lambda it: given_back(overlap_batches(it, similar)), "a long, b long"), "verified")
+            roots = extended(roots, good)
+            compared = pairs if compared is None else compared.unionByName(pairs)
         if step > PIVOT_ROUNDS:
             break
-        rooted = _open_buckets(members, roots)
-        if rooted.isEmpty():
-            break
+        if roots is not before:  # else the same buckets are open, with the same members
+            rooted = _open_buckets(members, roots)
+            if rooted.isEmpty():
+                break
         if step == 1:
             rooted = _with_shared(rooted, sets)
         members = rooted.drop("root")
@@ -331,7 +334,9 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     rows, body, back = unnamed(docs, doc_id, text)
     filled = F.coalesce(F.col(body), F.lit(""))
     rows = rows.withColumn("id", F.coalesce("id", F.lit(NO_ID) + F.xxhash64(filled).bitwiseAND(F.lit(NO_ID - 1))))
-    found = near_duplicates(rows, "id", body, **settings).where("n_shingles > 0")
+    # keys and ids only, but joined twice below: written once, the plan that carries the texts stays short
+    found = stored(near_duplicates(rows, "id", body, **settings).where("n_shingles > 0")
+                   .select("doc_id", *KEYS, "component_id"), "found")
     out = found.where(F.col("doc_id") != F.col("component_id")).select(*KEYS).distinct()
     kept = with_keys(rows, "id", body).join(out, KEYS, "left_anti")
     # one of the rows that share id and text: each task keeps one before they are shuffled

@@ -65,14 +65,16 @@ class Vectors:
 
     @staticmethod
     def fit(texts: list[bytes]) -> Vectors:
-        split = [t.split() for t in texts]
-        counts = Counter(w for words in split for w in words)
+        # the words of one text at a time: those of the whole sample would take some ten times its bytes
+        counts: Counter = Counter()
+        for t in texts:
+            counts.update(t.split())
         common = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:WORDS] if n > 1]
         number = {w: i for i, w in enumerate(common)}
         index = np.array([_random_vector(w) for w in common], np.float32).reshape(-1, WIDTH)
         context = np.zeros_like(index)
-        for words in split:
-            ids = np.array([number.get(w, -1) for w in words])
+        for t in texts:
+            ids = np.array([number.get(w, -1) for w in t.split()])
             for step in range(1, NEAR + 1):
                 a, b = ids[:-step], ids[step:]
                 both = (a >= 0) & (b >= 0)

@@ -1,18 +1,20 @@
 """Pipeline stages on tables with everything a table can have: clashing names, text ids, null ids, repeated rows, none."""
 
+import tracemalloc
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from inkfold.llm import components, near_dedup
 from inkfold.llm.bpe import encode_and_decode
 from inkfold.llm.common import apart
 from inkfold.llm.decontaminate import drop_contaminated
 from inkfold.llm.near_dedup import drop_near_duplicates
 from inkfold.llm.pii import mask_pii
 from inkfold.llm.pii import scan as pii_scan
-from inkfold.llm.quality_model import keep_good
+from inkfold.llm.quality_model import Vectors, keep_good
 from inkfold.llm.queries import default_vocabulary
 
 INNER = ["_k1", "_k2", "_spans", "spans", "score", "_score", "_quality_score", "ids", "decoded", "n", "class", "c0", "id", "hits",
@@ -112,3 +114,34 @@ def test_spans_apart(spark):
 
     seconds(100)
     assert seconds(8_000) < 12 * max(seconds(1_000), 0.5)
+
+
+def test_rounds_without_news_cost_nothing(spark, monkeypatch):
+    """The driver plans a round only as far as it brings something: two texts that share buckets but are no copies
+    are compared once, and what follows is neither verified nor merged again."""
+    words = [f"word{i}" for i in range(400)]
+    other = words[:200] + [w if i % 12 else f"new{i}" for i, w in enumerate(words[200:])]  # some two thirds in common
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(other[:-1])), (4, "alone " * 3)]
+    writes = Counter()
+
+    def counted(df, name, kept=near_dedup.stored):
+        writes[name] += 1
+        return kept(df, name)
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    monkeypatch.setattr(components, "stored", counted)
+    out = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 4]
+    assert writes["found"] == 1 and writes["verified"] == 1 and sum(writes.values()) <= 20, writes
+
+
+def test_fit_holds_the_words_of_one_text():
+    """The sample's words are not held all at once: as objects they take some ten times its bytes, on the driver."""
+    texts = [b" ".join(b"%x" % ((i * 31 + j * 7) % 997) for j in range(2000)) for i in range(150)]
+    tracemalloc.start()
+    try:
+        vectors = Vectors.fit(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(vectors.rows) > 997 and peak < 3 * sum(map(len, texts))
